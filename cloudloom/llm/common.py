@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,23 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow, after this package was sent to the executors (once an application; as spark-submit --py-files does)."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).parents[1]
+        handle, name = tempfile.mkstemp(suffix=".zip", prefix=f"{package.name}-")
+        with os.fdopen(handle, "wb") as f, zipfile.ZipFile(f, "w") as z:
+            for x in sorted(package.rglob("*.py")):
+                z.write(x, x.relative_to(package.parent))
+        context.addPyFile(name)
+        _SHIPPED.add(context.applicationId)
+    return df.mapInArrow(run, schema)
+
+
 def slices(batch: pa.RecordBatch, text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of batch in order, cut so that the text column of each part has about limit bytes."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
