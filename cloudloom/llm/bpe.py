@@ -137,7 +137,13 @@ class Counts(dict):
 
 
 _UNITS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-_counts = lru_cache(maxsize=2)(lambda name: Counts(vocabulary(name)))
+
+
+@lru_cache(maxsize=2)
+def known_counts(name: str) -> Counts:
+    """A Python worker's own."""
+    return Counts(vocabulary(name))
+
 
 
 def count_tokens(text: str, counts: Counts) -> int:
@@ -151,7 +157,7 @@ _COUNTED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_token
 
 def _count(name: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _counts(name)
+        counts = known_counts(name)
         for batch in batches:
             for part in slices(batch, 1):
                 texts = [x or "" for x in part.column(1).to_pylist()]
@@ -226,7 +232,12 @@ class Codes(dict):
             self[u] = (len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids]))
 
 
-_codes = lru_cache(maxsize=2)(lambda name: Codes(vocabulary(name)))
+@lru_cache(maxsize=2)
+def known_codes(name: str) -> Codes:
+    """A Python worker's own."""
+    return Codes(vocabulary(name))
+
+
 _RUNS = re.compile(f"[^{_SPACE}]+")
 
 
@@ -240,7 +251,7 @@ _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sh
 
 def _encode(name: str, full: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _codes(name)
+        codes = known_codes(name)
         vocab = codes.vocab
         for batch in batches:
             for part in slices(batch, 1):

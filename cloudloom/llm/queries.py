@@ -2,8 +2,29 @@
 
 from __future__ import annotations
 
+from .bpe import op6_token_counts, op10_bpe
+from .chat import op7_chat_format
+from .decontaminate import op3_benchmark_decontamination
+from .licenses import op9_license_scan
 from .neardup import op4_minhash_near_dedup
 from .quality import op1_quality_rules
+from .secrets import op2_secret_scan
+from .sharding import op8_minimax_sharding
+from .substring import op5_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_minhash_near_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_secret_scan,
+        op3_benchmark_decontamination,
+        op4_minhash_near_dedup,
+        op5_substring_dedup,
+        op6_token_counts,
+        op7_chat_format,
+        op8_minimax_sharding,
+        op9_license_scan,
+        op10_bpe,
+    )
+}
 ORACLES: dict[str, str] = {}
