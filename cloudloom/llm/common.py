@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one step of numpy work takes at once; a longer text is taken whole, alone.
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch at most: with whole texts in it, a batch of Spark's default of 10,000 rows is too large.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +55,8 @@ def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
                 z.write(x, x.relative_to(package.parent))
         context.addPyFile(name)
         _SHIPPED.add(context.applicationId)
+    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df.mapInArrow(run, schema)
 
 

@@ -63,33 +63,40 @@ def shard_starts(groups: DataFrame, shards: int) -> list[int]:
         if all(x[3] for x in atoms):
             best = smallest_capacity(sizes, shards)
             return [atoms[i][0] for i in greedy_cuts(sizes, best)]
-        # the least capacity lies in [low, high]; a cut under it lies between the cuts of the two
-        low = max(largest, -(-total // shards))
-        high = low + largest
+        # the least capacity lies in [low, high]: cutting between atoms is one way; a shard can't be under the mean.
+        # Greedy filling is monotone, so cut k lies between lo, the start of an atom, and hi
+        low, high = max(largest, -(-total // shards)), smallest_capacity(sizes, shards)
         sums = [0]
         for s in sizes:
             sums.append(sums[-1] + s)
-        split, lo, hi = set(), 0, 0
-        for _ in range(shards):
-            lo, hi = max(lo + low - largest, 0), hi + high
-            split.update(i for i in range(max(bisect_right(sums, lo) - 1, 0), min(bisect_right(sums, hi), len(atoms))) if not atoms[i][3])
-            if lo >= total:
-                break
+        split, lo, hi = [], 0, 0
+        for _ in range(shards - 1):
+            first = min(bisect_right(sums, lo + low) - 1, len(atoms) - 1)
+            lo, hi = sums[first], min(hi + high, total)
+            end = min(bisect_right(sums, hi), len(atoms))
+            if any(not x[3] for x in atoms[first:end]):
+                split.append((first, end))
         if not split:
-            best = smallest_capacity(sizes, shards)
-            return [atoms[i][0] for i in greedy_cuts(sizes, best)]
+            return [atoms[i][0] for i in greedy_cuts(sizes, smallest_capacity(sizes, shards))]
         if len(atoms) > ATOMS:
             raise ValueError("the groups are too unlike in size for the bound of the driver's memory")
-        wanted = sorted(split)
+        spans: list[list[int]] = []  # overlapping ones together: one for each cut at most
+        for first, end in sorted(split):
+            if spans and first < spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], end)
+            else:
+                spans.append([first, end])
         edge, width = F.lit(None).cast("long"), F.lit(None).cast("long")
-        for i in wanted:
-            a, b, _, _ = atoms[i]
+        for first, end in spans:
+            a, b = atoms[first][0], atoms[end - 1][1]
             inside = (F.col("gid") >= a) & (F.col("gid") < b)
-            edge, width = F.when(inside, a).otherwise(edge), F.when(inside, max(-(-(b - a) // max(FANOUT // len(wanted), 16)), 1)).otherwise(width)
+            # finer than any atom that isn't one group yet, so each round comes nearer
+            widest = max(x[1] - x[0] for x in atoms[first:end] if not x[3])
+            edge, width = F.when(inside, a).otherwise(edge), F.when(inside, max(-(-widest // FANOUT), 1)).otherwise(width)
         cell = groups.withColumns({"edge": edge, "width": width}).filter("edge is not null")
         cell = cell.withColumn("cell", F.col("edge") + F.expr("(gid - edge) div width") * F.col("width"))
         found = cell.groupBy("cell").agg(F.sum("bytes").alias("s"), F.count(F.lit(1)).alias("n"), F.min("gid").alias("a"), F.max("gid").alias("b")).collect()
-        kept = [x for i, x in enumerate(atoms) if i not in split]
+        kept = [x for i, x in enumerate(atoms) if not any(first <= i < end for first, end in spans)]
         atoms = sorted(kept + [(r["a"], r["b"] + 1, r["s"], r["n"] == 1) for r in found])
 
 
