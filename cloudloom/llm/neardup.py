@@ -7,8 +7,9 @@ into bands; texts that share a band are candidates; links are candidates whose e
 classes are the connected components.
 
 Equal word sequences are collapsed first. Within a band's bucket no all-pairs list is made: pivots are compared to
-all members, members of one class are not compared again, and only what is left (checked to be linear in the size of
-the buckets) is compared pair by pair. If it isn't yet linear, more pivots are taken. So no candidate link is lost.
+all members, and members of one class are not compared again. The texts of buckets that still hold several classes are
+put into other buckets by their rarest shingles (a prefix filter, exact); what is left in these is compared pair by pair
+if that is checked to be linear in their size, else with more and more pivots. So no candidate link is lost.
 
 Texts of one to four words are one shingle. Texts without words, null texts and rows with null doc_id are alone in
 their class. Repeated rows share a class. An empty table gives an empty result.
@@ -21,16 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, mix, runs, signed, slices, staged, table
+from .common import Words, mapped, mix, runs, signed, slices, staged, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 #: Pairs left to compare, for each row of a bucket, from which on more pivots are taken instead.
-PAIRS_A_ROW = 8
+PAIRS_A_ROW = 64
+#: Ids of texts with a bucket in common (some 30 bytes each) up to which they are broadcast; beyond, texts are shuffled.
+BROADCAST_IDS = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,7 +107,7 @@ def _sign(weights: str):
                 flat = sig.reshape(-1)
                 at = np.arange(0, flat.size, ROWS)
                 band = runs(flat, at, at + ROWS) + np.tile(np.arange(BANDS, dtype=np.uint64), part.num_rows) * _STEP
-                n = np.bincount(row, minlength=part.num_rows)
+                n = np.bincount(row, weight, part.num_rows).astype(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]), pa.int32()), pa.array(signed(mix(band)).reshape(-1, BANDS)[n > 0].reshape(-1)))
                 prints = [pa.array(signed(words.row_hashes(words.hashes(k), k))) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *prints, pa.array(n), lists], schema=_SIGNED)
@@ -160,7 +163,7 @@ def verified(pairs: DataFrame, elements: DataFrame, weights: str = "set") -> Dat
         both = F.size(F.array_intersect("s_a", "s_b"))
         kept = pairs.withColumn("n", both).withColumn("similarity", F.col("n") / (F.size("s_a") + F.size("s_b") - F.col("n")))
     else:
-        kept = pairs.select("a", "b", "s_a", "w_a", "s_b", "w_b").mapInArrow(_compare, "a long, b long, similarity double")
+        kept = mapped(pairs.select("a", "b", "s_a", "w_a", "s_b", "w_b"), _compare, "a long, b long, similarity double")
     return staged(kept.filter(F.col("similarity") >= SIMILARITY - 1e-12).select("a", "b", "similarity"), "links")
 
 
@@ -190,54 +193,88 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     return out if out is not None else spark.createDataFrame([], "node long, label long")
 
 
+def still_open(members: DataFrame) -> tuple[DataFrame, float]:
+    """Of members (bucket, rep, score, label) those whose bucket holds several labels, and the pairs of unlike label in all."""
+    members = staged(members.select("bucket", "rep", "score", "n", "place", "label"), "members")
+    parts = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
+    open_buckets = parts.groupBy("bucket").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
+    open_buckets = staged(open_buckets.withColumn("pairs", (F.col("c") * F.col("c") - F.col("cc")) / 2).filter("pairs > 0"), "open")
+    left = open_buckets.agg(F.sum("pairs")).first()[0] or 0
+    return staged(members.join(open_buckets.select("bucket"), "bucket", "left_semi"), "untested"), left
+
+
+def side_of(members: DataFrame, r: str) -> DataFrame:
+    return members.select("bucket", F.col("rep").alias(r), *[F.col(c).alias(f"{c}_{r}") for c in ("label", "n", "place")])
+
+
+def may_link() -> Column:
+    """Unlike labels, and room for enough common elements if this is the first one common to both, in places of one order."""
+    common = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    return (F.col("label_a") != F.col("label_b")) & (common >= SIMILARITY / (1 + SIMILARITY) * (F.col("n_a") + F.col("n_b")) - 1e-6)
+
+
+def rare_buckets(members: DataFrame, elements: DataFrame) -> DataFrame:
+    """Other buckets for the same texts: sets with a similarity of at least s share one of their n - ceil(s n) + 1 rarest
+    shingles, in an order common to all. This loses no link, and a passage that many texts share makes no bucket."""
+    labels = members.select("rep", "label").distinct()
+    own = elements.join(labels, "rep").select("rep", "label", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("bucket"))
+    spread = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts"))
+    order = Window.partitionBy("rep").orderBy("texts", "bucket")
+    ranked = own.join(spread, "bucket").withColumn("place", F.row_number().over(order))
+    rare = ranked.filter((F.col("place") <= F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1) & (F.col("texts") > 1))
+    rare = staged(rare.select("bucket", "rep", F.col("texts").alias("score"), "n", "place", "label"), "rare")
+    # nor can it link where even the shortest text of the bucket has too many elements of its own before this one
+    shortest = rare.groupBy("bucket").agg(F.min("n").alias("least"))
+    room = 1 + F.col("n") - F.col("place") >= SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.greatest("least", F.ceil(SIMILARITY * F.col("n") - 1e-6))) - 1e-6
+    return rare.join(shortest, "bucket").filter(room).drop("least")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", weights: str = "set") -> DataFrame:
     """doc_id, class_id (least doc_id of its class), copy_of (least doc_id with the same words): a row for each row of docs.
 
     weights: "set" compares sets of shingles; "count" lets a shingle weigh as often as it occurs."""
     named = docs.select("doc_id", F.col(text).alias("text"))
-    signed_docs = staged(named.filter("doc_id is not null").mapInArrow(_sign(weights), "doc_id long, f0 long, f1 long, n_shingles long, bands array<long>"), "signatures")
+    signed_docs = staged(mapped(named.filter("doc_id is not null"), _sign(weights), "doc_id long, f0 long, f1 long, n_shingles long, bands array<long>"), "signatures")
     worded = signed_docs.filter("n_shingles > 0")
     prints = worded.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep"))
     member = worded.select("doc_id", "f0", "f1").join(prints, ["f0", "f1"]).select("doc_id", "rep")
     member = staged(member.unionByName(signed_docs.filter("n_shingles = 0").select("doc_id", F.col("doc_id").alias("rep"))), "members")
 
     reps = worded.join(member.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    banded = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("rep"))
-    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    buckets = staged(banded.join(sizes, "bucket"), "buckets")
-    wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    banded = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("rep"), "n_shingles")
+    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    crowded = staged(banded.join(sizes, "bucket"), "crowded")
+    # what shares the most buckets with the most texts is likely the original of a group of copies: it is a pivot first
+    buckets = staged(crowded.join(crowded.groupBy("rep").agg(F.sum("texts").alias("score")), "rep").select("bucket", "rep", "score", F.col("n_shingles").alias("n"), F.lit(1).alias("place")), "buckets")
+    wanted = staged(buckets.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     chosen = named.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    elements = staged(chosen.mapInArrow(_shingle(weights), "rep long, shingles array<long>, weights array<int>"), "shingles")
+    elements = staged(mapped(chosen, _shingle(weights), "rep long, shingles array<long>, weights array<int>"), "shingles")
 
     links, classes = None, None
-    # members that haven't been compared with all of their bucket yet
-    untested = buckets.withColumn("label", F.col("rep"))
-    budget = PAIRS_A_ROW * buckets.count()
-    pivots = 1
-    while True:
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))
-        pivot = untested.withColumn("place", place).filter(F.col("place") <= pivots)
-        pivot = staged(pivot.select("bucket", F.col("rep").alias("a"), F.col("label").alias("label_a")), "pivots")
-        pairs = untested.join(pivot, "bucket").filter("rep != a and label != label_a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
+    untested, left = buckets.withColumn("label", F.col("rep")), math.inf
+    pivots, refined = 1, weights != "set"
+    while left:
+        if left <= PAIRS_A_ROW * untested.count():
+            x, y = (side_of(untested, r) for r in ("a", "b"))
+            pairs, tested = x.join(y, "bucket").filter((F.col("a") < F.col("b")) & may_link()), untested.select("bucket", "rep")
+        else:
+            place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("score"), "rep"))
+            pivot = untested.withColumn("place", place).filter(F.col("place") <= pivots)
+            pivot = staged(side_of(pivot, "a"), "pivots")
+            pairs = pivot.join(side_of(untested, "b"), "bucket").filter((F.col("a") != F.col("b")) & may_link())
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            tested = pivot.select("bucket", F.col("a").alias("rep"))
         found = verified(pairs, elements, weights).select("a", "b")
         links = found if links is None else links.union(found)
         classes = components(links)
-        rest = untested.join(pivot.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti")
-        rest = rest.drop("label").join(classes.select(F.col("node").alias("rep"), "label"), "rep", "left")
-        rest = staged(rest.select("bucket", "rep", F.coalesce("label", "rep").alias("label")), "untested")
-        parts = rest.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-        open_buckets = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
-        open_buckets = staged(open_buckets.withColumn("pairs", (F.col("n") * F.col("n") - F.col("nn")) / 2).filter("pairs > 0"), "open")
-        left = open_buckets.agg(F.sum("pairs")).first()[0] or 0
-        if left == 0:
-            break
-        untested = staged(rest.join(open_buckets.select("bucket"), "bucket", "left_semi"), "untested")
-        if left <= budget:
-            x, y = (untested.select("bucket", F.col("rep").alias(r), F.col("label").alias(f"label_{r}")) for r in ("a", "b"))
-            pairs = x.join(y, "bucket").filter("a < b and label_a != label_b")
-            classes = components(links.union(verified(pairs, elements, weights).select("a", "b")))
-            break
-        pivots *= 8
+        rest = untested.join(tested, ["bucket", "rep"], "left_anti").drop("label").join(classes.select(F.col("node").alias("rep"), "label"), "rep", "left")
+        untested, left = still_open(rest.withColumn("label", F.coalesce("label", "rep")))
+        if left and not refined:
+            untested, left = still_open(rare_buckets(untested, elements))
+            pivots, refined = 1, True
+        elif refined:
+            pivots *= 8
     out = member.join(classes.select(F.col("node").alias("rep"), F.col("label")), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.col("rep").alias("copy_of"))
     nameless = docs.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("copy_of"))
     return out.unionByName(nameless)
