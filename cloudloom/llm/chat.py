@@ -147,4 +147,4 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return read_back(format_conversations(turns.union(extra)))
+    return read_back(format_conversations(turns.union(extra))).drop("n_ids", "n_loss_ids")

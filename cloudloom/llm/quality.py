@@ -146,4 +146,6 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> Data
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    """host_rate is rounded to six digits, the same in any engine."""
+    out = quality_rules(table(spark, sf_dir, "documents"))
+    return out.withColumn("host_rate", F.floor(F.col("host_rate") * 1e6 + 0.5) / 1e6)

@@ -10,6 +10,7 @@ from .neardup import op4_minhash_near_dedup
 from .quality import op1_quality_rules
 from .secrets import op2_secret_scan
 from .sharding import op8_minimax_sharding
+from .sql import ORACLES as ORACLES
 from .substring import op5_substring_dedup
 
 QUERIES = {
@@ -27,4 +28,3 @@ QUERIES = {
         op10_bpe,
     )
 }
-ORACLES: dict[str, str] = {}
