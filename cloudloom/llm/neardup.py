@@ -236,13 +236,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", weights: str = "set") -
     named = docs.select("doc_id", F.col(text).alias("text"))
     signed_docs = staged(mapped(named.filter("doc_id is not null"), _sign(weights), "doc_id long, f0 long, f1 long, n_shingles long, bands array<long>"), "signatures")
     worded = signed_docs.filter("n_shingles > 0")
-    prints = worded.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep"))
+    # staged before it is joined to the same rows: both sides are then shuffled, so that a large group can be split
+    prints = staged(worded.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep")), "prints")
     member = worded.select("doc_id", "f0", "f1").join(prints, ["f0", "f1"]).select("doc_id", "rep")
     member = staged(member.unionByName(signed_docs.filter("n_shingles = 0").select("doc_id", F.col("doc_id").alias("rep"))), "members")
 
     reps = worded.join(member.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     banded = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("rep"), "n_shingles")
-    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    sizes = staged(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "sizes")
     crowded = staged(banded.join(sizes, "bucket"), "crowded")
     # what shares the most buckets with the most texts is likely the original of a group of copies: it is a pivot first
     buckets = staged(crowded.join(crowded.groupBy("rep").agg(F.sum("texts").alias("score")), "rep").select("bucket", "rep", "score", F.col("n_shingles").alias("n"), F.lit(1).alias("place")), "buckets")
