@@ -168,17 +168,18 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> tuple[DataFrame, D
     schema = "doc_id long, n_words long, whole_sha256 string, f0 long, f1 long, anchors array<long>"
     summary = staged(mapped(named, _summarise, schema), "summary")
     long = summary.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= WINDOW))
-    originals = long.groupBy("f0", "f1").agg(F.min("doc_id").alias("first"))
+    # owners are staged before they are joined to the same rows: both sides are then shuffled, so that a large group can be split
+    originals = staged(long.groupBy("f0", "f1").agg(F.min("doc_id").alias("first")), "originals")
     first = staged(long.select("doc_id", "f0", "f1").join(originals, ["f0", "f1"]).filter("doc_id = first").select("doc_id").distinct(), "firsts")
 
     anchors = long.select("doc_id", F.explode("anchors").alias("anchor"))
-    owners = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor", "lo")
+    owners = staged(anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor", "lo"), "owners")
     shared = anchors.join(first, "doc_id", "left_semi").join(owners, "anchor").select("doc_id", F.struct("anchor", (F.col("doc_id") > F.col("lo")).alias("later")).alias("s"))
     shared = shared.groupBy("doc_id").agg(F.collect_set("s").alias("shared"))
     touched = staged(named.join(shared, "doc_id").dropDuplicates(["doc_id"]), "touched")
 
     windows = staged(mapped(touched.select("doc_id", "text", "shared"), _emit, "doc_id long, h0 long, h1 long, place int, later boolean"), "windows")
-    owner = windows.groupBy("h0", "h1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h0", "h1", "lo")
+    owner = staged(windows.groupBy("h0", "h1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h0", "h1", "lo"), "owner")
     hits = windows.filter("later").join(owner, ["h0", "h1"]).filter("doc_id > lo").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     cut = touched.select("doc_id", "text").join(hits, "doc_id")
     cut = staged(mapped(cut, _remove, "doc_id long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start:int,stop:int>>"), "cut")
