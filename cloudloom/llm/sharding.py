@@ -2,8 +2,8 @@
 
 Groups of equal texts are atoms, in the order of their least doc_id. The smallest shard capacity for which greedy
 filling needs no more than n shards is found by binary search, and the sequence is cut there. The search runs over
-sums by range of group ids; ranges in which a cut may fall are subdivided by further Spark aggregations until they
-hold few groups, so what reaches the driver is bounded and the result is exact.
+sums by range of group ids; ranges in which a cut falls are subdivided by further Spark aggregations until each cut is
+between two groups, so what reaches the driver is bounded for any sizes and the result is exact.
 
 Slots are gapless numbers within a shard in the order (group, doc_id), from one range-partitioned sort and the sizes
 of its partitions. Null texts are one group (size 1 each, CRC 0), apart from empty texts; repeated rows get slots of
@@ -20,83 +20,61 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 SHARDS = 8
-#: Ranges that one aggregation makes of each range that is subdivided, and atoms that the driver may hold in all.
-FANOUT, ATOMS = 1024, 100_000
-
-
-def greedy_cuts(sizes: list[int], capacity: int, start: int = 0) -> list[int]:
-    """Indices at which shards after the first begin when each is filled up to capacity."""
-    sums = [0]
-    for s in sizes:
-        sums.append(sums[-1] + s)
-    cuts, at = [], start
-    while at < len(sizes):
-        at = max(bisect_right(sums, sums[at] + capacity) - 1, at + 1)
-        cuts.append(at)
-    return cuts[:-1]
-
-
-def smallest_capacity(sizes: list[int], shards: int) -> int:
-    """The least capacity with which greedy filling needs at most shards shards."""
-    low, high = max(max(sizes, default=1), -(-sum(sizes) // shards)), max(sum(sizes), 1)
-    while low < high:
-        middle = (low + high) // 2
-        if len(greedy_cuts(sizes, middle)) < shards:
-            high = middle
-        else:
-            low = middle + 1
-    return low
+#: Ranges that one aggregation makes of each range that is subdivided.
+FANOUT = 1024
+
+
+def fluid_cuts(sums: list[int], single: list[bool], capacity: int) -> list[tuple[int, int]]:
+    """Where greedy filling up to capacity ends each shard but the last, as (bytes before the cut, atom at the cut), if
+    atoms of several groups could be cut anywhere. No true cut lies further. sums: bytes before each atom, and of all."""
+    cuts, at = [], 0
+    while at + capacity < sums[-1]:
+        at += capacity
+        i = bisect_right(sums, at) - 1
+        if single[i]:
+            at = sums[i]
+        cuts.append((at, i))
+    return cuts
 
 
 def shard_starts(groups: DataFrame, shards: int) -> list[int]:
-    """Ids of the groups with which shards 1, 2, .. begin. groups: gid (unique), bytes.
+    """Ids of the groups with which shards 1, 2, .. begin. groups: gid (unique), bytes (1 at least).
 
-    The sequence is held as atoms: runs of ids with their sum and largest group. Greedy filling with the bounds of the
-    capacity shows in which runs cuts may fall; these are subdivided until each is one group."""
+    The sequence is held as atoms: runs of ids with their sum. The least capacity that would do if atoms could be cut
+    anywhere bounds the true one from below. While a cut of that filling falls inside an atom of several groups, these
+    atoms (one for each cut at most) are subdivided by one aggregation; when none does, the filling is the true one.
+    So a round brings (shards - 1) x FANOUT rows to the driver at most, however unlike the groups are in size."""
     span = groups.agg(F.min("gid").alias("a"), F.max("gid").alias("b"), F.sum("bytes").alias("s"), F.max("bytes").alias("m")).first()
     if span["a"] is None:
         return []
-    total, largest = span["s"], span["m"]
+    total = span["s"]
+    low = max(span["m"], -(-total // shards))  # no shard is under the largest group, nor all under the mean
     atoms = [(span["a"], span["b"] + 1, total, span["b"] == span["a"])]  # first id, end, bytes, is one group
     while True:
-        sizes = [x[2] for x in atoms]
-        if all(x[3] for x in atoms):
-            best = smallest_capacity(sizes, shards)
-            return [atoms[i][0] for i in greedy_cuts(sizes, best)]
-        # the least capacity lies in [low, high]: cutting between atoms is one way; a shard can't be under the mean.
-        # Greedy filling is monotone, so cut k lies between lo, the start of an atom, and hi
-        low, high = max(largest, -(-total // shards)), smallest_capacity(sizes, shards)
-        sums = [0]
-        for s in sizes:
-            sums.append(sums[-1] + s)
-        split, lo, hi = [], 0, 0
-        for _ in range(shards - 1):
-            first = min(bisect_right(sums, lo + low) - 1, len(atoms) - 1)
-            lo, hi = sums[first], min(hi + high, total)
-            end = min(bisect_right(sums, hi), len(atoms))
-            if any(not x[3] for x in atoms[first:end]):
-                split.append((first, end))
-        if not split:
-            return [atoms[i][0] for i in greedy_cuts(sizes, smallest_capacity(sizes, shards))]
-        if len(atoms) > ATOMS:
-            raise ValueError("the groups are too unlike in size for the bound of the driver's memory")
-        spans: list[list[int]] = []  # overlapping ones together: one for each cut at most
-        for first, end in sorted(split):
-            if spans and first < spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], end)
+        sums, single = [0], [x[3] for x in atoms]
+        for x in atoms:
+            sums.append(sums[-1] + x[2])
+        high = total
+        while low < high:
+            middle = (low + high) // 2
+            if len(fluid_cuts(sums, single, middle)) < shards:
+                high = middle
             else:
-                spans.append([first, end])
+                low = middle + 1
+        cuts = fluid_cuts(sums, single, low)
+        split = sorted({i for at, i in cuts if at > sums[i]})
+        if not split:
+            return [atoms[i][0] for _, i in cuts]
         edge, width = F.lit(None).cast("long"), F.lit(None).cast("long")
-        for first, end in spans:
-            a, b = atoms[first][0], atoms[end - 1][1]
+        for i in split:
+            a, b = atoms[i][:2]
             inside = (F.col("gid") >= a) & (F.col("gid") < b)
-            # finer than any atom that isn't one group yet, so each round comes nearer
-            widest = max(x[1] - x[0] for x in atoms[first:end] if not x[3])
-            edge, width = F.when(inside, a).otherwise(edge), F.when(inside, max(-(-widest // FANOUT), 1)).otherwise(width)
-        cell = groups.withColumns({"edge": edge, "width": width}).filter("edge is not null")
+            edge, width = F.when(inside, a).otherwise(edge), F.when(inside, -(-(b - a) // FANOUT)).otherwise(width)
+        near = (F.col("gid") >= atoms[split[0]][0]) & (F.col("gid") < atoms[split[-1]][1])
+        cell = groups.filter(near).withColumns({"edge": edge, "width": width}).filter("edge is not null")
         cell = cell.withColumn("cell", F.col("edge") + F.expr("(gid - edge) div width") * F.col("width"))
         found = cell.groupBy("cell").agg(F.sum("bytes").alias("s"), F.count(F.lit(1)).alias("n"), F.min("gid").alias("a"), F.max("gid").alias("b")).collect()
-        kept = [x for i, x in enumerate(atoms) if not any(first <= i < end for first, end in spans)]
+        kept = [x for i, x in enumerate(atoms) if i not in split]
         atoms = sorted(kept + [(r["a"], r["b"] + 1, r["s"], r["n"] == 1) for r in found])
 
 

@@ -185,6 +185,39 @@ def test_sharding_subdivides_ranges(spark, monkeypatch):
     assert max(sum(sizes[a:b]) for a, b in zip(edges, edges[1:])) == brute.shards(sizes, 8)
 
 
+def test_sharding_with_a_group_of_a_third(spark):
+    n, hot = 2_000_000, 200_000
+    groups = spark.range(n).select(F.col("id").alias("gid"), F.when(F.col("id") == hot, n * 25).otherwise(F.col("id") % 97 + 1).alias("bytes"))
+    sizes = np.arange(n) % 97 + 1
+    sizes[hot] = n * 25
+    sums = np.append(0, sizes.cumsum())
+
+    def filled(capacity):
+        cuts = [0]
+        while sums[-1] - sums[cuts[-1]] > capacity:
+            cuts.append(int(np.searchsorted(sums, sums[cuts[-1]] + capacity, "right")) - 1)
+        return cuts[1:]
+
+    low, high = int(sizes.max()), int(sums[-1])
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if len(filled(middle)) < 8 else (middle + 1, high)
+    assert sharding.shard_starts(groups, 8) == filled(low)
+
+
+@pytest.mark.parametrize("hot", [0, 50, 499])
+def test_sharding_of_skewed_groups_in_small_ranges(spark, monkeypatch, hot):
+    monkeypatch.setattr(sharding, "FANOUT", 4)
+    sizes = np.random.default_rng(hot).integers(1, 50, 500).tolist()
+    sizes[hot] = sum(sizes) // 2
+    ids = [i if i % 50 else i - (1 << 40) for i in range(500)]
+    sizes = [s for _, s in sorted(zip(ids, sizes))]
+    ids = sorted(ids)
+    starts = sharding.shard_starts(spark.createDataFrame(list(zip(ids, sizes)), "gid long, bytes long"), 8)
+    edges = [0, *map(ids.index, starts), 500]
+    assert max(sum(sizes[a:b]) for a, b in zip(edges, edges[1:])) == brute.shards(sizes, 8)
+
+
 def test_license_scan(spark):
     g = np.random.default_rng(2)
     filler = lambda n: " ".join("word" + str(x) for x in g.integers(0, 5000, n))
