@@ -253,16 +253,16 @@ def _encode(name: str, full: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = known_codes(name)
         vocab = codes.vocab
+        specials = {s: (1, str(i), s) for s, i in vocab.specials.items()}
         for batch in batches:
             for part in slices(batch, 1):
-                rows: list[list[str]] = []
+                rows: list[list[tuple[bool, str]]] = []  # is a special string, unit
                 for text in part.column(1).to_pylist():
                     pieces = vocab.cut.split(text or "") if vocab.cut else [text or ""]
-                    rows.append([u for i, p in enumerate(pieces) for u in ([p] if i % 2 else _RUNS.findall(normal(p)))])
-                codes.learn({u for r in rows for u in r if u not in vocab.specials})
-                for s, i in vocab.specials.items():
-                    codes[s] = (1, str(i), s)
-                found = [[codes[u] for u in r] for r in rows]
+                    rows.append([(i % 2 == 1, u) for i, p in enumerate(pieces) for u in ([p] if i % 2 else _RUNS.findall(normal(p)))])
+                # lower-casing may make a special string of a run: that is a unit like others
+                codes.learn({u for r in rows for special, u in r if not special})
+                found = [[specials[u] if special else codes[u] for special, u in r] for r in rows]
                 # a unit may hold no token at all (then its texts are empty)
                 ids = [" ".join([c[1] for c in r if c[0]]) for r in found]
                 decoded = [" ".join([c[2] for c in r if c[0]]) for r in found]

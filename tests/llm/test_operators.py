@@ -142,6 +142,14 @@ def test_encoding(spark, source, texts):
         assert back[r.doc_id] == decoded
 
 
+def test_special_strings_in_other_case_are_text(spark):
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["<|ENDOFTEXT|> a", "a <|EndOfText|>", "<|endoftext|> <|ENDOFTEXT|>", "<|StartOfText|>x<|startoftext|>"]
+    for r in bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        ids = t.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.ids, r.n_tokens, r.decoded) == (ids, len(ids), t.decode(ids, skip_special_tokens=False))
+
+
 def test_formatting_masks_are_the_assistants_texts(spark, edges):
     coder, first = chat.encoding(chat.TOKENIZER)
     turns = spark.read.parquet(f"{edges}/conversations.parquet")
