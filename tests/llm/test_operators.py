@@ -122,6 +122,17 @@ def test_new_values_are_caught_and_inconsistent_ones_are_not(spark):
     assert got.keys() == brute.contaminated(enumerate(texts), [(1, item)]).keys()
 
 
+def test_verbatim_copies_are_met_in_any_case_and_place(spark):
+    short = "What is the capital of France?"
+    long = "After the long war the old king said\nAnna should rule the land of Norway for many years"
+    digits = "Sum 12 15 18 21 24 27 30 33 36 39"
+    texts = [f"lorem ipsum dolor {short} sit amet", f"x {short.upper()} y", f"x {long.lower()} y", f"x {long.upper()} y", long.replace("\n", " "), long.replace(" ", "\n"), f"so {digits} end", f"so {digits.replace('1', '7')} end", "lorem ipsum what is the price of milk"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate([short, long, digits])), "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {0: [0], 1: [0], 2: [1], 3: [1], 4: [1], 5: [1], 6: [2]}
+
+
 def test_token_counts(spark, source, texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for r in QUERIES["op6_token_counts"](spark, source).collect():
