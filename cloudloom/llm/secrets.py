@@ -1,9 +1,9 @@
 """Operator 2, secret scans: patterns, and a character convolutional network in numpy over every other candidate.
 
-Candidates are runs of credential characters with letters and digits. The network sees the characters of a candidate
+Candidates are all runs of credential characters of the least length, less the spans of the patterns. The network sees the characters of a candidate
 (in pieces, so whole) and of its context, marked as inside or outside; it is trained on labelled findings, its scores
-are calibrated on held-out ones (Platt), and the threshold is the highest that keeps the recall asked for there. The
-spans of the patterns stay as they are; the network's spans (kind `model`) are added where they don't overlap them.
+are calibrated on held-out ones (Platt), and the threshold is the highest that keeps the recall asked for there, over
+what a scan of their texts finds: a finding that no candidate covers has score 0. The spans of the patterns stay as they are; the network's spans (kind `model`) are added where they don't overlap them.
 
 Labelled findings: a DataFrame (text, start, stop, is_secret), of which at most MAX_FINDINGS rows are fitted, or, by
 default, findings written by a seeded generator. Null or empty texts have no spans; spans count code points; very long
@@ -30,6 +30,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "model")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=~-])[A-Za-z0-9+/_=~.-]{16,}")
+LEAST = 16
 MAX_FINDINGS = 20_000
 RECALL = 0.98
 
@@ -43,16 +44,25 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs with at least one letter and two digits, without dots at the end."""
+def candidates(text: str, taken: list[tuple[int, int, str]] | tuple = ()) -> list[tuple[int, int]]:
+    """Runs of LEAST characters at least, cut at the taken spans, without dots at the end."""
     found = []
     for m in CANDIDATE.finditer(text):
-        value = m[0].rstrip(".-=") or m[0]
-        if len(value) >= 16 and sum(c.isdigit() for c in value) >= 2 and any(c.isalpha() for c in value):
-            found.append((m.start(), m.start() + len(value)))
+        at = m.start()
+        for a, b in [*sorted((s, e) for s, e, _ in taken if s < m.end() and m.start() < e), (m.end(), m.end())]:
+            value = text[at : max(a, at)]
+            value = value.rstrip(".-=") or value
+            if len(value) >= LEAST:
+                found.append((at, at + len(value)))
+            at = max(at, b)
     return found
 
 
+def covering(text: str, start: int, stop: int, taken: list[tuple[int, int, str]]) -> tuple[int, int] | None:
+    """The candidate that holds a finding (but for what is cut off its end)."""
+    return next(((a, b) for a, b in candidates(text, taken) if a <= start < b and not text[b:stop].strip(".-=")), None)
+
+
 def features(text: str, start: int, stop: int) -> list[np.ndarray]:
     """Codes of the pieces of a candidate: 0 is none, then context and inside characters."""
 
@@ -114,21 +124,35 @@ class CharNet:
                     v2[k] = 0.99 * v2[k] + 0.01 * gk * gk
                     self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.99**step)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt scaling, then the highest threshold that keeps the recall on these findings."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Platt scaling."""
         logit = self.forward(x)[0]
         for _ in range(500):
             p = 1 / (1 + np.exp(-(self.scale * logit + self.shift)))
             self.scale -= 0.05 * float(((p - y) * logit).mean())
             self.shift -= 0.05 * float((p - y).mean())
-        secret = np.sort(self.scores(x)[y == 1])
-        self.threshold = float(secret[int(np.floor((1 - recall) * len(secret)))])
+
+    def set_threshold(self, findings: list[tuple[str, int, int]], recall: float) -> None:
+        """The highest threshold with which scans of the texts find this share of the secrets. If even all candidates
+        are too few for it, that of the least candidate that is a secret."""
+        found = []
+        for text, start, stop in findings:
+            taken = base_spans(text)
+            span = covering(text, start, stop, taken)
+            by_pattern = any(s < stop and start < e for s, e, _ in taken)
+            found.append(1.0 if by_pattern else float(self.scores(np.array(features(text, *span))).max()) if span else 0.0)
+        found.sort()
+        self.threshold = found[int(np.floor((1 - recall) * len(found)))] or min((p for p in found if p), default=0.5)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.scale * self.forward(x)[0] + self.shift)))
 
 
-def written_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, int, int, int]]:
+_ONSETS = "b c ch d f fr g gr h j k l m n p pr qu r s sch st t tr v w z th pl".split()
+_RIMES = "a e i o u an en in on un er ar or al el ation ing ung ent est os ie ei au ou ea is us at it em ik eur ment".split()
+
+
+def written_findings(n: int = 6000, seed: int = 5) -> list[tuple[str, int, int, int]]:
     """Findings (text, start, stop, is_secret) in the forms that credentials and harmless strings usually have."""
     g = np.random.default_rng(seed)
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -139,23 +163,33 @@ def written_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, int, int,
     def words(k: int) -> str:
         return " ".join(draw(low, int(g.integers(2, 9))) for _ in range(k))
 
+    def term(k: int) -> str:
+        """A long word as languages have them, of k syllables."""
+        return "".join(str(g.choice(_ONSETS)) + str(g.choice(_RIMES)) for _ in range(k))
+
+    def terms(a: int, b: int) -> list[str]:
+        return [term(size(2, 4)) for _ in range(size(a, b))]
+
     hexa, b62, b64 = dig + "abcdef", low + up + dig, low + up + dig + "+/"
     size = lambda a, b: int(g.integers(a, b))
     secret = [
         lambda: "ghp_" + draw(b62, 36), lambda: "sk_live_" + draw(b62, size(20, 30)), lambda: "xoxb-" + draw(dig, 11) + "-" + draw(b62, 24),
         lambda: draw(b62, size(20, 48)), lambda: draw(b64, size(30, 44)) + "=", lambda: "eyJ" + draw(b62, 20) + "." + draw(b62, 40) + "." + draw(b62 + "_-", 30),
         lambda: draw(hexa, size(20, 31)), lambda: "AIza" + draw(b62 + "_-", 35), lambda: draw(low + dig, size(18, 30)),
+        lambda: draw(b62, size(16, 24)), lambda: draw(low + up, size(16, 40)), lambda: draw(b64, 40), lambda: draw(up + dig, size(20, 40)),
     ]
     harmless = [
         lambda: draw(low, size(5, 9)) + "-" + draw(low, size(4, 9)) + "-" + draw(dig, 4) + "-" + draw(low, 6), lambda: "20" + draw(dig, 2) + "-" + draw(dig, 2) + "-" + draw(dig, 2) + "T" + draw(dig, 2) + "-" + draw(dig, 2) + "Z",
         lambda: "www." + draw(low, 8) + ".com/" + draw(low, 6) + "/" + draw(dig, 4), lambda: draw(up, 2) + draw(dig, size(14, 22)), lambda: draw(low, 8) + "." + draw(low, 7) + draw(dig, 2) + ".example.com",
         lambda: draw(low, 7) + "_" + draw(low, 6) + "_v" + draw(dig, 2) + ".tar.gz", lambda: draw(dig, 4) + "-" + draw(dig, 4) + "-" + draw(dig, 4) + "-" + draw(dig, 3) + draw(low, 1), lambda: "/".join(draw(low, size(3, 8)) for _ in range(4)) + "/" + draw(dig, 2),
+        lambda: term(size(7, 14)), lambda: term(size(7, 14)).capitalize(), lambda: "_".join(terms(3, 6)), lambda: "-".join(terms(3, 6)), lambda: "/".join(terms(3, 7)),
+        lambda: term(2) + "".join(x.capitalize() for x in terms(3, 6)), lambda: "_".join(terms(3, 6)).upper(), lambda: ".".join(terms(3, 6)), lambda: term(size(7, 12)).upper(), lambda: str(g.choice(list("-=_.~+/"))) * size(16, 60),
     ]
     before = ["", "key: ", "export KEY=", 'auth = "', "Authorization: Bearer ", "use ", "", ""]
     out = []
     for i in range(n):
         kind = i % 2
-        value = (secret if kind else harmless)[size(0, 9 if kind else 8)]()
+        value = (secret if kind else harmless)[size(0, len(secret if kind else harmless))]()
         lead = words(size(0, 6)) + " " + (before[size(0, 8)] if kind else before[(0, 5, 6, 7)[size(0, 4)]])
         out.append((lead + value + ["", " ", '"', ". "][size(0, 4)] + words(size(0, 4)), len(lead), len(lead) + len(value), kind))
     return out
@@ -168,12 +202,15 @@ def default_net() -> CharNet:
 
 def train(findings: list[tuple[str, int, int, int]], recall: float = RECALL) -> CharNet:
     """Fits on two thirds of the findings and calibrates on the rest."""
-    rows = [(x, y) for t, a, b, y in findings[:MAX_FINDINGS] for x in features(t, a, b)[:1]]
-    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-    held = np.arange(len(x)) // 2 % 3 == 0
+    rows = []
+    for i, (t, a, b, y) in enumerate(findings[:MAX_FINDINGS]):
+        for span in {(a, b), covering(t, a, b, base_spans(t)) or (a, b)}:
+            rows += [(x, y, i // 2 % 3 == 0) for x in features(t, *span)[:1]]
+    x, y, held = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows])
     net = CharNet()
     net.fit(x[~held], y[~held])
-    net.calibrate(x[held], y[held], recall)
+    net.calibrate(x[held], y[held])
+    net.set_threshold([(t, a, b) for i, (t, a, b, y) in enumerate(findings[:MAX_FINDINGS]) if y and i // 2 % 3 == 0], recall)
     return net
 
 
@@ -181,11 +218,10 @@ def model_spans(texts: list[str], taken: list[list[tuple[int, int, str]]], net:
     """The candidates of each text that the net takes for secrets and that overlap none of its taken spans."""
     rows, owner = [], []
     for i, text in enumerate(texts):
-        for a, b in candidates(text):
-            if all(b <= s or e <= a for s, e, _ in taken[i]):
-                for x in features(text, a, b):
-                    rows.append(x)
-                    owner.append((i, a, b))
+        for a, b in candidates(text, taken[i]):
+            for x in features(text, a, b):
+                rows.append(x)
+                owner.append((i, a, b))
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     best: dict[tuple[int, int, int], float] = {}
     for at in range(0, len(rows), 1024):
