@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that one step of numpy work takes at once; a longer text is taken whole, alone.
-SLICE_BYTES = 1 << 20
+from ..staging import shared_dir as shared_dir
+from ..staging import staged as staged
+
+#: Bytes of text that one step of numpy work takes at once (its temporaries are some 60 times as large).
+SLICE_BYTES = 1 << 18
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 1 << 12
 #: Rows of an Arrow batch at most: with whole texts in it, a batch of Spark's default of 10,000 rows is too large.
 BATCH_ROWS = 1000
 
@@ -24,23 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where it is unset (tests), a local one that is set."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="cloudloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the shared folder and read back: its lineage ends at files that outlive an executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 _SHIPPED: set[str] = set()
 
 
@@ -60,16 +49,62 @@ def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of batch in order, cut so that the text column of each part has about limit bytes."""
+def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batch in order, cut so that the text column of each part has about SLICE_BYTES bytes."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    part = np.cumsum(sizes) // limit
+    part = np.cumsum(sizes) // SLICE_BYTES
     cuts = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]):
         if b > a:
             yield batch.slice(a, b - a)
 
 
+class Piece(NamedTuple):
+    """Rows and their words, or a part of one long text. A part but the first begins with the `again` last words of the
+    part before; `first` is the place in the text of its first word; `last` is false while more parts follow."""
+
+    rows: pa.RecordBatch
+    words: "Words"
+    is_part: bool = False
+    first: int = 0
+    again: int = 0
+    last: bool = True
+
+
+def pieces(batch: pa.RecordBatch, text: int, overlap: int) -> Iterator[Piece]:
+    """The rows of batch in order, some SLICE_BYTES of text at a time. A text of more than twice that size comes alone,
+    in parts cut between words that have `overlap` words in common (all of a part, if it has fewer)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    a = 0
+    for long in [*np.flatnonzero(sizes > 2 * SLICE_BYTES).tolist(), len(sizes)]:
+        if long > a:
+            for part in slices(batch.slice(a, long - a), text):
+                yield Piece(part, Words(part.column(text)))
+        if long < len(sizes):
+            row = batch.slice(long, 1)
+            data = np.frombuffer(row.column(text)[0].as_buffer(), np.uint8)
+            start = end = first = again = 0
+            while end < len(data):
+                end = _separator(data, end + SLICE_BYTES)
+                words = Words(pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, end - start])), pa.py_buffer(data[start:end])))
+                yield Piece(row, words, True, first, again, end == len(data))
+                n = len(words.starts)
+                again = min(overlap, n)
+                first += n - again
+                start = start + int(words.starts[n - again]) if again else end
+        a = long + 1
+
+
+def _separator(data: np.ndarray, at: int) -> int:
+    """The first separator from there on, or the end."""
+    while at < len(data):
+        found = np.flatnonzero(_SEPARATES[data[at : at + SLICE_BYTES]])
+        if len(found):
+            return at + int(found[0])
+        at += SLICE_BYTES
+    return len(data)
+
+
 # Words are runs of bytes other than these (fixed values of the word rule; all are ASCII, so UTF-8 bytes will do).
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _SEPARATES = np.zeros(256, bool)
@@ -133,7 +168,36 @@ class Words:
         self.counts = np.diff(self.first)
 
     def hashes(self, lane: int = 0) -> np.ndarray:
-        return runs(_BYTE_VALUES[lane][self.data], self.starts, self.stops, lane)
+        """A hash of each word; SLICE_BYTES bytes at a time, however long the words are."""
+        out = np.empty(len(self.starts), np.uint64)
+        a = 0
+        for long in [*np.flatnonzero(self.stops - self.starts > LONG_WORD).tolist(), len(out)]:
+            while a < long:
+                b = min(max(int(np.searchsorted(self.stops, self.starts[a] + SLICE_BYTES, "right")), a + 1), long)
+                at, to = self.starts[a], self.stops[b - 1]
+                out[a:b] = runs(_BYTE_VALUES[lane][self.data[at:to]], self.starts[a:b] - at, self.stops[a:b] - at, lane)
+                a = b
+            if long < len(out):
+                word = hashlib.blake2b(self.data[self.starts[long] : self.stops[long]], digest_size=8, key=b"%d" % lane)
+                out[long] = int.from_bytes(word.digest(), "little")
+            a = long + 1
+        return out
+
+    def joined(self, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The kept words (all, if none are named) of each row, joined by one space: the bytes, and each row's range in them."""
+        row = np.repeat(np.arange(len(self.counts)), self.counts)
+        starts, stops = self.starts, self.stops
+        if kept is not None:
+            row, starts, stops = row[kept], starts[kept], stops[kept]
+        step = np.zeros(len(self.data) + 1, np.int8)
+        step[starts] += 1
+        step[stops] -= 1
+        inside = np.cumsum(step[:-1], dtype=np.int8) > 0
+        blank = starts[1:][row[1:] == row[:-1]] - 1  # what stands before a word that isn't its row's first is a separator
+        data = self.data.copy()
+        data[blank] = 0x20
+        inside[blank] = True
+        return data[inside], np.concatenate([[0], np.cumsum(inside)])[self.rows]
 
     def row_hashes(self, words: np.ndarray, lane: int = 0) -> np.ndarray:
         """A hash of each row's whole sequence of words."""

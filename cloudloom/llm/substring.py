@@ -8,8 +8,9 @@ Only windows that can repeat are shuffled. The words of a window hold one least-
 windows have equal runs, so a window whose run occurs in no other document repeats nowhere. Documents without a
 shared run, and documents whose whole word sequence has an earlier copy, are decided without their windows.
 
-A null text has no words; texts under `size` words lose nothing; words within repeated rows of one doc_id do not
-count as repeats of a smaller doc_id; null doc_ids neither lose nor cause losses. An empty table gives an empty result.
+A long text is worked on in overlapping parts, so memory is bounded by the part. A null text has no words; texts under
+`size` words lose nothing; rows of one doc_id, with equal or different texts, are each judged against smaller doc_ids
+only; null doc_ids neither lose nor cause losses. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mapped, mix, runs, signed, slices, staged, table
+from .common import Words, mapped, mix, pieces, runs, signed, staged, table
 
 WINDOW = 50
 ANCHOR = 8
@@ -63,16 +64,16 @@ def window_minima(values: np.ndarray, row: np.ndarray, span: int) -> np.ndarray:
 
 
 class Windowed:
-    """Of one slice of texts: hashed words, the windows, and each window's anchor."""
+    """Hashed words, their windows, and each window's anchor."""
 
-    def __init__(self, column: pa.Array):
-        self.words = Words(column)
-        self.hashes = [self.words.hashes(k) for k in (0, 1)]
-        self.row, self.place, self.at = self.words.windows(WINDOW)
+    def __init__(self, words: Words):
+        self.words = words
+        self.hashes = [words.hashes(k) for k in (0, 1)]
+        self.row, self.place, self.at = words.windows(WINDOW)
         first = np.arange(max(len(self.hashes[0]) - ANCHOR + 1, 0))
-        self.runs = runs(self.hashes[0], first, first + ANCHOR)
-        least = window_minima(mix(self.runs), first, WINDOW - ANCHOR + 1)
-        self.anchor = self.runs[least[self.at]] if len(self.at) else np.zeros(0, np.uint64)
+        found = runs(self.hashes[0], first, first + ANCHOR)
+        least = window_minima(mix(found), first, WINDOW - ANCHOR + 1)
+        self.anchor = found[least[self.at]] if len(self.at) else np.zeros(0, np.uint64)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (row, anchor)."""
@@ -85,40 +86,56 @@ class Windowed:
         new[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
         return row[new], anchor[new]
 
-    def spans(self, i: int) -> list[bytes]:
-        w = self.words
-        a, b = w.first[i], w.first[i + 1]
-        data = w.data.tobytes() if not hasattr(self, "_bytes") else self._bytes
-        self._bytes = data
-        return [data[s:e] for s, e in zip(w.starts[a:b].tolist(), w.stops[a:b].tolist())]
 
+class Joined:
+    """The kept words of one text, which comes in parts, joined by one space: digest and, if wanted, text."""
 
-_SUMMARY = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("whole_sha256", pa.string()), ("f0", pa.int64()), ("f1", pa.int64()), ("anchors", pa.list_(pa.int64()))])
+    def __init__(self, with_text: bool = False):
+        self.sha, self.parts, self.with_text, self.begun = hashlib.sha256(), [], with_text, False
 
+    def add(self, words: bytes) -> None:
+        if words:
+            words = b" " + words if self.begun else words
+            self.begun = True
+            self.sha.update(words)
+            if self.with_text:
+                self.parts.append(words)
 
-def _lists(row: np.ndarray, values: pa.Array, n: int) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), values)
+
+_SUMMARY = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("whole", pa.binary()), ("anchors", pa.list_(pa.int64()))])
 
 
 def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, 1):
-            w = Windowed(part.column(1))
-            row, anchor = w.anchors()
-            sha = [hashlib.sha256(b" ".join(w.spans(i))).hexdigest() for i in range(part.num_rows)]
-            prints = [pa.array(signed(w.words.row_hashes(w.hashes[k], k))) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(w.words.counts, pa.int64()), pa.array(sha), *prints, _lists(row, pa.array(signed(anchor)), part.num_rows)], schema=_SUMMARY)
-
-
-_WINDOWS = pa.schema([("doc_id", pa.int64()), ("h0", pa.int64()), ("h1", pa.int64()), ("place", pa.int32()), ("later", pa.bool_())])
+        whole, n, found = Joined(), 0, []
+        for part, words, is_part, _, again, last in pieces(batch, 2, WINDOW - 1):
+            row, anchor = Windowed(words).anchors()
+            if not is_part:
+                data, at = words.joined()
+                sha = [hashlib.sha256(data[a:b]).digest() for a, b in zip(at, at[1:])]
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)), pa.int32()), pa.array(signed(anchor)))
+                counts = pa.array(words.counts, pa.int64())
+            else:
+                kept = np.arange(len(words.starts)) >= again
+                whole.add(words.joined(kept)[0].tobytes())
+                n += int(kept.sum())
+                found.append(anchor)
+                if not last:
+                    continue
+                sha, counts, lists = [whole.sha.digest()], pa.array([n], pa.int64()), pa.array([signed(np.unique(np.concatenate(found)))], pa.list_(pa.int64()))
+                whole, n, found = Joined(), 0, []
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), counts, pa.array(sha, pa.binary()), lists], schema=_SUMMARY)
+
+
+_WINDOWS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("h0", pa.int64()), ("h1", pa.int64()), ("place", pa.int32()), ("later", pa.bool_())])
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows whose anchor is shared; later: an earlier document has the anchor too."""
     for batch in batches:
-        for part in slices(batch, 1):
-            w = Windowed(part.column(1))
-            shared = part.column(2)
+        for part, words, _, begin, _, _ in pieces(batch, 2, WINDOW - 1):
+            w = Windowed(words)
+            shared = part.column(3)
             row = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(shared).to_numpy(zero_copy_only=False))
             flat = shared.flatten()
             anchor = flat.field("anchor").to_numpy(zero_copy_only=False).view(np.uint64)
@@ -132,11 +149,11 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hit = key[at] == own if len(key) else np.zeros(len(own), bool)
             first = w.at[hit]
             h = [pa.array(signed(runs(w.hashes[k], first, first + WINDOW, k))) for k in (0, 1)]
-            ids = part.column(0).take(pa.array(w.row[hit]))
-            yield pa.RecordBatch.from_arrays([ids, *h, pa.array(w.place[hit], pa.int32()), pa.array(later[at[hit]])], schema=_WINDOWS)
+            of = pa.array(w.row[hit])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), *h, pa.array(begin + w.place[hit], pa.int32()), pa.array(later[at[hit]])], schema=_WINDOWS)
 
 
-_KEPT = pa.schema([("doc_id", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))])
+_KEPT = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))])
 
 
 def merge(starts: np.ndarray, size: int) -> np.ndarray:
@@ -150,51 +167,60 @@ def merge(starts: np.ndarray, size: int) -> np.ndarray:
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, 1):
-            w = Windowed(part.column(1))
+        text = Joined(True)
+        for part, words, _, begin, again, last in pieces(batch, 2, WINDOW - 1):
+            cuts = [merge(x.values.to_numpy(), WINDOW) for x in part.column(3)]
+            step = np.zeros(len(words.starts) + 1, np.int32)
+            for row, cut in enumerate(cuts):
+                a, b = words.first[row], words.first[row + 1]
+                np.add.at(step, np.clip(cut[:, 0] - begin + a, a, b), 1)
+                np.add.at(step, np.clip(cut[:, 1] - begin + a, a, b), -1)
+            kept = np.cumsum(step[:-1]) == 0
+            kept[:again] = False
+            data, at = words.joined(kept)
             out = []
-            for i, places in enumerate(part.column(2)):
-                words, cut = w.spans(i), merge(places.values.to_numpy(), WINDOW)
-                kept = [x for a, b in zip([0, *cut[:, 1].tolist()], [*cut[:, 0].tolist(), len(words)]) for x in words[a:b]]
-                text = b" ".join(kept)
-                out.append({"doc_id": part.column(0)[i].as_py(), "n_removed": len(words) - len(kept), "kept_sha256": hashlib.sha256(text).hexdigest(), "kept_text": text.decode(), "removed": [{"start": a, "stop": b} for a, b in cut.tolist()]})
-            yield pa.RecordBatch.from_pylist(out, schema=_KEPT)
+            for row, cut in enumerate(cuts):
+                text.add(data[at[row] : at[row + 1]].tobytes())
+                if last:
+                    out.append({"doc_id": part.column(0)[row].as_py(), "key": part.column(1)[row].as_py(), "n_removed": int((cut[:, 1] - cut[:, 0]).sum()), "kept_sha256": text.sha.hexdigest(), "kept_text": b"".join(text.parts).decode(), "removed": [{"start": a, "stop": b} for a, b in cut.tolist()]})
+                    text = Joined(True)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=_KEPT)
 
 
 def repeated_passages(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(all, cut). all: doc_id, n_words, n_removed, kept_sha256 of each row of docs. cut: doc_id, n_removed, kept_sha256,
     kept_text, removed (intervals of words) of the documents that lose words and aren't later copies of a whole document."""
-    named = docs.select("doc_id", F.col(text).alias("text"))
-    schema = "doc_id long, n_words long, whole_sha256 string, f0 long, f1 long, anchors array<long>"
-    summary = staged(mapped(named, _summarise, schema), "summary")
+    # rows are known by doc_id and a hash of their text: rows of one doc_id may have different texts
+    named = docs.select("doc_id", F.xxhash64(text).alias("key"), F.col(text).alias("text"))
+    summary = staged(mapped(named, _summarise, "doc_id long, key long, n_words long, whole binary, anchors array<long>"), "summary")
     long = summary.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= WINDOW))
     # owners are staged before they are joined to the same rows: both sides are then shuffled, so that a large group can be split
-    originals = staged(long.groupBy("f0", "f1").agg(F.min("doc_id").alias("first")), "originals")
-    first = staged(long.select("doc_id", "f0", "f1").join(originals, ["f0", "f1"]).filter("doc_id = first").select("doc_id").distinct(), "firsts")
+    originals = staged(long.groupBy("whole").agg(F.min("doc_id").alias("first")), "originals")
+    first = staged(long.select("doc_id", "key", "whole").join(originals, "whole").filter("doc_id = first").select("doc_id", "key").distinct(), "firsts")
 
-    anchors = long.select("doc_id", F.explode("anchors").alias("anchor"))
+    anchors = long.select("doc_id", "key", F.explode("anchors").alias("anchor"))
     owners = staged(anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor", "lo"), "owners")
-    shared = anchors.join(first, "doc_id", "left_semi").join(owners, "anchor").select("doc_id", F.struct("anchor", (F.col("doc_id") > F.col("lo")).alias("later")).alias("s"))
-    shared = shared.groupBy("doc_id").agg(F.collect_set("s").alias("shared"))
-    touched = staged(named.join(shared, "doc_id").dropDuplicates(["doc_id"]), "touched")
+    shared = anchors.join(first, ["doc_id", "key"], "left_semi").join(owners, "anchor").select("doc_id", "key", F.struct("anchor", (F.col("doc_id") > F.col("lo")).alias("later")).alias("s"))
+    shared = shared.groupBy("doc_id", "key").agg(F.collect_set("s").alias("shared"))
+    touched = staged(named.join(shared, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]), "touched")
 
-    windows = staged(mapped(touched.select("doc_id", "text", "shared"), _emit, "doc_id long, h0 long, h1 long, place int, later boolean"), "windows")
+    windows = staged(mapped(touched.select("doc_id", "key", "text", "shared"), _emit, "doc_id long, key long, h0 long, h1 long, place int, later boolean"), "windows")
     owner = staged(windows.groupBy("h0", "h1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h0", "h1", "lo"), "owner")
-    hits = windows.filter("later").join(owner, ["h0", "h1"]).filter("doc_id > lo").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    cut = touched.select("doc_id", "text").join(hits, "doc_id")
-    cut = staged(mapped(cut, _remove, "doc_id long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start:int,stop:int>>"), "cut")
+    hits = windows.filter("later").join(owner, ["h0", "h1"]).filter("doc_id > lo").groupBy("doc_id", "key").agg(F.collect_set("place").alias("places"))
+    cut = touched.select("doc_id", "key", "text").join(hits, ["doc_id", "key"])
+    cut = staged(mapped(cut, _remove, "doc_id long, key long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start:int,stop:int>>"), "cut")
 
-    nothing = hashlib.sha256(b"").hexdigest()
-    marks = first.withColumn("is_first", F.lit(True)).join(cut.select("doc_id", "n_removed", "kept_sha256"), "doc_id", "left")
-    out = summary.select("doc_id", "n_words", "whole_sha256").join(marks, "doc_id", "left")
+    marks = first.withColumn("is_first", F.lit(True)).join(cut.select("doc_id", "key", "n_removed", "kept_sha256"), ["doc_id", "key"], "left")
+    out = summary.select("doc_id", "key", "n_words", "whole").join(marks, ["doc_id", "key"], "left")
     copy = F.col("is_first").isNull() & (F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull()
     out = out.select(
         "doc_id",
         "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(copy, nothing).otherwise(F.coalesce("kept_sha256", "whole_sha256")).alias("kept_sha256"),
+        F.when(copy, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("whole")))).alias("kept_sha256"),
     )
-    return out, cut
+    return out, cut.drop("key")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against SQL, a library or a plain version; then nulls, empty tables and clashing columns."""
 
 import hashlib
+import subprocess
 import sys
 import zlib
 from collections import Counter, defaultdict
@@ -9,6 +10,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -16,7 +18,7 @@ from tokenizers import Tokenizer
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from cloudloom.llm import bpe, chat, decontaminate, licenses, neardup, quality, secrets, sharding, substring  # noqa: E402
+from cloudloom.llm import bpe, chat, common, decontaminate, licenses, neardup, quality, secrets, sharding, substring  # noqa: E402
 from cloudloom.llm.queries import ORACLES, QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -307,6 +309,62 @@ def test_removed_passages_are_maximal(spark):
     assert {r.doc_id: [tuple(x) for x in r.removed] for r in cut.collect()} == {2: [(5, 65)], 3: [(9, 64)]}
 
 
+def batch(texts):
+    ids = pa.array(range(len(texts)), pa.int64())
+    return pa.RecordBatch.from_arrays([ids, ids, pa.array(texts, pa.string())], names=["doc_id", "key", "text"])
+
+
+@pytest.mark.parametrize("size", [40, 700, 1 << 18])
+def test_long_texts_in_parts_are_as_whole_ones(monkeypatch, size):
+    g = np.random.default_rng(5)
+    word = lambda n: [str(x) for x in g.integers(0, 1000, n)]
+    texts = ["", None, " ".join(word(3000)), "\t".join(word(40)) + "  \n", "x" * 5000 + " " + " ".join(word(200)) + " " + "y" * 9000, "é" * 300 + " a", " " * 3000, "\n".join(word(120))]
+    monkeypatch.setattr(common, "SLICE_BYTES", size)
+    got = [r for b in substring._summarise(iter([batch(texts)])) for r in b.to_pylist()]
+    assert [r["doc_id"] for r in got] == list(range(len(texts)))
+    monkeypatch.setattr(common, "SLICE_BYTES", 1 << 30)
+    (whole,) = substring._summarise(iter([batch(texts)]))
+    for r, w, text in zip(got, whole.to_pylist(), texts):
+        assert r["whole"].hex() == sha(" ".join((text or "").split())) and r["n_words"] == len((text or "").split())
+        assert w["whole"] == r["whole"] and sorted(r["anchors"]) == sorted(w["anchors"])
+
+
+def test_a_text_of_20_mb_needs_little_memory():
+    """In a process of its own: greatest memory after and before, in MB."""
+    code = (
+        "import resource, sys, numpy as np, pyarrow as pa; from cloudloom.llm import substring as s\n"
+        "t = ' '.join(map(str, np.random.default_rng(0).integers(0, 10**6, 3_000_000)))\n"
+        "b = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([t])], names=['a', 'b', 'c'])\n"
+        "peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024\n"
+        "before = peak(); n = sum(r['n_words'] for x in s._summarise(iter([b])) for r in x.to_pylist()); print(n, peak() - before)"
+    )
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True).stdout
+    n, grown = map(int, out.split())
+    assert n == 3_000_000 and grown < 60
+
+
+def test_passages_of_rows_of_one_doc_id(spark):
+    """They may have different texts, and don't count as earlier documents for each other."""
+    g = np.random.default_rng(12)
+    word = lambda n: " ".join(str(x) for x in g.integers(0, 10**6, n))
+    p, q = word(80), word(49)
+    docs = spark.createDataFrame([(1, f"{word(300)} {p} {word(200)}"), (2, f"{word(400)} {p} {q} {word(30)} {p}"), (2, f"{p} other"), (2, p), (3, q), (None, p)], "doc_id long, text string")
+    want = sorted(tuple(r) for r in substring.repeated_passages(docs)[0].collect() if r.doc_id)
+    assert [r[2] for r in want] == [0, 80, 80, 160, 0]
+
+
+def test_removal_in_parts(monkeypatch):
+    monkeypatch.setattr(common, "SLICE_BYTES", 60)
+    text, places = " ".join(str(x) for x in range(300)), [[3, 4, 100, 249], [0]]
+    b = pa.RecordBatch.from_arrays([*batch([text, text]).columns, pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "key", "text", "places"])
+    got = [r for out in substring._remove(iter([b])) for r in out.to_pylist()]
+    assert len(got) == 2
+    for r, own in zip(got, places):
+        gone = {i for p in own for i in range(p, p + substring.WINDOW)}
+        kept = " ".join(w for i, w in enumerate(text.split()) if i not in gone)
+        assert (r["kept_text"], r["kept_sha256"], r["n_removed"]) == (kept, sha(kept), len(gone))
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, tmp_path, name):
     for t in TABLES:
