@@ -199,10 +199,6 @@ class Words:
         inside[blank] = True
         return data[inside], np.concatenate([[0], np.cumsum(inside)])[self.rows]
 
-    def row_hashes(self, words: np.ndarray, lane: int = 0) -> np.ndarray:
-        """A hash of each row's whole sequence of words."""
-        return runs(words, self.first[:-1], self.first[1:], lane)
-
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all windows of size words within one row: the row, the place in the row, the index of the first word."""
         n = np.maximum(self.counts - size + 1, 0)
@@ -211,5 +207,21 @@ class Words:
         return row, place, self.first[row] + place
 
 
+class Joined:
+    """The kept words of one text, which comes in parts, joined by one space: their digest and, if wanted, text."""
+
+    def __init__(self, empty_hash: "hashlib._Hash", with_text: bool = False):
+        self.hash, self.with_text = empty_hash, with_text
+        self.begun, self.parts = False, []
+
+    def add(self, words: bytes) -> None:
+        if words:
+            words = b" " + words if self.begun else words
+            self.begun = True
+            self.hash.update(words)
+            if self.with_text:
+                self.parts.append(words)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

@@ -45,9 +45,9 @@ first as (select seq, min(doc_id) as rep from s where n > 0 group by seq),
 member as (select doc_id, coalesce(rep, doc_id) as rep from s left join first on n > 0 and s.seq = first.seq),
 p as (select rep, unnest(ws) as word, generate_subscripts(ws, 1) as i, len(ws) as n from w join first on doc_id = rep),
 g as (select rep, i, n, string_agg(word, ' ') over (partition by rep order by i rows between current row and {SHINGLE - 1} following) as sh from p),
-sh as (select distinct rep, sh from g where i <= greatest(n - {SHINGLE - 1}, 1)),
-c as (select rep, count(*) as n from sh group by rep),
-pairs as (select x.rep as a, y.rep as b, count(*) as m from sh x join sh y on x.sh = y.sh and x.rep < y.rep group by x.rep, y.rep),
+sh as (select rep, sh, count(*) as weight from g where i <= greatest(n - {SHINGLE - 1}, 1) group by rep, sh),
+c as (select rep, sum(weight) as n from sh group by rep),
+pairs as (select x.rep as a, y.rep as b, sum(least(x.weight, y.weight)) as m from sh x join sh y on x.sh = y.sh and x.rep < y.rep group by x.rep, y.rep),
 links as (select a, b from pairs join c ca on ca.rep = a join c cb on cb.rep = b where 10 * m >= 8 * (ca.n + cb.n - m)),
 both_ways as (select a, b from links union all select b, a from links),
 reach(a, b) as (select a, b from both_ways union select r.a, e.b from reach r join both_ways e on r.b = e.a),

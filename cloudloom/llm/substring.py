@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mapped, mix, pieces, runs, signed, staged, table
+from .common import Joined, Words, mapped, mix, pieces, runs, signed, staged, table
 
 WINDOW = 50
 ANCHOR = 8
@@ -87,27 +87,12 @@ class Windowed:
         return row[new], anchor[new]
 
 
-class Joined:
-    """The kept words of one text, which comes in parts, joined by one space: digest and, if wanted, text."""
-
-    def __init__(self, with_text: bool = False):
-        self.sha, self.parts, self.with_text, self.begun = hashlib.sha256(), [], with_text, False
-
-    def add(self, words: bytes) -> None:
-        if words:
-            words = b" " + words if self.begun else words
-            self.begun = True
-            self.sha.update(words)
-            if self.with_text:
-                self.parts.append(words)
-
-
 _SUMMARY = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("whole", pa.binary()), ("anchors", pa.list_(pa.int64()))])
 
 
 def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        whole, n, found = Joined(), 0, []
+        whole, n, found = Joined(hashlib.sha256()), 0, []
         for part, words, is_part, _, again, last in pieces(batch, 2, WINDOW - 1):
             row, anchor = Windowed(words).anchors()
             if not is_part:
@@ -122,8 +107,8 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found.append(anchor)
                 if not last:
                     continue
-                sha, counts, lists = [whole.sha.digest()], pa.array([n], pa.int64()), pa.array([signed(np.unique(np.concatenate(found)))], pa.list_(pa.int64()))
-                whole, n, found = Joined(), 0, []
+                sha, counts, lists = [whole.hash.digest()], pa.array([n], pa.int64()), pa.array([signed(np.unique(np.concatenate(found)))], pa.list_(pa.int64()))
+                whole, n, found = Joined(hashlib.sha256()), 0, []
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), counts, pa.array(sha, pa.binary()), lists], schema=_SUMMARY)
 
 
@@ -167,7 +152,7 @@ def merge(starts: np.ndarray, size: int) -> np.ndarray:
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text = Joined(True)
+        text = Joined(hashlib.sha256(), True)
         for part, words, _, begin, again, last in pieces(batch, 2, WINDOW - 1):
             cuts = [merge(x.values.to_numpy(), WINDOW) for x in part.column(3)]
             step = np.zeros(len(words.starts) + 1, np.int32)
@@ -182,8 +167,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row, cut in enumerate(cuts):
                 text.add(data[at[row] : at[row + 1]].tobytes())
                 if last:
-                    out.append({"doc_id": part.column(0)[row].as_py(), "key": part.column(1)[row].as_py(), "n_removed": int((cut[:, 1] - cut[:, 0]).sum()), "kept_sha256": text.sha.hexdigest(), "kept_text": b"".join(text.parts).decode(), "removed": [{"start": a, "stop": b} for a, b in cut.tolist()]})
-                    text = Joined(True)
+                    out.append({"doc_id": part.column(0)[row].as_py(), "key": part.column(1)[row].as_py(), "n_removed": int((cut[:, 1] - cut[:, 0]).sum()), "kept_sha256": text.hash.hexdigest(), "kept_text": b"".join(text.parts).decode(), "removed": [{"start": a, "stop": b} for a, b in cut.tolist()]})
+                    text = Joined(hashlib.sha256(), True)
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_KEPT)
 

@@ -1,6 +1,7 @@
 """Plain versions of operators, a document at a time, that the tests hold the Spark versions against."""
 
 import re
+from collections import Counter
 
 import regex
 
@@ -61,6 +62,21 @@ def contaminated(docs, items):
     return out
 
 
+def classes(texts, size, least):
+    """doc_id -> least doc_id of its class: texts whose counted word windows have a weighted Jaccard similarity of least."""
+    bags = {}
+    for i, text in texts.items():
+        w = text.split()
+        bags[i] = Counter(tuple(w[k : k + size]) for k in range(max(len(w) - size + 1, 1)))
+    label = {i: i for i in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and label[a] != label[b] and (bags[a] & bags[b]).total() >= least * (bags[a] | bags[b]).total() - 1e-9:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {i: new if x == old else x for i, x in label.items()}
+    return label
+
+
 def shards(sizes, n):
     """Least greatest shard over all ways to cut sizes into n runs, by dynamic programming."""
     sums = [0]

@@ -297,7 +297,37 @@ def test_near_duplicates_by_counts(spark):
     body = " ".join("w" + str(x) for x in g.integers(0, 10**6, 100))
     docs = spark.createDataFrame([(1, body), (2, body + " end"), (3, f"{body} {body} {body}")], "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in neardup.near_duplicates(docs, weights="count").collect()} == {1: 1, 2: 1, 3: 3}
-    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 1}
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(docs, weights="set").collect()} == {1: 1, 2: 1, 3: 1}
+
+
+@pytest.mark.parametrize("limits", [{}, {"PAIRS_A_ROW": 0, "SALT_ROWS": 1, "BROADCAST_IDS": 0}])
+def test_buckets_of_several_classes(spark, monkeypatch, limits):
+    """A family of texts at all distances, in few bands, so that buckets hold several classes; each switch's other side."""
+    for k, v in limits.items():
+        monkeypatch.setattr(neardup, k, v)
+    g = np.random.default_rng(14)
+    body = [str(x) for x in g.integers(0, 10**6, 60)]
+    texts = []
+    for i in range(70):
+        own = list(body)
+        for k in range(i % 9):
+            own[int(g.integers(0, 60))] = f"x{i}.{k}"
+        texts.append(" ".join(own + own[: 20 * (i % 2)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+    assert got == brute.classes(dict(enumerate(texts)), neardup.SHINGLE, neardup.SIMILARITY) and len(set(got.values())) > 3
+
+
+def test_rows_of_one_doc_id_with_different_texts(spark):
+    """The text with the least fingerprint stands for the doc_id; keep_one keeps its first row."""
+    g = np.random.default_rng(15)
+    a, b = (" ".join(str(x) for x in g.integers(0, 10**6, 40)) for _ in "ab")
+    docs = spark.createDataFrame([(5, a), (5, b), (6, a), (7, b), (5, a), (None, a), (8, ""), (9, None)], "doc_id long, text string").withColumn("rep", F.lit("clash"))
+    got = sorted((r.doc_id, r.class_id) for r in neardup.near_duplicates(docs).collect() if r.doc_id is not None)
+    assert got == [(5, 5), (5, 5), (5, 5), (6, 5), (7, 5), (8, 8), (9, 9)]
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(5, min(a, b)), (0, a), (8, ""), (9, "")])
 
 
 def test_removed_passages_are_maximal(spark):
