@@ -61,7 +61,8 @@ def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
 
 class Piece(NamedTuple):
     """Rows and their words, or a part of one long text. A part but the first begins with the `again` last words of the
-    part before; `first` is the place in the text of its first word; `last` is false while more parts follow."""
+    part before; `first` is the place in the text of its first word, `byte` that of its first byte; `last` is false while
+    more parts follow."""
 
     rows: pa.RecordBatch
     words: "Words"
@@ -69,6 +70,7 @@ class Piece(NamedTuple):
     first: int = 0
     again: int = 0
     last: bool = True
+    byte: int = 0
 
 
 def pieces(batch: pa.RecordBatch, text: int, overlap: int) -> Iterator[Piece]:
@@ -87,7 +89,7 @@ def pieces(batch: pa.RecordBatch, text: int, overlap: int) -> Iterator[Piece]:
             while end < len(data):
                 end = _separator(data, end + SLICE_BYTES)
                 words = Words(pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, end - start])), pa.py_buffer(data[start:end])))
-                yield Piece(row, words, True, first, again, end == len(data))
+                yield Piece(row, words, True, first, again, end == len(data), start)
                 n = len(words.starts)
                 again = min(overlap, n)
                 first += n - again

@@ -60,7 +60,7 @@ def shingled(batch: pa.RecordBatch, text: int, weights: str) -> Iterator[tuple[p
     """Rows of batch, the fingerprints (two numbers each) of their words, and their weighed shingles."""
     empty = hashlib.blake2b(digest_size=16)
     whole, found, few = Joined(empty.copy()), [], np.zeros(0, np.uint64)
-    for part, words, is_part, _, again, last in pieces(batch, text, SHINGLE - 1):
+    for part, words, is_part, _, again, last, _ in pieces(batch, text, SHINGLE - 1):
         h = words.hashes()
         row, _, at = words.windows(SHINGLE)
         value = runs(h, at, at + SHINGLE)

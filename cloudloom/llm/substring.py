@@ -93,7 +93,7 @@ _SUMMARY = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_words", p
 def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         whole, n, found = Joined(hashlib.sha256()), 0, []
-        for part, words, is_part, _, again, last in pieces(batch, 2, WINDOW - 1):
+        for part, words, is_part, _, again, last, _ in pieces(batch, 2, WINDOW - 1):
             row, anchor = Windowed(words).anchors()
             if not is_part:
                 data, at = words.joined()
@@ -118,7 +118,7 @@ _WINDOWS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("h0", pa.int
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows whose anchor is shared; later: an earlier document has the anchor too."""
     for batch in batches:
-        for part, words, _, begin, _, _ in pieces(batch, 2, WINDOW - 1):
+        for part, words, _, begin, _, _, _ in pieces(batch, 2, WINDOW - 1):
             w = Windowed(words)
             shared = part.column(3)
             row = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(shared).to_numpy(zero_copy_only=False))
@@ -153,7 +153,7 @@ def merge(starts: np.ndarray, size: int) -> np.ndarray:
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = Joined(hashlib.sha256(), True)
-        for part, words, _, begin, again, last in pieces(batch, 2, WINDOW - 1):
+        for part, words, _, begin, again, last, _ in pieces(batch, 2, WINDOW - 1):
             cuts = [merge(x.values.to_numpy(), WINDOW) for x in part.column(3)]
             step = np.zeros(len(words.starts) + 1, np.int32)
             for row, cut in enumerate(cuts):

@@ -252,32 +252,110 @@ def test_sharding_of_skewed_groups_in_small_ranges(spark, monkeypatch, hot):
     assert max(sum(sizes[a:b]) for a, b in zip(edges, edges[1:])) == brute.shards(sizes, 8)
 
 
+def scanned(texts, templates=licenses.TEMPLATES):
+    out = defaultdict(list)
+    for b in licenses._scan(templates)(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])])):
+        for r in b.to_pylist():
+            out[r["doc_id"]].append(r)
+    return out
+
+
 def test_license_scan(spark):
     g = np.random.default_rng(2)
-    filler = lambda n: " ".join("word" + str(x) for x in g.integers(0, 5000, n))
-    docs, want = [(0, filler(400)), (1, None), (2, "")], {}
+    filler = lambda n: " ".join("wörd" + str(x) for x in g.integers(0, 5000, n))
+    docs, want = [(0, filler(400)), (1, None), (2, ""), (None, "See: " + licenses.TEMPLATES["MIT"])], {}
     for k, (name, text) in enumerate(licenses.TEMPLATES.items(), 3):
-        changed = text.split(" ")
-        if len(changed) > 12:
-            changed[6] = "otherwise"
         lead = filler(30) + " "
-        docs.append((k, lead + " ".join(changed) + " " + filler(30)))
-        want[k] = (name, len(lead), len(lead) + len(text.rstrip(".")))
-    got = defaultdict(list)
-    for r in licenses.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect():
-        got[r.doc_id].append(r)
-        assert licenses.MIN_COVERAGE <= r.coverage <= 1
-    assert set(got) == set(want)
-    for k, (name, a, b) in want.items():
-        r = next(x for x in got[k] if x.license == name)
-        assert r.start == a and r.coverage > 0.9 and (r.stop == b or r.coverage < 1)
+        docs.append((k, f"{lead}{text} {filler(30)}"))
+        want[k] = (name, len(lead), len(lead) + len(text.rstrip(".:/")))
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("license", F.lit("clash"))
+    got = [r for r in licenses.license_scan(df).collect()]
+    assert [(r.license, r.start) for r in got if r.doc_id is None] == [("MIT", 5)]
+    found = {r.doc_id: r for r in got if r.doc_id is not None}
+    assert len(got) == len(found) + 1 and {k: (r.license, r.start, r.stop) for k, r in found.items()} == want
+    assert all(r.coverage == 1 for r in got)
+    own = spark.createDataFrame([("own", "this text is ours alone"), ("none", None)], "license string, text string")
+    assert [(r.doc_id, r.license) for r in licenses.license_scan(spark.createDataFrame([(1, "so this text is ours alone")], "doc_id long, text string"), own).collect()] == [(1, "own")]
+
+
+def changed(words, g, share=0.2):
+    """About a share of the words replaced, dropped or added to."""
+    out = []
+    for w in words:
+        kind = int(g.integers(0, 3)) if g.random() < share else 3
+        out += [[f"x{g.integers(0, 99)}"], [], [w, f"y{g.integers(0, 99)}"], [w]][kind]
+    return out
+
+
+def test_license_scan_finds_what_alignment_accepts():
+    """Changed templates in running text: of those that an alignment at any place covers enough, 95 % at least are found."""
+    g = np.random.default_rng(3)
+    texts, of, index = [], [], licenses.Index(licenses.TEMPLATES)
+    for t, name in enumerate(index.names):
+        for _ in range(12):
+            lead = [f"w{x}" for x in g.integers(0, 5000, int(g.integers(0, 40)))]
+            words = [w for w, _, _ in licenses.words_with_spans(licenses.TEMPLATES[name])]
+            texts.append(" ".join(lead + changed(words, g) + lead[:10]))
+            of.append(t)
+    got, accepted, found = scanned(texts), 0, 0
+    for i, (text, t) in enumerate(zip(texts, of)):
+        n, words = len(index.words[t]), [w for w, _, _ in licenses.words_with_spans(text)]
+        known = {w: k for k, w in enumerate(sorted(set(words) | {w for w, _, _ in licenses.words_with_spans(licenses.TEMPLATES[index.names[t]])}))}
+        a, b = (np.array([known[w] for w, _, _ in licenses.words_with_spans(x)]) for x in (licenses.TEMPLATES[index.names[t]], text))
+        if any(licenses.align(a, b, s, licenses.band_of(n))[0] >= index.least[t] for s in range(-n // 3, len(b), 2)):
+            accepted += 1
+            # at that place the template, or one that has more words in common with it, is reported
+            found += any(r["matched_words"] >= index.least[t] for r in got[i])
+    assert accepted > 400 and found >= 0.95 * accepted, (found, accepted)
+
+
+def test_alignment_is_the_least_edit_distance():
+    g = np.random.default_rng(4)
+    for _ in range(60):
+        a, b = g.integers(0, 5, int(g.integers(1, 9))), g.integers(0, 5, int(g.integers(0, 12)))
+        best = None  # (edits, -matches) over all ways, ends of b free
+        table = [[(0, 0)] * (len(b) + 1)]
+        for x in a:
+            row = [(table[-1][0][0] + 1, table[-1][0][1])]
+            for j, y in enumerate(b):
+                c, m = table[-1][j]
+                row.append(min((c, m - 1) if x == y else (c + 1, m), (table[-1][j + 1][0] + 1, table[-1][j + 1][1]), (row[-1][0] + 1, row[-1][1])))
+            table.append(row)
+        best = min(table[-1])
+        matched, first, end = licenses.align(a, b, 0, 40)
+        assert matched == -best[1] and (matched == 0 or (b[first] in a and b[end - 1] in a and end > first))
+
+
+def test_license_versions_are_told_apart():
+    got = scanned([f"This work is licensed under the GNU General Public License, version {v}." for v in "23"] + ["Licensed under CC BY-SA 4.0. Licensed under CC BY 3.0."])
+    assert [[r["license"] for r in got[i]] for i in range(3)] == [["GPL-2.0-notice"], ["GPL-3.0-notice"], ["CC-BY-SA-4.0-notice", "CC-BY-3.0-notice"]]
+
+
+def test_license_scan_of_long_texts_in_parts(monkeypatch):
+    g = np.random.default_rng(6)
+    word = lambda n: " ".join("é" + str(x) for x in g.integers(0, 5000, n))
+    text = f"{word(900)} {licenses.TEMPLATES['MIT']} {word(3000)} {licenses.TEMPLATES['Apache-2.0-header']} {word(50)} Released under the MIT License"
+    want = scanned([text, "x"])
+    monkeypatch.setattr(common, "SLICE_BYTES", 1000)
+    assert scanned([text, "x"]) == want and [r["license"] for r in want[0]] == ["MIT", "Apache-2.0-header", "MIT-notice"]
 
 
 def test_license_scan_of_given_documents(spark, source, texts):
+    """Against every template at every place of the documents, with the overlaps settled in the same way."""
+    got = defaultdict(list)
     for r in QUERIES["op9_license_scan"](spark, source).collect():
-        own = {w for w, _, _ in licenses.words_with_spans(licenses.TEMPLATES[r.license])}
-        span = [w for w, _, _ in licenses.words_with_spans(texts[r.doc_id][r.start : r.stop])]
-        assert sum(w in own for w in span) >= r.matched_words
+        got[r.doc_id].append((r.matched_words, r.coverage, r.license, r.start, r.stop))
+    own = {k: [w for w, _, _ in licenses.words_with_spans(t)] for k, t in licenses.TEMPLATES.items()}
+    short = {k: w for k, w in own.items() if len(w) <= 12}
+    for doc, text in texts.items():
+        spans = words = licenses.words_with_spans((text or "")[:3000])
+        words = [w for w, _, _ in spans]
+        exact = [(len(w), 1.0, k, spans[i][1], spans[i + len(w) - 1][2]) for k, w in short.items() for i in range(len(words)) if words[i : i + len(w)] == w]
+        for x in exact:
+            assert any(y[0] >= x[0] and y[3] < x[4] and x[3] < y[4] for y in got[doc])
+        for n, c, k, a, b in got[doc]:
+            inside = [w for w, _, _ in licenses.words_with_spans(text[a:b])]
+            assert n <= len(inside) and licenses.MIN_COVERAGE <= c <= 1 and sum(w in own[k] for w in inside) >= n
 
 
 def test_dart_signatures_estimate_weighted_jaccard():
