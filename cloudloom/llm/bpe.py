@@ -249,7 +249,7 @@ def normal(text: str) -> str:
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.string()), ("decoded", pa.string())])
 
 
-def _encode(name: str, full: bool) -> Callable:
+def _encode(name: str, with_ids: bool, with_decoded: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = known_codes(name)
         vocab = codes.vocab
@@ -268,17 +268,18 @@ def _encode(name: str, full: bool) -> Callable:
                 decoded = [" ".join([c[2] for c in r if c[0]]) for r in found]
                 digest = [[hashlib.sha256(x.encode()).hexdigest() for x in xs] for xs in (ids, decoded)]
                 empty = [None] * len(rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sum(c[0] for c in r) for r in found], pa.int64()), *map(pa.array, digest), pa.array(ids if full else empty, pa.string()), pa.array(decoded if full else empty, pa.string())], schema=_ENCODED)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sum(c[0] for c in r) for r in found], pa.int64()), *map(pa.array, digest), pa.array(ids if with_ids else empty, pa.string()), pa.array(decoded if with_decoded else empty, pa.string())], schema=_ENCODED)
 
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", text: str = "text", full: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if full, ids (array) and decoded (text)."""
+def encode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", text: str = "text", with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, where wanted, ids (array) and decoded (text)."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids string, decoded string"
-    out = mapped(docs.select("doc_id", F.col(text).alias("text")), _encode(tokenizer, full), schema)
-    if not full:
-        return out.drop("ids", "decoded")
+    out = mapped(docs.select("doc_id", F.col(text).alias("text")), _encode(tokenizer, with_ids, with_decoded), schema)
+    out = out.drop(*["ids"] * (not with_ids), *["decoded"] * (not with_decoded))
+    if not with_ids:
+        return out
     return out.withColumn("ids", F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", " ").cast("array<int>")))
 
 
@@ -299,4 +300,4 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"), full=False)
+    return encode(table(spark, sf_dir, "documents"), with_ids=False, with_decoded=False)

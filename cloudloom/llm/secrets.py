@@ -6,7 +6,7 @@ are calibrated on held-out ones (Platt), and the threshold is the highest that k
 what a scan of their texts finds: a finding that no candidate covers has score 0. The spans of the patterns stay as they are; the network's spans (kind `model`) are added where they don't overlap them.
 
 Labelled findings: a DataFrame (text, start, stop, is_secret), of which at most MAX_FINDINGS rows are fitted, or, by
-default, findings written by a seeded generator. Null or empty texts have no spans; spans count code points; very long
+default, findings written by a seeded generator. Null or empty texts have no spans; null doc_ids stay null; spans count code points; very long
 texts are scanned whole; repeated rows give repeated results; an empty table gives an empty result.
 """
 
@@ -152,8 +152,9 @@ _ONSETS = "b c ch d f fr g gr h j k l m n p pr qu r s sch st t tr v w z th pl".s
 _RIMES = "a e i o u an en in on un er ar or al el ation ing ung ent est os ie ei au ou ea is us at it em ik eur ment".split()
 
 
-def written_findings(n: int = 6000, seed: int = 5) -> list[tuple[str, int, int, int]]:
-    """Findings (text, start, stop, is_secret) in the forms that credentials and harmless strings usually have."""
+def written_findings(n: int = 6000, seed: int = 5, forms: Callable[[int], bool] = lambda k: True) -> list[tuple[str, int, int, int]]:
+    """Findings (text, start, stop, is_secret) in the forms that credentials and harmless strings usually have; of the
+    secret forms only those of the wanted numbers."""
     g = np.random.default_rng(seed)
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
@@ -178,6 +179,7 @@ def written_findings(n: int = 6000, seed: int = 5) -> list[tuple[str, int, int,
         lambda: draw(hexa, size(20, 31)), lambda: "AIza" + draw(b62 + "_-", 35), lambda: draw(low + dig, size(18, 30)),
         lambda: draw(b62, size(16, 24)), lambda: draw(low + up, size(16, 40)), lambda: draw(b64, 40), lambda: draw(up + dig, size(20, 40)),
     ]
+    secret = [f for k, f in enumerate(secret) if forms(k)]
     harmless = [
         lambda: draw(low, size(5, 9)) + "-" + draw(low, size(4, 9)) + "-" + draw(dig, 4) + "-" + draw(low, 6), lambda: "20" + draw(dig, 2) + "-" + draw(dig, 2) + "-" + draw(dig, 2) + "T" + draw(dig, 2) + "-" + draw(dig, 2) + "Z",
         lambda: "www." + draw(low, 8) + ".com/" + draw(low, 6) + "/" + draw(dig, 4), lambda: draw(up, 2) + draw(dig, size(14, 22)), lambda: draw(low, 8) + "." + draw(low, 7) + draw(dig, 2) + ".example.com",
@@ -205,7 +207,7 @@ def train(findings: list[tuple[str, int, int, int]], recall: float = RECALL) ->
     rows = []
     for i, (t, a, b, y) in enumerate(findings[:MAX_FINDINGS]):
         for span in {(a, b), covering(t, a, b, base_spans(t)) or (a, b)}:
-            rows += [(x, y, i // 2 % 3 == 0) for x in features(t, *span)[:1]]
+            rows += [(x, y, i // 2 % 3 == 0) for x in features(t, *span)]
     x, y, held = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows])
     net = CharNet()
     net.fit(x[~held], y[~held])
@@ -280,7 +282,7 @@ def secret_scan(docs: DataFrame, text: str = "text", findings: DataFrame | None
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs, each secret in text replaced by a mark and n_chars counted anew; null texts stay null."""
+    """docs, each secret in text replaced by a mark and n_chars, if there, counted anew; null texts stay null."""
     net = default_net()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +296,9 @@ def redacted(docs: DataFrame) -> DataFrame:
                 yield part.set_column(k, part.schema.field(k), new)
 
     out = mapped(docs, run, docs.schema)
-    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

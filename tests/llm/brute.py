@@ -1,5 +1,6 @@
 """Plain versions of operators, a document at a time, that the tests hold the Spark versions against."""
 
+import math
 import re
 from collections import Counter
 
@@ -19,6 +20,20 @@ def secret_spans(text):
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
+def net_score(net, text, a, b, start, stop):
+    """Of the piece text[a:b] of the candidate text[start:stop]: 20 characters before it, 40 of it, 8 after."""
+    code = lambda c: ord(c) - 31 if 32 <= ord(c) < 127 else 96
+    left, core, right = text[max(start - 20, 0) : start], text[a:b], text[stop : stop + 8]
+    row = [0] * (20 - len(left)) + [code(c) for c in left] + [code(c) + 97 for c in core] + [code(c) for c in right]
+    row += [0] * (68 - len(row))
+    p = net.p
+    total = float(p["off"][0])
+    for f in range(len(p["bias"])):
+        values = [max(p["bias"][f] + sum(p["taps"][k][row[i + k]][f] for k in range(5)), 0.0) for i in range(64)]
+        total += max(values) * p["out"][f] + sum(values) / 64 * p["out"][len(p["bias"]) + f]
+    return 1 / (1 + math.exp(-(net.scale * total + net.shift)))
+
+
 def canonical(text):
     text = text.replace("\x01", " ").replace("\x02", " ")
     text = regex.sub(r"(\p{Lu}(?<=\p{Ll}[,;]? \p{Lu})[\p{L}'-]+)", "\x01name\x02\\1", text)

@@ -7,6 +7,7 @@ from pathlib import Path
 import duckdb
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -50,6 +51,31 @@ def test_stages(spark, tmp_path):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for r in states[5].to_pylist():
         found = t.encode(after[r["doc_id"]], add_special_tokens=False).ids
+        assert r["ids"] == found
         assert (r["n_tokens"], r["ids_sha256"]) == (len(found), hashlib.sha256(" ".join(map(str, found)).encode()).hexdigest())
     run = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in run.select("doc_id").collect()} == ids[5]
+
+
+def test_stages_on_edge_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, one doc_id with two texts, columns that clash; then an empty table."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    good = " ".join(f"word{i}" for i in range(80))
+    texts = [None, "", good, good, good + " more", "x" * 100_000, "same " * 90, good.replace("word", "w"), f"{good.replace(chr(119), chr(116))} token = abcdefgh1234", None, good.replace("word", "v")]
+    rows = [(i if i < 9 else None, t, None, ["h1", None][i % 2], None if t is None else len(t)) for i, t in enumerate(texts)] + [(7, good.replace("word", "u"), "en", "h1", 1)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("_row", "_host", "_id", "_nth", "verdict", "rep", "key", "bucket", "label", "ids", "h", "class_id"):
+        docs = docs.withColumn(c, F.lit(c))
+    stages = corpus_pipeline.STAGES
+    for frame, name in ((docs, "some"), (docs.limit(0), "none")):
+        now = frame
+        for k, (_, stage) in enumerate(stages):
+            before = now.count()
+            stage(spark, now, SF).write.parquet(f"{tmp_path}/{name}{k}")
+            now = spark.read.parquet(f"{tmp_path}/{name}{k}")
+            assert now.count() <= before and (k == 4 or now.columns == docs.columns)
+        ids = sorted((r.doc_id is None, r.doc_id or 0) for r in now.select("doc_id").collect())
+        # 0, 1, 5, 6 and the null text fail the rules; 3, 4 and one row of 7 are copies; the null doc_id stays
+        assert ids == ([(False, 2), (False, 7), (False, 8), (True, 0)] if name == "some" else [])
+    plain = docs.select("doc_id", "text")
+    assert secrets.redacted(plain).columns == ["doc_id", "text"] and secrets.redacted(plain).count() == len(rows)
