@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows the stage before it kept; all but the last return the
 columns of documents. Rejected documents go, one document of each class of near duplicates stays, contaminated
-documents go, secrets are replaced by a mark, and what is left is encoded."""
+documents go, secrets are replaced by a mark, and what is left is encoded: doc_id, n_tokens, ids, and digests of the
+ids and of the decoded text.
+
+Null and empty texts have no words and so fail the quality rules; very long texts are taken whole. Rows with a null
+doc_id are judged by the rules, kept by the stages that judge by doc_id, and encoded. Of repeated rows, and of rows of
+one doc_id with different texts, one stays. A null source is a host of its own. Further columns travel along up to the
+last stage, whatever their names. An empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -29,7 +35,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, full=False)
+    return bpe.encode(docs, with_decoded=False)
 
 
 STAGES = [
