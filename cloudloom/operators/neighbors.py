@@ -6,47 +6,49 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions.columns import exact_mean, exact_sum, q6, squared
-from ..sources.views import POINTS_SQL, TRIANGLES_SQL, cloud, features, points, triangles
+from ..functions.columns import exact_mean, exact_sum, q6, squared, units
+from ..sources.views import LARGE_SQL, POINTS_SQL, TRIANGLES_SQL, cloud, features, large_clouds, points, triangles
+from .grid import corners, finite, searches, triangle_searches
+
+
+_CUBE = ["k", "level", "cx", "cy", "cz"]
 
 
 def knn(queries: DataFrame, reference: DataFrame, k: int) -> DataFrame:
     """The k nearest reference points of each query point of the same cloud: k, i, j, d2, rank (from 0); ties to the lower index.
 
-    For clouds of some thousand points: the join is by cloud, and the window keeps k rows before it shuffles."""
-    q = queries.select("k", "i", *[F.col(a).alias("q" + a) for a in "xyz"])
-    r = reference.select("k", F.col("i").alias("j"), *[F.col(a).alias("r" + a) for a in "xyz"])
-    pairs = q.join(r, "k").withColumn("d2", squared("q", "r"))
+    Candidates come from the cubes about a point; the window keeps k rows before it shuffles."""
+    q, r = searches(finite(queries.select("k", "i", *"xyz")), finite(reference.select("k", F.col("i").alias("j"), *"xyz")), k)
+    pairs = q.join(r, _CUBE).withColumn("d2", squared("q", "r")).filter(F.col("d2") <= F.col("bound"))
     rank = F.row_number().over(Window.partitionBy("k", "i").orderBy("d2", "j")) - 1
     return pairs.withColumn("rank", rank).filter(F.col("rank") < k).select("k", "i", "j", "d2", "rank")
 
 
-def nearest(queries: DataFrame, reference: DataFrame, cell: float | None = None) -> DataFrame:
-    """k, i, d2 of the nearest reference point. With cell, the clouds are cut into cubes of that side: a point looks
-    into its own and the 26 cubes around; where it finds something within a side, that is the nearest; only the other
-    points are compared with their whole cloud. So a cloud of n points needs far fewer than n * n pairs."""
-    q = queries.select("k", "i", *[F.col(a).alias("q" + a) for a in "xyz"])
-    r = reference.select("k", *[F.col(a).alias("r" + a) for a in "xyz"])
-    least = F.min("d2").alias("d2")
-    if cell is None:
-        return q.join(r, "k").withColumn("d2", squared("q", "r")).groupBy("k", "i").agg(least)
-    cube = [F.floor(F.col("r" + a) / cell).alias("c" + a) for a in "xyz"]
-    around = [F.explode(F.array(*[F.floor(F.col("q" + a) / cell) + s for s in (-1, 0, 1)])).alias("c" + a) for a in "xyz"]
-    seen = q
-    for c in around:
-        seen = seen.select("*", c)
-    near = seen.join(r.select("*", *cube), ["k", "cx", "cy", "cz"]).withColumn("d2", squared("q", "r")).groupBy("k", "i").agg(least)
-    near = near.filter(F.col("d2") <= cell * cell)
-    rest = q.join(near, ["k", "i"], "left_anti")
-    far = rest.join(r, "k").withColumn("d2", squared("q", "r")).groupBy("k", "i").agg(least)
-    return near.unionByName(far)
-
-
-def chamfer(a: DataFrame, b: DataFrame, cell: float | None = None) -> DataFrame:
+def nearest(queries: DataFrame, reference: DataFrame) -> DataFrame:
+    """k, i, d2 of the nearest reference point, from the cubes about each point."""
+    q, r = searches(finite(queries.select("k", "i", *"xyz")), finite(reference.select("k", *"xyz")), 1)
+    pairs = q.join(r, _CUBE).withColumn("d2", squared("q", "r")).filter(F.col("d2") <= F.col("bound"))
+    return pairs.groupBy("k", "i").agg(F.min("d2").alias("d2"))
+
+
+def tagged(df: DataFrame, *tags: str) -> DataFrame:
+    """df once for each tag, as clouds of their own: k is a struct of the old k and the tag. So one search does several."""
+    k = F.explode(F.array(*[F.struct("k", F.lit(t).alias("tag")) for t in tags]))
+    return df.select(k.alias("k"), *[c for c in df.columns if c != "k"])
+
+
+def both_ways(a: DataFrame, b: DataFrame) -> DataFrame:
+    """k, side, i, d2: of the points of a (side a) the nearest of b, and of those of b (side b) the nearest of a."""
+    a, b = a.select("k", "i", *"xyz"), b.select("k", "i", *"xyz")
+    near = nearest(tagged(a, "a").union(tagged(b, "b")), tagged(b, "a").union(tagged(a, "b")))
+    return near.select("k.k", F.col("k.tag").alias("side"), "i", "d2")
+
+
+def chamfer(a: DataFrame, b: DataFrame) -> DataFrame:
     """k, forward, backward, cd: both directed means of squared nearest distances, and their sum."""
-    one = nearest(a, b, cell).groupBy("k").agg(exact_mean("d2").alias("forward"))
-    two = nearest(b, a, cell).groupBy("k").agg(exact_mean("d2").alias("backward"))
-    return one.join(two, "k").withColumn("cd", F.col("forward") + F.col("backward"))
+    mean = lambda side: F.sum(F.when(F.col("side") == side, units("d2"))) / F.count_if(F.col("side") == side) / 1e9
+    means = both_ways(a, b).groupBy("k").agg(mean("a").alias("forward"), mean("b").alias("backward"))
+    return means.filter("forward is not null and backward is not null").withColumn("cd", F.col("forward") + F.col("backward"))
 
 
 def frame(df: DataFrame) -> DataFrame:
@@ -70,39 +72,39 @@ def normalized_chamfer(a: DataFrame, b: DataFrame) -> DataFrame:
     return flat.join(cd, "k", "left").select("k", F.when(F.col("flat"), 0.0).otherwise(F.col("cd")).alias("cd"))
 
 
-def _dot(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
-
-
-def point_triangle_d2() -> tuple[Column, Column]:
-    """(weights u, w; squared distance, given u and w) of the point q and the triangle a, b, g: the closest point by Voronoi region (Ericson)."""
-    v = lambda p, c: F.col({"b": {"x": "bx", "y": "by_", "z": "bz"}}.get(p, {}).get(c, p + c))
-    ab, ac, ap = ({c: v(p, c) - v("a", c) for c in "xyz"} for p in "bgq")
-    d1, d2, abab, abac, acac = _dot(ab, ap), _dot(ac, ap), _dot(ab, ab), _dot(ab, ac), _dot(ac, ac)
-    d3, d4, d5, d6 = d1 - abab, d2 - abac, d1 - abac, d2 - acac
-    vc, vb, va = d1 * d4 - d3 * d2, d5 * d2 - d1 * d6, d3 * d6 - d5 * d4
-    zero, one, t = F.lit(0.0), F.lit(1.0), (d4 - d3) / ((d4 - d3) + (d5 - d6))
-    cases = [
-        ((d1 <= 0) & (d2 <= 0), zero, zero),
-        ((d3 >= 0) & (d4 <= d3), one, zero),
-        ((vc <= 0) & (d1 >= 0) & (d3 <= 0), d1 / (d1 - d3), zero),
-        ((d6 >= 0) & (d5 <= d6), zero, one),
-        ((vb <= 0) & (d2 >= 0) & (d6 <= 0), zero, d2 / (d2 - d6)),
-        ((va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0), 1 - t, t),
-    ]
-    u, w = vb / (va + vb + vc), vc / (va + vb + vc)
-    for test, x, y in reversed(cases):
-        u, w = F.when(test, x).otherwise(u), F.when(test, y).otherwise(w)
-    rest = {c: ap[c] - F.col("u") * ab[c] - F.col("w") * ac[c] for c in "xyz"}
-    return F.struct(u.alias("u"), w.alias("w")), _dot(rest, rest)
+def with_triangle_d2(pairs: DataFrame) -> DataFrame:
+    """pairs of points q and triangles a, b, g with d2: the plane's distance above the triangle, else its nearest edge's.
+
+    Edges are m = b - a, n = g - a, o = g - b; s = q - a, u = q - b. Steps are columns of their own, so that none is
+    computed twice; a flat edge or triangle counts as what is left of it."""
+    corner = lambda p, c: "by_" if (p, c) == ("b", "y") else p + c
+    ends = (("m", "b", "a"), ("n", "g", "a"), ("o", "g", "b"), ("s", "q", "a"), ("u", "q", "b"))
+    dot = lambda x, y: " + ".join(f"{x}_{c} * {y}_{c}" for c in "xyz")
+    rest = lambda p, *steps: " + ".join(f"pow({p}_{c} - {' - '.join(f'{t} * {e}_{c}' for t, e in steps)}, 2)" for c in "xyz")
+    part = lambda x, y: f"if({y} > 0, greatest(0.0D, least(1.0D, {x} / {y})), 0.0D)"
+    d = pairs.selectExpr("k", "i", *[f"{corner(p, c)} - {corner(q, c)} as {n}_{c}" for n, p, q in ends for c in "xyz"])
+    d = d.selectExpr("*", *[f"{dot(*x)} as {x}" for x in ("mm", "mn", "nn", "oo", "ms", "ns", "ou")])
+    d = d.selectExpr("*", f"{part('ms', 'mm')} as tm", f"{part('ns', 'nn')} as tn", f"{part('ou', 'oo')} as to", "nullif(mm * nn - mn * mn, 0.0D) as area")
+    d = d.selectExpr("*", "(nn * ms - mn * ns) / area as y", "(mm * ns - mn * ms) / area as z")
+    edges = f"least({rest('s', ('tm', 'm'))}, {rest('s', ('tn', 'n'))}, {rest('u', ('to', 'o'))})"
+    d = d.selectExpr("k", "i", f"{edges} as edges", f"if(y >= 0 and z >= 0 and y + z <= 1, {rest('s', ('y', 'm'), ('z', 'n'))}, null) as plane")
+    return d.selectExpr("k", "i", "least(edges, plane) as d2")  # least skips null
+
+
+def surface_distances(cloud_: DataFrame, mesh: DataFrame) -> DataFrame:
+    """k, i, d2: the squared distance of each point to the nearest triangle of its mesh.
+
+    The nearest corner bounds it; only triangles that come within that bound are compared, through the cubes they meet."""
+    points_ = finite(cloud_.select("k", "i", *"xyz"))
+    reach = nearest(points_, corners(mesh)).select("k", "i", F.sqrt("d2").alias("reach"))
+    q, t = triangle_searches(points_, mesh, reach)
+    pairs = q.join(t, _CUBE).filter(F.col("level") == F.greatest("mine", "least"))
+    return with_triangle_d2(pairs).groupBy("k", "i").agg(F.min("d2").alias("d2"))
 
 
 def point_to_surface(cloud_: DataFrame, mesh: DataFrame) -> DataFrame:
     """k, p2s: the mean squared distance of a cloud's points to the nearest triangle of its mesh."""
-    weights, d2 = point_triangle_d2()
-    pairs = cloud_.select("k", "i", *[F.col(a).alias("q" + a) for a in "xyz"]).join(mesh, "k")
-    pairs = pairs.withColumn("_w", weights).select("*", "_w.u", "_w.w").withColumn("d2", d2)
-    return pairs.groupBy("k", "i").agg(F.min("d2").alias("d2")).groupBy("k").agg(exact_mean("d2").alias("p2s"))
+    return surface_distances(cloud_, mesh).groupBy("k").agg(exact_mean("d2").alias("p2s"))
 
 
 _D2 = "(q.{p}x - r.{s}x) * (q.{p}x - r.{s}x) + (q.{p}y - r.{s}y) * (q.{p}y - r.{s}y) + (q.{p}z - r.{s}z) * (q.{p}z - r.{s}z)"
@@ -153,9 +155,22 @@ def chamfer_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CD)
 def chamfer_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As chamfer_raw, by cubes."""
+    """As chamfer_raw (both go by cubes)."""
     p = points(spark, sf_dir)
-    return chamfer(cloud(p, "p"), cloud(p, "c"), 0.05).select("k", q6("forward").alias("forward"), q6("backward").alias("backward"), q6("cd").alias("cd"))
+    return chamfer(cloud(p, "p"), cloud(p, "c")).select("k", q6("forward").alias("forward"), q6("backward").alias("backward"), q6("cd").alias("cd"))
+
+
+@query(f"WITH {LARGE_SQL}, {_knn_sql('c', 'c', 4)} SELECT k, rank, count(*) AS n, CAST(sum(CAST(floor(d2 * 1e9 + 0.5) AS BIGINT)) AS BIGINT) AS total, CAST(sum(j) AS BIGINT) AS sum_j FROM knn GROUP BY k, rank")
+def knn_large_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 4 nearest points of each point in clouds of many points, with many ties."""
+    c = cloud(large_clouds(spark, sf_dir), "c")
+    return knn(c, c, 4).groupBy("k", "rank").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("d2") * 1e9 + 0.5)).alias("total"), F.sum("j").alias("sum_j"))
+
+
+@query(f"WITH {LARGE_SQL}, {_near_sql('a', 'p', 'c')}, {_near_sql('b', 'c', 'p')} SELECT a.k AS k, floor(a.v * 1e6 + 0.5) / 1e6 AS forward, floor(b.v * 1e6 + 0.5) / 1e6 AS backward FROM a JOIN b ON a.k = b.k")
+def chamfer_large_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = large_clouds(spark, sf_dir)
+    return chamfer(cloud(p, "p"), cloud(p, "c")).select("k", q6("forward").alias("forward"), q6("backward").alias("backward"))
 
 
 FRAME_SQL = """
@@ -241,7 +256,7 @@ def infocd_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half the sum over both directions of the mean of -log softmax(-d2 / 2)."""
     p = points(spark, sf_dir)
     a, b = cloud(p, "p"), cloud(p, "c")
-    both = nearest(a, b).withColumn("side", F.lit(0)).union(nearest(b, a).withColumn("side", F.lit(1)))
+    both = both_ways(a, b)
     lse = both.groupBy("side", "k").agg(F.log(F.sum(F.exp(-0.5 * F.col("d2")))).alias("lse"))
     mean = both.join(lse, ["side", "k"]).groupBy("side", "k").agg(F.avg(0.5 * F.col("d2") + F.col("lse")).alias("v"))
     return mean.groupBy("k").agg((F.floor(F.sum("v") * 0.5 * 1e5 + 0.5) / 1e5).alias("infocd"))
@@ -257,7 +272,7 @@ def summed_infocd(spark: SparkSession, sf_dir: str, square_root: bool) -> DataFr
     p = points(spark, sf_dir)
     a, b = cloud(p, "p"), cloud(p, "c")
     t = F.sqrt(F.greatest("d2", F.lit(1e-9))) if square_root else F.col("d2")
-    both = nearest(a, b).withColumn("side", F.lit(0)).union(nearest(b, a).withColumn("side", F.lit(1))).withColumn("t", t)
+    both = both_ways(a, b).withColumn("t", t)
     side = both.groupBy("side", "k").agg((F.sum(0.5 * F.col("t")) + F.count(F.lit(1)) * 1e-7 * F.log(F.sum(F.exp(-0.5 * F.col("t")) + 1e-7))).alias("v"))
     return side.groupBy("k").agg((F.floor(F.sum("v") * 0.5 * 1e4 + 0.5) / 1e4).alias("infocd"))
 
@@ -296,6 +311,6 @@ def displacement_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {POINTS_SQL}, {_near_sql('a', 'p', 'c')}, {_near_sql('b', 'c', 'p')}, {_near_sql('c', 'n', 'c')}, {_near_sql('d', 'c', 'n')} SELECT a.k AS k, floor((a.v + b.v) / greatest(c.v + d.v, 1e-12) * 1e5 + 0.5) / 1e5 AS relative FROM a JOIN b ON a.k = b.k JOIN c ON a.k = c.k JOIN d ON a.k = d.k")
 def relative_squared_chamfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    own = chamfer(cloud(p, "p"), cloud(p, "c")).select("k", F.col("cd").alias("own"))
-    base = chamfer(cloud(p, "n"), cloud(p, "c")).select("k", F.col("cd").alias("base"))
-    return own.join(base, "k").select("k", (F.floor(F.col("own") / F.greatest("base", F.lit(1e-12)) * 1e5 + 0.5) / 1e5).alias("relative"))
+    cd = chamfer(tagged(cloud(p, "p"), "own").union(tagged(cloud(p, "n"), "base")), tagged(cloud(p, "c"), "own", "base"))
+    both = cd.groupBy("k.k").agg(*[F.max(F.when(F.col("k.tag") == t, F.col("cd"))).alias(t) for t in ("own", "base")])
+    return both.select("k", (F.floor(F.col("own") / F.greatest("base", F.lit(1e-12)) * 1e5 + 0.5) / 1e5).alias("relative"))

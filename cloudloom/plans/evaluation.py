@@ -7,37 +7,80 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions.columns import q6, score
-from ..operators.neighbors import FRAME_SQL, _near_sql, _region_sql, normalized_chamfer, point_to_surface
+from ..operators.neighbors import FRAME_SQL, _near_sql, _region_sql, normalized_chamfer, point_to_surface, tagged
 from ..sources.views import POINTS_SQL, TRIANGLES_SQL, cloud, points, triangles
 
 
+KINDS = ("pred", "noisy")
+
+
+def of_kinds(metric: DataFrame, name: str) -> DataFrame:
+    """k, <name>_pred, <name>_noisy of a metric of clouds tagged by kind, where both are there."""
+    wide = metric.groupBy("k.k").agg(*[F.max(F.when(F.col("k.tag") == t, F.col(name))).alias(f"{name}_{t}") for t in KINDS])
+    return wide.filter(f"{name}_pred is not null and {name}_noisy is not null")
+
+
+def score_rows(metrics: DataFrame, require_p2s: bool) -> DataFrame:
+    """metrics (k, cd_pred, cd_noisy[, p2s_pred, p2s_noisy]) with cd_score, p2s_score, total_score: half and half, or the CD
+    score alone if P2S is not required. Of the P2S values both or none must be there, and both if they are required."""
+    out = metrics.withColumn("cd_score", score(F.col("cd_pred"), F.col("cd_noisy")))
+    if "p2s_pred" not in metrics.columns:
+        out = out.withColumns({c: F.lit(None).cast("double") for c in ("p2s_pred", "p2s_noisy")})
+    some, both = (f(F.col("p2s_pred").isNotNull(), F.col("p2s_noisy").isNotNull()) for f in (lambda x, y: x | y, lambda x, y: x & y))
+    bad = (some & ~both) | (~both & F.lit(require_p2s))
+    value = F.when(bad, F.raise_error(F.concat(F.lit("P2S values are missing of "), F.col("k").cast("string"))).cast("double")).otherwise(score(F.col("p2s_pred"), F.col("p2s_noisy")))
+    out = out.withColumn("p2s_score", value if require_p2s else F.when(bad, value))
+    return out.withColumn("total_score", 0.5 * F.col("cd_score") + 0.5 * F.col("p2s_score") if require_p2s else F.col("cd_score"))
+
+
 def scored(predicted: DataFrame, noisy: DataFrame, clean: DataFrame, mesh: DataFrame | None = None) -> DataFrame:
-    """k, cd_pred, cd_noisy, cd_score[, p2s_pred, p2s_noisy, p2s_score], total_score of each predicted cloud."""
-    out = normalized_chamfer(predicted, clean).withColumnRenamed("cd", "cd_pred").join(normalized_chamfer(noisy, clean).withColumnRenamed("cd", "cd_noisy"), "k")
-    out = out.withColumn("cd_score", score(F.col("cd_pred"), F.col("cd_noisy")))
-    if mesh is None:
-        return out.withColumn("total_score", F.col("cd_score"))
-    p2s = point_to_surface(predicted, mesh).withColumnRenamed("p2s", "p2s_pred").join(point_to_surface(noisy, mesh).withColumnRenamed("p2s", "p2s_noisy"), "k")
-    out = out.join(p2s, "k", "left").withColumn("p2s_score", score(F.col("p2s_pred"), F.col("p2s_noisy")))
-    return out.withColumn("total_score", F.when(F.col("p2s_score").isNull(), F.col("cd_score")).otherwise(0.5 * F.col("cd_score") + 0.5 * F.col("p2s_score")))
+    """k, cd_pred, cd_noisy, p2s_pred, p2s_noisy, cd_score, p2s_score, total_score of each predicted cloud. Both clouds go
+    through one search; P2S is measured, and required, where a mesh is given."""
+    both = tagged(predicted.select("k", "i", *"xyz"), "pred").union(tagged(noisy.select("k", "i", *"xyz"), "noisy"))
+    out = of_kinds(normalized_chamfer(both, tagged(clean, *KINDS)), "cd")
+    if mesh is not None:
+        out = out.join(of_kinds(point_to_surface(both, tagged(mesh, *KINDS)), "p2s"), "k", "left")
+    return score_rows(out, mesh is not None)
 
 
 def zero_filled(expected: DataFrame, scores: DataFrame) -> DataFrame:
     """expected (k, synset) with the scores of each; what was not predicted is missing and scores 0."""
     out = expected.join(scores, "k", "left").withColumn("missing", F.col("total_score").isNull())
-    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("cd_score", "total_score")})
+    zero = {"cd_score": F.coalesce("cd_score", F.lit(0.0)), "total_score": F.coalesce("total_score", F.lit(0.0)), "p2s_score": F.when(F.col("missing"), 0.0).otherwise(F.col("p2s_score"))}
+    return out.withColumns(zero)
 
 
 def rolled_up(rows: DataFrame) -> DataFrame:
-    """By synset and in all (synset null): means of the scores over all expected samples, of the raw metric over those present."""
-    micro = F.floor(F.col("total_score") * 1e6 + 0.5)
-    raw = F.floor(F.when(~F.col("missing"), F.col("cd_pred")) * 1e9 + 0.5)
-    return rows.rollup("synset").agg(
+    """By synset and in all (synset null): counts, means of the scores over all expected samples, and of the raw metrics
+    over those present. P2S means are null where P2S was not scored; the total is then the CD mean."""
+    micro = lambda c: F.floor(F.col(c) * 1e6 + 0.5)
+    has_p2s = F.count_if(~F.col("missing") & F.col("p2s_score").isNotNull()) > 0
+    mean = lambda c: F.sum(micro(c)) / F.count(F.lit(1)) / 1e6
+    raw = {c: F.floor(F.when(~F.col("missing"), F.col(c)) * 1e9 + 0.5) for c in ("cd_pred", "cd_noisy", "p2s_pred", "p2s_noisy")}
+    out = rows.rollup("synset").agg(
         F.count(F.lit(1)).alias("n"),
+        F.count_if(~F.col("missing")).alias("n_valid"),
         F.count_if("missing").alias("n_missing"),
-        (F.sum(micro) / F.count(F.lit(1)) / 1e6).alias("mean_score"),
-        (F.sum(raw) / F.count(raw) / 1e9).alias("mean_cd"),
+        mean("cd_score").alias("mean_cd_score"),
+        F.when(has_p2s, mean("p2s_score")).alias("mean_p2s_score"),
+        *[(F.sum(v) / F.count(v) / 1e9).alias(f"mean_{c}") for c, v in raw.items()],
     )
+    total = F.when(F.col("mean_p2s_score").isNull(), F.col("mean_cd_score")).otherwise(0.5 * F.col("mean_cd_score") + 0.5 * F.col("mean_p2s_score"))
+    return out.withColumn("total_score", total)
+
+
+def missing_ids(rows: DataFrame) -> DataFrame:
+    """k, synset of the expected samples that were not predicted: a table, not a list, so of any length."""
+    return rows.filter("missing").select("k", "synset")
+
+
+#: Columns of the score table in the order of its CSV.
+SCORE_COLUMNS = ("sample_id", "synset", "missing", "cd_pred", "cd_noisy", "cd_score", "p2s_pred", "p2s_noisy", "p2s_score", "total_score")
+
+
+def write_scores(rows: DataFrame, path: str) -> None:
+    """The score table as CSV with a header, in order of sample_id; an existing path is an error."""
+    rows.select(F.col("k").cast("string").alias("sample_id"), *SCORE_COLUMNS[1:]).orderBy("sample_id").write.mode("errorifexists").csv(path, header=True)
 
 
 def unexpected(expected: DataFrame, scores: DataFrame) -> DataFrame:
@@ -72,23 +115,61 @@ def eval_total_with_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir, True).select("k", (F.floor(F.col("total_score") * 1e3 + 0.5) / 1e3).alias("total_score"))
 
 
-_EXPECTED_SQL = "ex AS (SELECT CAST(range AS INTEGER) AS k, CASE WHEN range % 3 = 0 THEN 'a' WHEN range % 3 = 1 THEN 'b' ELSE 'c' END AS synset FROM range(0, 12))"
+# The universe: all samples there are, and two more that nobody predicts.
+_EXPECTED_SQL = "ks AS (SELECT k FROM pts UNION SELECT max(k) + 1 FROM pts UNION SELECT max(k) + 2 FROM pts), ex AS (SELECT k, CASE WHEN k % 3 = 0 THEN 'a' WHEN k % 3 = 1 THEN 'b' ELSE 'c' END AS synset FROM ks)"
 
 
-def _expected(spark: SparkSession) -> DataFrame:
-    k = F.col("id").cast("int")
-    return spark.range(12).select(k.alias("k"), F.when(k % 3 == 0, "a").when(k % 3 == 1, "b").otherwise("c").alias("synset"))
+def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    more = p.agg(F.max("k").alias("m")).select(F.explode(F.array(F.col("m") + 1, F.col("m") + 2)).alias("k"))
+    k = F.col("k")
+    return p.select("k").distinct().union(more).select("k", F.when(k % 3 == 0, "a").when(k % 3 == 1, "b").otherwise("c").alias("synset"))
 
 
-@query(f"{_EVAL_SQL}, {_EXPECTED_SQL}, z AS (SELECT synset, sc.k IS NULL AS missing, coalesce(cd_score, 0.0) AS s, cd_pred FROM ex LEFT JOIN sc ON ex.k = sc.k) SELECT synset, count(*) AS n, CAST(sum(CASE WHEN missing THEN 1 ELSE 0 END) AS BIGINT) AS n_missing, floor(CAST(sum(CAST(floor(s * 1e6 + 0.5) AS BIGINT)) AS BIGINT) / count(*) / 1e6 * 1e3 + 0.5) / 1e3 AS mean_score, floor(CAST(sum(CAST(floor(cd_pred * 1e9 + 0.5) AS BIGINT)) AS BIGINT) / count(cd_pred) / 1e9 * 1e5 + 0.5) / 1e5 AS mean_cd FROM z GROUP BY ROLLUP (synset)")
+def _mean_sql(v: str, digits: str, alias: str, scale: str = "1e6", over: str = "count(*)") -> str:
+    return f"floor(CAST(sum(CAST(floor({v} * {scale} + 0.5) AS BIGINT)) AS BIGINT) / {over} / {scale} * {digits} + 0.5) / {digits} AS {alias}"
+
+
+_Z = f"{_EXPECTED_SQL}, z AS (SELECT synset, sc.k IS NULL AS missing, coalesce(cd_score, 0.0) AS s, cd_pred, cd_noisy FROM ex LEFT JOIN sc ON ex.k = sc.k)"
+
+
+@query(f"{_EVAL_SQL}, {_Z} SELECT synset, count(*) AS n, CAST(sum(CASE WHEN missing THEN 1 ELSE 0 END) AS BIGINT) AS n_missing, {_mean_sql('s', '1e3', 'mean_score')}, {_mean_sql('cd_pred', '1e5', 'mean_cd', '1e9', 'count(cd_pred)')} FROM z GROUP BY ROLLUP (synset)")
 def eval_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = rolled_up(zero_filled(_expected(spark), _scores(spark, sf_dir)))
-    return r.select("synset", "n", "n_missing", (F.floor(F.col("mean_score") * 1e3 + 0.5) / 1e3).alias("mean_score"), (F.floor(F.col("mean_cd") * 1e5 + 0.5) / 1e5).alias("mean_cd"))
+    r = rolled_up(zero_filled(_expected(spark, sf_dir), _scores(spark, sf_dir)))
+    return r.select("synset", "n", "n_missing", (F.floor(F.col("total_score") * 1e3 + 0.5) / 1e3).alias("mean_score"), (F.floor(F.col("mean_cd_pred") * 1e5 + 0.5) / 1e5).alias("mean_cd"))
+
+
+_SURFACE_SQL = f"{_EVAL_SQL}, {TRIANGLES_SQL}, {_surface('p')}, {_surface('n')}, ss AS (SELECT pv.k AS k, pv.v AS p2s_pred, nv.v AS p2s_noisy, {_SCORE.format(p='pv.v', n='nv.v')} AS p2s_score FROM pv JOIN nv ON pv.k = nv.k)"
+_ROUNDED = {"mean_cd_score": "1e2", "mean_p2s_score": "1e2", "mean_cd_pred": "1e5", "mean_cd_noisy": "1e5", "mean_p2s_pred": "1e5", "mean_p2s_noisy": "1e5", "total_score": "1e2"}
+
+
+@query(f"""{_SURFACE_SQL}, {_EXPECTED_SQL}, z AS (SELECT synset, sc.k IS NULL AS missing, coalesce(cd_score, 0.0) AS cs, coalesce(p2s_score, 0.0) AS ps, cd_pred, cd_noisy, p2s_pred, p2s_noisy FROM ex LEFT JOIN sc ON ex.k = sc.k LEFT JOIN ss ON ex.k = ss.k),
+r AS (SELECT synset, count(*) AS n, CAST(sum(CASE WHEN missing THEN 0 ELSE 1 END) AS BIGINT) AS n_valid, CAST(sum(CASE WHEN missing THEN 1 ELSE 0 END) AS BIGINT) AS n_missing,
+  CAST(sum(CAST(floor(cs * 1e6 + 0.5) AS BIGINT)) AS BIGINT) / count(*) / 1e6 AS c, CASE WHEN sum(CASE WHEN missing THEN 0 ELSE 1 END) > 0 THEN CAST(sum(CAST(floor(ps * 1e6 + 0.5) AS BIGINT)) AS BIGINT) / count(*) / 1e6 END AS p,
+  {', '.join(_mean_sql(m, '1e5', 'mean_' + m, '1e9', f'count({m})') for m in ('cd_pred', 'cd_noisy', 'p2s_pred', 'p2s_noisy'))} FROM z GROUP BY ROLLUP (synset))
+SELECT synset, n, n_valid, n_missing, floor(c * 1e2 + 0.5) / 1e2 AS mean_cd_score, floor(p * 1e2 + 0.5) / 1e2 AS mean_p2s_score, mean_cd_pred, mean_cd_noisy, mean_p2s_pred, mean_p2s_noisy, floor((CASE WHEN p IS NULL THEN c ELSE 0.5 * c + 0.5 * p END) * 1e2 + 0.5) / 1e2 AS total_score FROM r""")
+def eval_rollup_with_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole roll-up: both scores and the raw metrics, by category and in all."""
+    r = rolled_up(zero_filled(_expected(spark, sf_dir), _scores(spark, sf_dir, True)))
+    return r.select("synset", "n", "n_valid", "n_missing", *[(F.floor(F.col(c) * float(d) + 0.5) / float(d)).alias(c) for c, d in _ROUNDED.items()])
 
 
 @query(f"{_EVAL_SQL}, {_EXPECTED_SQL} SELECT ex.k AS k, synset, sc.k IS NULL AS missing FROM ex LEFT JOIN sc ON ex.k = sc.k")
 def eval_missing_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return zero_filled(_expected(spark), _scores(spark, sf_dir)).select("k", "synset", "missing")
+    return zero_filled(_expected(spark, sf_dir), _scores(spark, sf_dir)).select("k", "synset", "missing")
+
+
+@query(f"{_EVAL_SQL}, {_EXPECTED_SQL} SELECT k, synset FROM ex WHERE k NOT IN (SELECT k FROM sc)")
+def eval_missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return missing_ids(zero_filled(_expected(spark, sf_dir), _scores(spark, sf_dir)))
+
+
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'both' WHEN o_orderkey % 4 = 1 THEN 'none' ELSE 'one' END AS p2s FROM orders")
+def p2s_both_or_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether both, none or one of two optional values of a score row are there; one alone is an error of score_rows."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).alias("p2s_pred"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_totalprice")).when(F.col("o_orderkey") % 4 == 3, F.col("o_totalprice")).alias("p2s_noisy"))
+    n = F.col("p2s_pred").isNotNull().cast("int") + F.col("p2s_noisy").isNotNull().cast("int")
+    return o.select("k", F.when(n == 2, "both").when(n == 0, "none").otherwise("one").alias("p2s"))
 
 
 @query(f"WITH m AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 0.0 ELSE o_totalprice / 1000 END AS n, CASE WHEN o_orderkey % 10 = 0 THEN 0.0 ELSE o_custkey / 10.0 END AS p FROM orders) SELECT id, floor({_SCORE.format(p='p', n='n')} * 1e6 + 0.5) / 1e6 AS score FROM m")

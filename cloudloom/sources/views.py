@@ -16,6 +16,12 @@ TRIANGLES_SQL = """
 tri AS (SELECT a.k AS k, a.i AS f, a.cx AS ax, a.cy AS ay, a.cz AS az, b.cx AS bx, b.cy AS by_, b.cz AS bz, c.cx AS gx, c.cy AS gy, c.cz AS gz
   FROM pts a JOIN pts b ON a.k = b.k AND b.i = a.i + 1 JOIN pts c ON a.k = c.k AND c.i = a.i + 2 WHERE a.i % 3 = 0)"""
 
+LARGE_SQL = """
+big AS (SELECT s_nationkey AS k, l_quantity / 50 AS cx, l_extendedprice / 100000 AS cy, l_discount * 10 AS cz,
+  CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount) - 1 AS INTEGER) AS i
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+pts AS (SELECT k, i, cx, cy, cz, cx + 0.003 * (i % 7) AS px, cy + 0.002 * (i % 5) AS py, cz - 0.001 * (i % 3) AS pz FROM big)"""
+
 UNIVERSE_SQL = "uni AS (SELECT p_partkey AS id, p_brand AS synset FROM part)"
 LOG_SQL = "log AS (SELECT event_id + 1 AS step, event_id // 500 AS epoch, 1 + event_id % 7 AS weight, value AS metric, event_type FROM events)"
 
@@ -33,6 +39,15 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.withColumns(moved).drop("dx", "dy", "dz")
 
 
+def large_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, i, clean (c) and predicted (p) coordinates: order lines by the nation of their supplier."""
+    line = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    order = Window.partitionBy("s_nationkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
+    big = line.select(F.col("s_nationkey").alias("k"), (F.row_number().over(order) - 1).alias("i"), (F.col("l_quantity") / 50).alias("cx"), (F.col("l_extendedprice") / 100000).alias("cy"), (F.col("l_discount") * 10).alias("cz"))
+    moved = {"px": F.col("cx") + 0.003 * (F.col("i") % 7), "py": F.col("cy") + 0.002 * (F.col("i") % 5), "pz": F.col("cz") - 0.001 * (F.col("i") % 3)}
+    return big.withColumns(moved)
+
+
 def cloud(df: DataFrame, p: str) -> DataFrame:
     """k, i, x, y, z of one of the clouds c, n, p."""
     return df.select("k", "i", *[F.col(f"{p}{a}").alias(a) for a in "xyz"])

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloudloom.functions.columns import score
-from cloudloom.operators.neighbors import chamfer, knn, nearest, normalized_chamfer
+from cloudloom.operators import grid
+from cloudloom.operators.neighbors import chamfer, knn, nearest, normalized_chamfer, surface_distances
 from cloudloom.operators.patches import farthest_points, starts, weighted_quantiles
 from cloudloom.sources.files import list_archive, read_clouds, read_ledger, repeated_keys
 
@@ -23,11 +24,45 @@ def test_ties_go_to_the_lower_index(spark):
     assert [r.i for r in farthest_points(starts(c, ("index0",)), c, 4).orderBy("rank").collect()] == [0, 1, 2, 3]
 
 
-@pytest.mark.parametrize("cell", [0.05, 0.3, 5.0])
-def test_grid_is_exact(spark, cell):
+@pytest.mark.parametrize("one_cube", [8, 512])
+def test_search_through_cubes_is_exact(spark, monkeypatch, one_cube):
+    """Clusters, outliers, duplicates and a cloud of fewer points than neighbours asked for."""
+    monkeypatch.setattr(grid, "ONE_CUBE", one_cube)
     g = np.random.default_rng(3)
-    a, b = cloud(spark, g.normal(size=(60, 3))), cloud(spark, g.normal(size=(50, 3)))
-    assert sorted(map(tuple, nearest(a, b, cell).collect())) == sorted(map(tuple, nearest(a, b).collect()))
+    b = np.concatenate([g.normal(size=(150, 3)) * 0.01, g.normal(size=(100, 3)), [[40, 0, 0], [40, 0, 0]]])
+    a = np.concatenate([b[:60], g.normal(size=(60, 3)) * 2, [[-30, 5, 9], [0, 0, 90]]])
+    q, r = cloud(spark, a).union(cloud(spark, a[:3], 1)), cloud(spark, b).union(cloud(spark, b[:2], 1))
+    d2 = ((a[:, None] - b[None]) ** 2 @ [1.0, 1.0, 1.0])
+    want = {(0, i, j) for i, row in enumerate(d2) for j in sorted(range(len(b)), key=lambda j: (row[j], j))[:5]} | {(1, i, j) for i in range(3) for j in range(2)}
+    assert {(x.k, x.i, x.j) for x in knn(q, r, 5).collect()} == want
+    got = {x.i: x.d2 for x in nearest(q, r).filter("k = 0").collect()}
+    assert len(got) == len(a) and np.allclose([got[i] for i in range(len(a))], d2.min(1))
+
+
+def test_points_that_are_no_numbers_have_no_neighbours(spark):
+    c = cloud(spark, [(0, 0, 0), (float("nan"), 0, 0), (1, 0, 0), (float("inf"), 1, 1)])
+    assert {(r.i, r.j) for r in knn(c, c, 4).collect()} == {(0, 0), (0, 2), (2, 0), (2, 2)}
+
+
+@pytest.mark.parametrize("one_cube", [8, 512])
+def test_surface_distance_is_exact(spark, monkeypatch, one_cube):
+    """Small, large and flat triangles; points near and far; against a fine sampling and a flat triangle's edge."""
+    monkeypatch.setattr(grid, "ONE_CUBE", one_cube)
+    g = np.random.default_rng(5)
+    base = g.uniform(-1, 1, size=(60, 1, 3))
+    tri = base + g.normal(size=(60, 3, 3)) * g.choice([0.02, 0.2, 2.0], size=(60, 1, 1))
+    tri[0, 2] = tri[0, 1]  # no area
+    tri[1] = tri[1, :1]  # one point
+    names = "ax ay az bx by_ bz gx gy gz".split()
+    mesh = spark.createDataFrame([(0, f, *map(float, t.reshape(-1))) for f, t in enumerate(tri)], "k int, f int, " + ", ".join(f"{n} double" for n in names))
+    pts = np.concatenate([g.uniform(-1, 1, size=(40, 3)), [[9, 9, 9]], tri[:3, 0]])
+    got = {r.i: r.d2 for r in surface_distances(cloud(spark, pts), mesh).collect()}
+    n = 60
+    w = np.array([(i / n, j / n, 1 - (i + j) / n) for i in range(n + 1) for j in range(n + 1 - i)])
+    samples = np.einsum("wc,tcx->twx", w, tri).reshape(-1, 3)
+    for i, p in enumerate(pts):
+        near = np.sqrt(((samples - p) ** 2).sum(1).min())
+        assert near - 0.15 <= np.sqrt(got[i]) <= near + 1e-9
 
 
 def test_flat_cloud_scores_nothing(spark):
