@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions.columns import q6, squared
 from ..sources.views import POINTS_SQL, cloud, points
+from ..staging import staged
 from .neighbors import _D2, knn
 
 #: Ways to choose the first of the sampled points.
@@ -18,15 +19,16 @@ PATCH, SEED_K = 16, 3
 TINY = 2.2250738585072014e-308
 
 
-def farthest_points(starts: DataFrame, clouds: DataFrame, count: int) -> DataFrame:
-    """plan, k, rank, i: the points that farthest-point sampling takes, from start point s of each plan and cloud.
+def farthest_points(starts: DataFrame, clouds: DataFrame, count: int | None = None) -> DataFrame:
+    """plan, k, rank, i: the points that farthest-point sampling takes, from start point s of each plan and cloud: count, or
+    as many as the column n of starts says.
 
     One cloud is a group of its own: each step needs the least distances after the step before. Ties go to the lower index."""
 
     def sample(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
         xyz, ids = pdf[["x", "y", "z"]].to_numpy(), pdf["i"].to_numpy()
-        n = min(count, len(ids))
+        n = min(int(pdf["n"].iloc[0]), len(ids))
         least, taken = np.full(len(ids), np.inf), np.zeros(n, np.int64)
         at = int(np.searchsorted(ids, pdf["s"].iloc[0]))
         for r in range(n):
@@ -37,7 +39,14 @@ def farthest_points(starts: DataFrame, clouds: DataFrame, count: int) -> DataFra
             at = int(least.argmax())
         return pd.DataFrame({"plan": pdf["plan"].iloc[0], "k": pdf["k"].iloc[0], "rank": np.arange(n, dtype=np.int32), "i": ids[taken]})
 
-    return starts.join(clouds, "k").groupBy("plan", "k").applyInPandas(sample, "plan string, k int, rank int, i int")
+    starts = starts if count is None else starts.withColumn("n", F.lit(count))
+    kind = starts.schema["k"].dataType.simpleString()
+    if not kind.startswith("struct"):
+        return starts.join(clouds, "k").groupBy("plan", "k").applyInPandas(sample, f"plan string, k {kind}, rank int, i int")
+    # a key of several parts is carried as its JSON text through pandas
+    text = F.to_json("k").alias("k")
+    out = farthest_points(starts.select("plan", text, "s", "n"), clouds.select(text, "i", *"xyz"))
+    return out.withColumn("k", F.from_json("k", starts.schema["k"].dataType))
 
 
 def starts(clouds: DataFrame, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
@@ -77,10 +86,8 @@ def seed_count(clouds: DataFrame, seed_k: float = SEED_K, size: int = PATCH) ->
 
 def plan(clouds: DataFrame, strategies: tuple[str, ...] = ("index0",), size: int = PATCH) -> DataFrame:
     """Patches of every cloud: floor(seed_k n / size) seeds by farthest-point sampling, from each strategy's start."""
-    counts = seed_count(clouds, size=size)
-    most = counts.agg(F.max("seeds")).first()[0] or 1
-    seeds = farthest_points(starts(clouds, strategies), clouds, most).join(counts, "k").filter("rank < seeds").drop("seeds")
-    return patches(clouds, seeds, size)
+    seeds = starts(clouds, strategies).join(seed_count(clouds, size=size).withColumnRenamed("seeds", "n"), "k").filter("n > 0")
+    return patches(clouds, farthest_points(seeds, clouds), size)
 
 
 def shrunk(clouds: DataFrame, plan_: DataFrame, rate: float = 0.5) -> DataFrame:
@@ -173,7 +180,7 @@ fu AS (SELECT p.k AS k, p.i AS i, """ + ", ".join(f"n{a} + coalesce((m{a} - n{a}
 @query(f"{_PLAN_SQL}{_MOVE_SQL} SELECT k, i, " + ", ".join(f"floor({a} * 1e5 + 0.5) / 1e5 AS {a}" for a in "xyz") + " FROM fu")
 def patch_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _noisy(spark, sf_dir)
-    p = plan(c)
+    p = staged(plan(c), "plan")  # read for moves and owners
     return fuse(c, p, shrunk(c, p)).select("k", "i", *[(F.floor(F.col(a) * 1e5 + 0.5) / 1e5).alias(a) for a in "xyz"])
 
 
@@ -183,7 +190,7 @@ q AS (SELECT k, quantile_disc(scale, 0.5) AS q50, quantile_disc(scale, 0.75) AS
 SELECT q.k AS k, any_value(q50) AS q50, any_value(q75) AS q75, any_value(q90) AS q90, quantile_disc(floor(abs(scale - q50) * 1e6 + 0.5) / 1e6, 0.5) AS mad, any_value(owned) AS owned FROM q JOIN po ON q.k = po.k GROUP BY q.k""")
 def noise_route_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owner-weighted quantiles of the patches' scales (inverted CDF), by cumulative owner counts; not by expanded rows."""
-    p = plan(_noisy(spark, sf_dir))
+    p = staged(plan(_noisy(spark, sf_dir)), "plan")  # read for scales and owners
     scale = p.groupBy("plan", "k", "patch").agg(q6(F.max("dist")).alias("v"))
     weight = owners(p).groupBy("plan", "k", "patch").agg(F.count(F.lit(1)).alias("w"))
     rows = scale.join(weight, ["plan", "k", "patch"]).select("k", "v", "w")
@@ -202,7 +209,7 @@ def weighted_quantiles(rows: DataFrame, levels: tuple[float, ...]) -> DataFrame:
 
 def cascade_pass(clouds: DataFrame, rate: float, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
     """One refinement: the mean of the fused results of all plans, and x + rate (mean - x)."""
-    p = plan(clouds, strategies).cache()  # read for moves and owners
+    p = staged(plan(clouds, strategies), "plan")  # read for moves and owners
     fused = fuse(clouds, p, shrunk(clouds, p))
     mean = fused.groupBy("k", "i").agg(*[(F.sum(F.floor(F.col(a) * 1e9 + 0.5)) / F.count(F.lit(1)) / 1e9).alias("r" + a) for a in "xyz"])
     return clouds.join(mean, ["k", "i"]).select("k", "i", *[(F.col(a) + rate * (F.col("r" + a) - F.col(a))).alias(a) for a in "xyz"])
@@ -211,7 +218,7 @@ def cascade_pass(clouds: DataFrame, rate: float, strategies: tuple[str, ...] = S
 @query()
 def cascade_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two refinements over four plans, by 1.12 and 0.59."""
-    once = cascade_pass(_noisy(spark, sf_dir), 1.12).cache()
+    once = staged(cascade_pass(_noisy(spark, sf_dir), 1.12), "pass")
     return cascade_pass(once, 0.59).select("k", "i", *[q6(a).alias(a) for a in "xyz"])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions.columns import q6, uniform
 from ..sources.views import POINTS_SQL, TRIANGLES_SQL, UNIVERSE_SQL, cloud, points, read, triangles, universe
+from ..staging import staged
 
 
 def digest(*parts: Column) -> Column:
@@ -43,7 +44,8 @@ def coverage_first(ids: DataFrame, count: int, seed: int) -> DataFrame:
 
 def with_places(ids: DataFrame) -> DataFrame:
     """ids (id) with p, the place in sorted order: from a range sort and the sizes of its partitions, so no task sorts all."""
-    ids = ids.repartitionByRange("id").sortWithinPartitions("id").withColumn("at", F.monotonically_increasing_id()).cache()
+    # written before it is read twice, so that rows lost with an executor can't get other numbers
+    ids = staged(ids.repartitionByRange("id").sortWithinPartitions("id").withColumn("at", F.monotonically_increasing_id()), "placed")
     parts = ids.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("c"))
     before = F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
     offset = parts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
@@ -117,11 +119,11 @@ def universe_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
-@query(f"WITH {UNIVERSE_SQL}, u2 AS (SELECT DISTINCT l_partkey AS id FROM lineitem) SELECT 'only_left' AS side, id FROM uni WHERE id NOT IN (SELECT id FROM u2) UNION ALL SELECT 'only_right' AS side, id FROM u2 WHERE id NOT IN (SELECT id FROM uni)")
+@query(f"WITH {UNIVERSE_SQL}, u2 AS (SELECT DISTINCT l_partkey + CASE WHEN l_partkey % 41 = 7 THEN 5000000 ELSE 0 END AS id FROM lineitem) SELECT 'only_left' AS side, id FROM uni WHERE id NOT IN (SELECT id FROM u2) UNION ALL SELECT 'only_right' AS side, id FROM u2 WHERE id NOT IN (SELECT id FROM uni)")
 def inventory_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of only one of two inventories."""
+    """Ids of only one of two inventories; some ids of the second are put out of place."""
     a = universe(spark, sf_dir).select("id")
-    b = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id")).distinct()
+    b = read(spark, sf_dir, "lineitem").select((F.col("l_partkey") + F.when(F.col("l_partkey") % 41 == 7, 5000000).otherwise(0)).alias("id")).distinct()
     return a.join(b, "id", "left_anti").withColumn("side", F.lit("only_left")).unionByName(b.join(a, "id", "left_anti").withColumn("side", F.lit("only_right")))
 
 
@@ -255,7 +257,11 @@ def cube_rotations() -> list[list[list[int]]]:
     return sorted(out)
 
 
-@query()
+_CUBE_SQL = "cube AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, {', '.join(str(x) for row in r for x in row)})" for n, r in enumerate(cube_rotations())) + ") t(turn, " + ", ".join(f"m{r}{c}" for r in range(3) for c in range(3)) + "))"
+
+
+@query(f"""WITH {POINTS_SQL}, {_CUBE_SQL}, t AS (SELECT k, i, cx, cy, cz, CAST(floor({_u_sql("'turn'", 'CAST(k AS VARCHAR)')} * 24) AS INTEGER) AS turn FROM pts)
+SELECT k, i, t.turn AS turn, {', '.join(f"floor((0.0 + m{r}0 * cx + m{r}1 * cy + m{r}2 * cz) * 1e6 + 0.5) / 1e6 AS {a}" for r, a in enumerate('xyz'))} FROM t JOIN cube ON t.turn = cube.turn""")
 def cube24_rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each clean point, turned by the rotation that its cloud's hash picks."""
     m = spark.createDataFrame([(n, *[float(x) for row in r for x in row]) for n, r in enumerate(cube_rotations())], "turn int, " + ", ".join(f"m{r}{c} double" for r in range(3) for c in range(3)))
