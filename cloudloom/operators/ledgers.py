@@ -127,25 +127,82 @@ def vq_hard_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MASS = "ma AS (SELECT c, CAST(sum(CAST(floor(w * 1e9 + 0.5) AS BIGINT)) AS BIGINT) / 1e9 AS m FROM sa GROUP BY c), pp AS (SELECT c, m, m / sum(m) OVER () AS p FROM ma)"
 
 
-@query(f"WITH {_VQ_SQL}, {_MASS} SELECT floor(exp(-sum(p * ln(greatest(p, 1e-10)))) * 1e4 + 0.5) / 1e4 AS perplexity, avg(CASE WHEN m > 1e-5 THEN 1.0 ELSE 0.0 END) AS utilisation, count(*) AS codes FROM pp")
+EPSILON = 1e-5
+
+
+def codebook_health(assigned: DataFrame) -> DataFrame:
+    """One row for an assignment (v, c, w): how far the weights of a vector are from 1, perplexity, and codes in use and not."""
+    sums = assigned.groupBy("v").agg(F.sum("w").alias("t")).agg(F.avg("t").alias("weight_sum_mean"), F.max(F.abs(F.col("t") - 1)).alias("weight_sum_max_error"))
+    mass = assigned.groupBy("c").agg((F.sum(F.floor(F.col("w") * 1e9 + 0.5)) / 1e9).alias("m"))
+    one = mass.agg(F.collect_list("m").alias("m"), F.sum("m").alias("t"))  # a row of one number for each code: a bounded codebook
+    p = F.transform("m", lambda m: m / F.col("t"))
+    entropy = F.aggregate(p, F.lit(0.0), lambda a, x: a - x * F.log(F.greatest(x, F.lit(EPSILON))))
+    used = F.size(F.filter("m", lambda m: m > EPSILON))
+    out = one.select(F.exp(entropy).alias("perplexity"), (used / F.size("m")).alias("utilisation"), (F.size("m") - used).cast("long").alias("dead_codes"), F.size("m").cast("long").alias("codes"))
+    return out.crossJoin(sums)  # one row and one row
+
+
+@query(f"""WITH {_VQ_SQL}, {_MASS}, ws AS (SELECT v, sum(w) AS t FROM sa GROUP BY v) SELECT floor(exp(-sum(p * ln(greatest(p, 1e-5)))) * 1e4 + 0.5) / 1e4 AS perplexity, avg(CASE WHEN m > 1e-5 THEN 1.0 ELSE 0.0 END) AS utilisation, CAST(sum(CASE WHEN m > 1e-5 THEN 0 ELSE 1 END) AS BIGINT) AS dead_codes, count(*) AS codes,
+(SELECT floor(avg(t) * 1e6 + 0.5) / 1e6 FROM ws) AS weight_sum_mean, (SELECT max(abs(t - 1)) < 1e-9 FROM ws) AS sums_are_one FROM pp""")
 def vq_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mass = _vq(spark, sf_dir).groupBy("c").agg((F.sum(F.floor(F.col("w") * 1e9 + 0.5)) / 1e9).alias("m"))
-    total = mass.agg(F.sum("m").alias("t")).withColumn("one", F.lit(1))
-    p = mass.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").withColumn("p", F.col("m") / F.col("t"))
-    perplexity = F.exp(-F.sum(F.col("p") * F.log(F.greatest("p", F.lit(1e-10)))))
-    return p.agg((F.floor(perplexity * 1e4 + 0.5) / 1e4).alias("perplexity"), F.avg(F.when(F.col("m") > 1e-5, 1.0).otherwise(0.0)).alias("utilisation"), F.count(F.lit(1)).alias("codes"))
+    h = codebook_health(_vq(spark, sf_dir))
+    return h.select((F.floor(F.col("perplexity") * 1e4 + 0.5) / 1e4).alias("perplexity"), "utilisation", "dead_codes", "codes", q6("weight_sum_mean").alias("weight_sum_mean"), (F.col("weight_sum_max_error") < 1e-9).alias("sums_are_one"))
+
+
+def ema_update(book: DataFrame, assigned: DataFrame, momentum: float = 0.99) -> DataFrame:
+    """c, dim, size, total, value: a codebook (c, dim, size, total, value) after one step of its moving averages over an
+    assignment (v, c, w, f), in all dimensions."""
+    units = lambda x: F.sum(F.floor(x * 1e9 + 0.5)) / 1e9
+    flat = assigned.select("c", "w", F.posexplode("f").alias("dim", "x")).groupBy("c", "dim").agg(units(F.col("w")).alias("n"), units(F.col("w") * F.col("x")).alias("s"))
+    new = book.join(flat, ["c", "dim"], "left").fillna(0.0, ["n", "s"])
+    new = new.select("c", "dim", (momentum * F.col("size") + (1 - momentum) * F.col("n")).alias("size"), (momentum * F.col("total") + (1 - momentum) * F.col("s")).alias("total"), "value")
+    return new.withColumn("value", F.when(F.col("size") > EPSILON, F.col("total") / (F.col("size") + EPSILON)).otherwise(F.col("value")))
+
 
+def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = features(spark, sf_dir, _DIM).filter(f"vec_id < {_CODES}").select(F.col("vec_id").alias("c"), F.posexplode(F.array(*[f"f{j}" for j in range(_DIM)])).alias("dim", "value"))
+    return f.select("c", "dim", F.lit(1.0).alias("size"), F.col("value").alias("total"), "value")
 
-@query(f"""WITH {_VQ_SQL}, st AS (SELECT sa.c AS c, CAST(sum(CAST(floor(w * 1e9 + 0.5) AS BIGINT)) AS BIGINT) / 1e9 AS n, CAST(sum(CAST(floor(w * f0 * 1e9 + 0.5) AS BIGINT)) AS BIGINT) / 1e9 AS s0 FROM sa JOIN fv ON sa.v = fv.vec_id GROUP BY sa.c),
-em AS (SELECT st.c AS c, 0.99 * 1.0 + 0.01 * n AS size, 0.99 * o.f0 + 0.01 * s0 AS total, o.f0 AS old FROM st JOIN fv o ON o.vec_id = st.c)
-SELECT c, floor(size * 1e6 + 0.5) / 1e6 AS size, floor(CASE WHEN size > 1e-5 THEN total / (size + 1e-5) ELSE old END * 1e6 + 0.5) / 1e6 AS code0 FROM em""")
+
+_DIMS = ", ".join(f"({j})" for j in range(_DIM))
+_F = "CASE dim " + " ".join(f"WHEN {j} THEN f{j}" for j in range(_DIM)) + " END"
+
+
+@query(f"""WITH {_VQ_SQL}, ds AS (SELECT * FROM (VALUES {_DIMS}) t(dim)), lf AS (SELECT vec_id, dim, {_F} AS x FROM fv, ds),
+st AS (SELECT sa.c AS c, dim, CAST(sum(CAST(floor(w * 1e9 + 0.5) AS BIGINT)) AS BIGINT) / 1e9 AS n, CAST(sum(CAST(floor(w * x * 1e9 + 0.5) AS BIGINT)) AS BIGINT) / 1e9 AS s FROM sa JOIN lf ON sa.v = lf.vec_id GROUP BY sa.c, dim),
+em AS (SELECT st.c AS c, st.dim AS dim, 0.99 * 1.0 + 0.01 * n AS size, 0.99 * o.x + 0.01 * s AS total, o.x AS old FROM st JOIN lf o ON o.vec_id = st.c AND o.dim = st.dim)
+SELECT c, dim, floor(size * 1e6 + 0.5) / 1e6 AS size, floor(CASE WHEN size > 1e-5 THEN total / (size + 1e-5) ELSE old END * 1e6 + 0.5) / 1e6 AS value FROM em""")
 def vq_ema_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A step of the moving averages: sizes and sums of the codes by 0.99 and 0.01, from sizes of 1."""
-    sa = _vq(spark, sf_dir)
-    stats = sa.groupBy("c").agg((F.sum(F.floor(F.col("w") * 1e9 + 0.5)) / 1e9).alias("n"), (F.sum(F.floor(F.col("w") * F.get("f", 0) * 1e9 + 0.5)) / 1e9).alias("s0"))
-    old = features(spark, sf_dir, 1).select(F.col("vec_id").alias("c"), F.col("f0").alias("old"))
-    em = stats.join(old, "c").select("c", (0.99 * 1.0 + 0.01 * F.col("n")).alias("size"), (0.99 * F.col("old") + 0.01 * F.col("s0")).alias("total"), "old")
-    return em.select("c", q6("size").alias("size"), q6(F.when(F.col("size") > 1e-5, F.col("total") / (F.col("size") + 1e-5)).otherwise(F.col("old"))).alias("code0"))
+    return ema_update(_book(spark, sf_dir), _vq(spark, sf_dir)).select("c", "dim", q6("size").alias("size"), q6("value").alias("value"))
+
+
+def dead_codes_reset(codes: DataFrame, step: int, dead_steps: int = 5000, every: int = 1000) -> DataFrame:
+    """codes (c, usage, last_usage) with source, the code each dead one is made anew from, and the counters after it.
+
+    At every so many steps, codes unused for more than dead_steps are paired, in order, with the most used ones (ties to
+    the lower code); their counters start again. A row of new values is the source's row plus noise, normalised; a source
+    that is itself a dead code of a lower rank was made anew before. The codebook is bounded, so its ranks are one window."""
+    if step % every:
+        return codes.withColumns({"dead": F.lit(False), "source": F.lit(None).cast("long")})
+    dead = F.lit(step) - F.col("last_usage") > dead_steps
+    rank = F.row_number().over(Window.orderBy(F.desc("usage"), "c"))
+    nth = F.sum(dead.cast("int")).over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, 0))
+    flat = codes.withColumns({"dead": dead, "rank": rank, "nth": nth})
+    source = flat.select(F.col("rank").alias("nth"), F.col("c").alias("source"), F.lit(True).alias("dead"))
+    out = flat.drop("rank").join(source, ["nth", "dead"], "left")
+    kept = {"usage": F.when(F.col("dead"), 0).otherwise(F.col("usage")), "last_usage": F.when(F.col("dead"), step).otherwise(F.col("last_usage"))}
+    return out.drop("nth").withColumns(kept)
+
+
+@query("""WITH u AS (SELECT user_id % 64 AS c, count(*) AS usage, max(event_id) AS last_usage FROM events WHERE user_id % 64 > 5 OR event_id < 300 GROUP BY user_id % 64),
+s AS (SELECT *, 1000 - last_usage > 600 AS dead, row_number() OVER (ORDER BY usage DESC, c) AS r FROM (SELECT c, usage, least(last_usage, 1000) AS last_usage FROM u)),
+n AS (SELECT *, row_number() OVER (PARTITION BY dead ORDER BY c) AS nth FROM s)
+SELECT n.c AS c, n.dead AS dead, CASE WHEN n.dead THEN 0 ELSE n.usage END AS usage, CASE WHEN n.dead THEN 1000 ELSE n.last_usage END AS last_usage, CASE WHEN n.dead THEN o.c END AS source FROM n LEFT JOIN s o ON n.dead AND o.r = n.nth""")
+def vq_dead_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select((F.col("user_id") % 64).alias("c"), "event_id").filter("c > 5 or event_id < 300")
+    codes = e.groupBy("c").agg(F.count(F.lit(1)).alias("usage"), F.least(F.max("event_id"), F.lit(1000)).alias("last_usage"))
+    return dead_codes_reset(codes, 1000, 600).select("c", "dead", "usage", "last_usage", "source")
 
 
 @query("SELECT u AS code, uses FROM (SELECT user_id % 64 AS u, count(*) AS uses FROM events GROUP BY user_id % 64) ORDER BY uses DESC, u LIMIT 5")
@@ -197,3 +254,114 @@ def robust_quantile_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = [F.col(a) - F.col("m" + a) for a in "xyz"]
     r = p.join(middle, "k").withColumn("r", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
     return r.groupBy("k").agg(q6(F.percentile("r", F.lit(0.95))).alias("scale"))
+
+
+#: The metrics of a training step (names that a step log must have).
+STEP_METRICS = (
+    "total_loss", "infocd_loss_raw", "infocd_loss_weighted", "point_mse_raw", "point_mse_weighted", "correspondence_huber_loss_raw", "correspondence_huber_loss_weighted",
+    "commitment_loss", "gradient_norm", "displacement_mean", "displacement_p95", "displacement_max", "learning_rate",
+)
+
+
+def step_metric_summary(log: DataFrame) -> DataFrame:
+    """epoch, metric, n, patches and five measures of each of the STEP_METRICS of a step log (epoch, batch_size, metrics)."""
+    long = log.unpivot(["epoch", "batch_size"], list(STEP_METRICS), "metric", "value")
+    weighted = F.sum(F.floor(F.col("value") * F.col("batch_size") * 1e6 + 0.5)) / F.sum("batch_size") / 1e6
+    mean = F.sum(F.floor(F.col("value") * 1e6 + 0.5)) / F.count(F.lit(1)) / 1e6
+    return long.groupBy("epoch", "metric").agg(F.count(F.lit(1)).alias("n"), F.sum("batch_size").alias("patches"), weighted.alias("patch_weighted_mean"), mean.alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
+# Stand-ins for a real log: each metric is the event's value times its place in the list.
+_STEP_SQL = "st AS (" + " UNION ALL ".join(f"SELECT epoch, weight AS batch_size, '{m}' AS metric, metric * {j + 1} AS value FROM log" for j, m in enumerate(STEP_METRICS)) + ")"
+_FIVE = ("patch_weighted_mean", "mean", "median")
+
+
+@query(f"WITH {LOG_SQL}, {_STEP_SQL} SELECT epoch, metric, count(*) AS n, CAST(sum(batch_size) AS BIGINT) AS patches, floor(CAST(sum(CAST(floor(value * batch_size * 1e6 + 0.5) AS BIGINT)) AS BIGINT) / CAST(sum(batch_size) AS BIGINT) / 1e6 * 1e4 + 0.5) / 1e4 AS patch_weighted_mean, floor(CAST(sum(CAST(floor(value * 1e6 + 0.5) AS BIGINT)) AS BIGINT) / count(*) / 1e6 * 1e4 + 0.5) / 1e4 AS mean, floor(quantile_cont(value, 0.5) * 1e4 + 0.5) / 1e4 AS median, min(value) AS least, max(value) AS most FROM st GROUP BY epoch, metric")
+def step_metrics_by_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = train_log(spark, sf_dir).select("epoch", F.col("weight").alias("batch_size"), *[(F.col("metric") * (j + 1)).alias(m) for j, m in enumerate(STEP_METRICS)])
+    s = step_metric_summary(log)
+    return s.select("epoch", "metric", "n", "patches", *[(F.floor(F.col(c) * 1e4 + 0.5) / 1e4).alias(c) for c in _FIVE], "least", "most")
+
+
+def total_loss(parts: DataFrame, weights: dict[str, float], commitment: str = "commitment_loss") -> DataFrame:
+    """parts with <part>_weighted for each weight, and total_loss: their sum and the commitment loss."""
+    out = parts.withColumns({f"{p}_weighted": F.col(f"{p}_raw") * w for p, w in weights.items()})
+    return out.withColumn("total_loss", sum((F.col(f"{p}_weighted") for p in weights), F.lit(0.0)) + F.col(commitment))
+
+
+@query(f"WITH {LOG_SQL} SELECT step, floor((0.0 + metric * 1.0 + metric * metric * 0.5 + sqrt(abs(metric)) * 0.25 + 0.125) * 1e6 + 0.5) / 1e6 AS total_loss FROM log")
+def weighted_total_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("metric")
+    parts = train_log(spark, sf_dir).select("step", m.alias("infocd_raw"), (m * m).alias("mse_raw"), F.sqrt(F.abs(m)).alias("huber_raw"), F.lit(0.125).alias("commitment_loss"))
+    return total_loss(parts, {"infocd": 1.0, "mse": 0.5, "huber": 0.25}).select("step", q6("total_loss").alias("total_loss"))
+
+
+def log_scale_mse(scales: DataFrame) -> DataFrame:
+    """k, mse: mean squared difference of the logarithms of estimated and true noise scales."""
+    d = F.log("estimated") - F.log("teacher")
+    return scales.groupBy("k").agg((F.sum(F.floor(d * d * 1e9 + 0.5)) / F.count(F.lit(1)) / 1e9).alias("mse"))
+
+
+def scale_problems(scales: DataFrame, low: float, high: float) -> DataFrame:
+    """k, teacher of the true scales outside the range whose ends are rounded to 32-bit floats, as they are trained with."""
+    lo, hi = (F.lit(x).cast("float").cast("double") for x in (low, high))
+    return scales.filter((F.col("teacher") < lo) | (F.col("teacher") > hi) | F.isnan("teacher")).select("k", "teacher")
+
+
+_SCALES_SQL = "sc AS (SELECT l_suppkey AS k, 0.005 + l_discount / 5 AS estimated, 0.005 + l_tax / 4 AS teacher FROM lineitem)"
+
+
+def _scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), (0.005 + F.col("l_discount") / 5).alias("estimated"), (0.005 + F.col("l_tax") / 4).alias("teacher"))
+
+
+@query(f"WITH {_SCALES_SQL} SELECT k, floor(CAST(sum(CAST(floor((ln(estimated) - ln(teacher)) * (ln(estimated) - ln(teacher)) * 1e9 + 0.5) AS BIGINT)) AS BIGINT) / count(*) / 1e9 * 1e6 + 0.5) / 1e6 AS mse FROM sc GROUP BY k")
+def log_scale_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_scale_mse(_scales(spark, sf_dir)).select("k", q6("mse").alias("mse"))
+
+
+@query(f"WITH {_SCALES_SQL} SELECT k, teacher FROM sc WHERE teacher > 0.0199 OR teacher < 0.0051")
+def teacher_scale_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scale_problems(_scales(spark, sf_dir), 0.0051, 0.0199)
+
+
+def relation_features(clouds: DataFrame, k: int = 16) -> DataFrame:
+    """k, i, rank and ten numbers for each neighbour: the point, the neighbour, the offset and its length."""
+    n = knn(clouds, clouds, k)
+    n = n.join(clouds.select("k", "i", *[F.col(a).alias("q" + a) for a in "xyz"]), ["k", "i"]).join(clouds.select("k", F.col("i").alias("j"), *[F.col(a).alias("p" + a) for a in "xyz"]), ["k", "j"])
+    return n.select("k", "i", "rank", *["q" + a for a in "xyz"], *["p" + a for a in "xyz"], *[(F.col("p" + a) - F.col("q" + a)).alias("d" + a) for a in "xyz"], F.sqrt("d2").alias("length"))
+
+
+@query(f"WITH {POINTS_SQL}, {_knn_sql('c', 'c', 16)} SELECT n.k AS k, n.i AS i, rank, floor(q.cz * 1e6 + 0.5) / 1e6 AS qz, floor(r.cy * 1e6 + 0.5) / 1e6 AS py, floor((r.cy - q.cy) * 1e6 + 0.5) / 1e6 AS dy, floor((r.cz - q.cz) * 1e6 + 0.5) / 1e6 AS dz, floor(sqrt(d2) * 1e6 + 0.5) / 1e6 AS length FROM knn n JOIN pts q ON n.k = q.k AND n.i = q.i JOIN pts r ON n.k = r.k AND n.j = r.i")
+def relation_features_16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = relation_features(cloud(points(spark, sf_dir), "c"))
+    return r.select("k", "i", "rank", *[q6(c).alias(c) for c in ("qz", "py", "dy", "dz", "length")])
+
+
+# Stand-in weights of a pointwise layer, from a rule: sin(1 + 3 row + column), and a norm of mean 0.1 and variance 2.
+def _weight(r: int, c: int) -> str:
+    return f"sin(1 + 3 * {r} + {c})"
+
+
+def pointwise_layer(clouds: DataFrame, out: int = 4) -> DataFrame:
+    """k, i, h0..: each point through a linear layer, a norm and a leaky rectifier of slope 0.2, with stand-in weights."""
+    linear = [" + ".join(f"{_weight(r, c)} * {a}" for c, a in enumerate("xyz")) for r in range(out)]
+    normed = clouds.selectExpr("k", "i", *[f"(({x}) - 0.1D) / sqrt(2D + 1e-5D) as n{r}" for r, x in enumerate(linear)])
+    return normed.selectExpr("k", "i", *[f"if(n{r} > 0, n{r}, 0.2D * n{r}) as h{r}" for r in range(out)])
+
+
+@query(f"WITH {POINTS_SQL}, l AS (SELECT k, i, " + ", ".join("((" + " + ".join(f"{_weight(r, c)} * c{a}" for c, a in enumerate("xyz")) + f") - 0.1) / sqrt(2.0 + 1e-5) AS n{r}" for r in range(4)) + ") FROM pts)".replace(") FROM", " FROM") + " SELECT k, i, " + ", ".join(f"floor(CASE WHEN n{r} > 0 THEN n{r} ELSE 0.2 * n{r} END * 1e6 + 0.5) / 1e6 AS h{r}" for r in range(4)) + " FROM l")
+def pointwise_linear_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = pointwise_layer(cloud(points(spark, sf_dir), "c"))
+    return h.select("k", "i", *[q6(f"h{r}").alias(f"h{r}") for r in range(4)])
+
+
+def shape_ledger(counts: DataFrame) -> DataFrame:
+    """points with counts, the points of each level of a net that keeps s of s + 1 points (s = 4, 3, 2, 1), and whether all are whole."""
+    step = F.aggregate(F.array(*[F.lit(s) for s in (4, 3, 2, 1)]), F.array(F.col("points")), lambda a, s: F.array_append(a, F.floor(F.element_at(a, -1) * s / (s + 1)).cast("long")))
+    return counts.select("points", step.alias("counts"), ((F.col("points") % 5 == 0) & (F.col("points") >= 45)).alias("valid"))
+
+
+@query("SELECT range AS points, [range, range * 4 // 5, range * 4 // 5 * 3 // 4, range * 4 // 5 * 3 // 4 * 2 // 3, range * 4 // 5 * 3 // 4 * 2 // 3 // 2] AS counts, range % 5 = 0 AND range >= 45 AS valid FROM range(20, 1200)")
+def point_count_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape_ledger(spark.range(20, 1200).withColumnRenamed("id", "points"))

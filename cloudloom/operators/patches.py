@@ -215,11 +215,88 @@ def cascade_pass(clouds: DataFrame, rate: float, strategies: tuple[str, ...] = S
     return clouds.join(mean, ["k", "i"]).select("k", "i", *[(F.col(a) + rate * (F.col("r" + a) - F.col(a))).alias(a) for a in "xyz"])
 
 
-@query()
+def _pass_sql(t: str, src: str, rate: str, strategies: tuple[str, ...]) -> str:
+    """CTEs of a pass over the table src (k, i, nx, ny, nz); their result is the table {t}out."""
+    middle = f"{t}md AS (SELECT k, " + ", ".join(f"CAST(sum(CAST(floor(n{a} * 1e9 + 0.5) AS BIGINT)) AS BIGINT) / count(*) / 1e9 AS m{a}" for a in "xyz") + f" FROM {src} GROUP BY k)"
+    order = {"index0": "i", "centroid_far": _FAR, "x_min": "nx", "x_max": "nx DESC"}
+    parts, fused = [middle], []
+    for n, s in enumerate(strategies):
+        u = f"{t}{n}"
+        start = f"SELECT k, CAST(min(i) AS INTEGER) AS s FROM (SELECT p.k AS k, p.i AS i, rank() OVER (PARTITION BY p.k ORDER BY {order[s]}) AS r FROM {src} p JOIN {t}md md ON p.k = md.k) WHERE r = 1 GROUP BY k"
+        fps = fps_sql("n", f"(SELECT max(floor(3 * c / 16)) FROM (SELECT count(*) AS c FROM {src} GROUP BY k))", start)
+        fps = fps.replace("st AS (", f"{u}st AS (", 1).replace("FROM st JOIN", f"FROM {u}st st JOIN").replace("fps AS (", f"{u}fps AS (", 1).replace("FROM fps)", f"FROM {u}fps)").replace("JOIN pts ", f"JOIN {src} ")
+        parts.append(f"""{fps},
+{u}sd AS (SELECT DISTINCT f.k AS k, rank, cur FROM {u}fps f JOIN (SELECT k, floor(3.0 * count(*) / 16) AS seeds FROM {src} GROUP BY k) c ON f.k = c.k WHERE rank < seeds),
+{u}pr AS (SELECT sd.k AS k, sd.rank AS patch, r.i AS i, sqrt({_D2.format(p='n', s='n')}) AS dist FROM {u}sd sd JOIN {src} q ON q.k = sd.k AND q.i = sd.cur JOIN {src} r ON r.k = sd.k),
+{u}pa AS (SELECT *, row_number() OVER (PARTITION BY k, patch ORDER BY dist, i) - 1 AS local FROM {u}pr),
+{u}pl AS MATERIALIZED (SELECT k, patch, local, i, dist * dist / greatest(max(dist * dist) OVER (PARTITION BY k, patch), {TINY}) AS nd2 FROM {u}pa WHERE local < 16),
+{u}ow AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, i ORDER BY nd2, patch) AS best FROM {u}pl) WHERE best = 1),
+{u}mn AS (SELECT l.k AS k, l.patch AS patch, """ + ", ".join(f"CAST(sum(CAST(floor(n{a} * 1e9 + 0.5) AS BIGINT)) AS BIGINT) / count(*) / 1e9 AS m{a}" for a in "xyz") + f""" FROM {u}pl l JOIN {src} p ON l.k = p.k AND l.i = p.i GROUP BY l.k, l.patch)""")
+        fused.append("SELECT p.k AS k, p.i AS i, " + ", ".join(f"n{a} + coalesce((m{a} - n{a}) * 0.5 * (1 - nd2), 0.0) AS {a}" for a in "xyz") + f" FROM {src} p LEFT JOIN {u}ow o ON p.k = o.k AND p.i = o.i LEFT JOIN {u}mn mn ON mn.k = o.k AND mn.patch = o.patch")
+    mean = f"{t}mean AS (SELECT k, i, " + ", ".join(f"CAST(sum(CAST(floor({a} * 1e9 + 0.5) AS BIGINT)) AS BIGINT) / count(*) / 1e9 AS r{a}" for a in "xyz") + f" FROM ({' UNION ALL '.join(fused)}) GROUP BY k, i)"
+    out = f"{t}out AS MATERIALIZED (SELECT p.k AS k, p.i AS i, " + ", ".join(f"n{a} + {rate} * (r{a} - n{a}) AS n{a}" for a in "xyz") + f" FROM {src} p JOIN {t}mean m ON p.k = m.k AND p.i = m.i)"
+    return ", ".join([*parts, mean, out])
+
+
+@query(f"WITH RECURSIVE {POINTS_SQL}, {_pass_sql('u', 'pts', '1.12', STRATEGIES)}, {_pass_sql('w', 'uout', '0.59', STRATEGIES)} SELECT k, i, " + ", ".join(f"floor(n{a} * 1e5 + 0.5) / 1e5 AS {a}" for a in "xyz") + " FROM wout")
 def cascade_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two refinements over four plans, by 1.12 and 0.59."""
     once = staged(cascade_pass(_noisy(spark, sf_dir), 1.12), "pass")
-    return cascade_pass(once, 0.59).select("k", "i", *[q6(a).alias(a) for a in "xyz"])
+    return cascade_pass(once, 0.59).select("k", "i", *[(F.floor(F.col(a) * 1e5 + 0.5) / 1e5).alias(a) for a in "xyz"])
+
+
+def damped_passes(clouds: DataFrame, passes: int, damping: float) -> DataFrame:
+    """k, i, x, y, z after so many passes over one plan each; from the second pass on only a share of the move is made."""
+    for n in range(passes):
+        clouds = staged(cascade_pass(clouds, damping if n else 1.0, ("index0",)), "pass")
+    return clouds
+
+
+@query(f"WITH RECURSIVE {POINTS_SQL}, {_pass_sql('u', 'pts', '1.0', ('index0',))}, {_pass_sql('w', 'uout', '0.5', ('index0',))} SELECT k, i, " + ", ".join(f"floor(n{a} * 1e5 + 0.5) / 1e5 AS {a}" for a in "xyz") + " FROM wout")
+def damped_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damped_passes(_noisy(spark, sf_dir), 2, 0.5).select("k", "i", *[(F.floor(F.col(a) * 1e5 + 0.5) / 1e5).alias(a) for a in "xyz"])
+
+
+def centred(plan_: DataFrame, clouds: DataFrame) -> DataFrame:
+    """plan, k, patch, local, i, x, y, z: the points of each patch, from its seed (the patch's nearest point, local 0)."""
+    p = plan_.join(clouds, ["k", "i"]).select("plan", "k", "patch", "local", "i", *"xyz")
+    seed = p.filter("local = 0").select("plan", "k", "patch", *[F.col(a).alias("s" + a) for a in "xyz"])
+    return p.join(seed, ["plan", "k", "patch"]).select("plan", "k", "patch", "local", "i", *[(F.col(a) - F.col("s" + a)).alias(a) for a in "xyz"])
+
+
+@query(f"{_PLAN_SQL} SELECT pl.k AS k, CAST(pl.patch AS INTEGER) AS patch, CAST(pl.local AS INTEGER) AS local, floor((p.nx - s.nx) * 1e6 + 0.5) / 1e6 AS x, floor((p.nz - s.nz) * 1e6 + 0.5) / 1e6 AS z FROM pl JOIN pts p ON pl.k = p.k AND pl.i = p.i JOIN sd ON sd.k = pl.k AND sd.rank = pl.patch JOIN pts s ON s.k = sd.k AND s.i = sd.cur")
+def patch_center_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _noisy(spark, sf_dir)
+    return centred(staged(plan(c), "plan"), c).select("k", "patch", "local", q6("x").alias("x"), q6("z").alias("z"))
+
+
+def route_summary(scales: DataFrame, owner_counts: DataFrame, points_: DataFrame, most: float) -> DataFrame:
+    """One row for each cloud of a noise route: weighted quantiles of the patches' scales (scales: k, patch, v) by the points
+    they own (owner_counts: k, patch, w), their spread, the share of owned points in patches at the greatest scale, patches
+    that own nothing, uncovered points, coverage and whether it is 99 of 100 (points_: k, total)."""
+    every = scales.join(owner_counts, ["k", "patch"], "left").withColumn("w", F.coalesce("w", F.lit(0)))
+    top = F.lit(most).cast("float").cast("double")
+    sums = every.groupBy("k").agg(F.sum("w").alias("owned"), F.count_if(F.col("w") == 0).alias("zero_owner_patches"), F.sum(F.when(F.col("v") >= top, F.col("w")).otherwise(0)).alias("at_top"))
+    rows = every.filter("w > 0").select("k", "v", "w")
+    q = weighted_quantiles(rows, (0.5, 0.75, 0.9)).withColumnsRenamed({"q0": "q50", "q1": "q75", "q2": "q90"}).drop("total")
+    off = rows.join(q, "k").select("k", q6(F.abs(F.col("v") - F.col("q50"))).alias("v"), "w")
+    out = sums.join(q, "k").join(weighted_quantiles(off, (0.5,)).select("k", F.col("q0").alias("mad")), "k").join(points_, "k")
+    passes = 100 * F.col("owned") >= 99 * F.col("total")
+    return out.select("k", F.col("q75").alias("route_score"), "q50", "q75", "q90", "mad", (F.col("at_top") / F.col("owned")).alias("saturation"), "owned", "zero_owner_patches", (F.col("total") - F.col("owned")).alias("uncovered"), (F.col("owned") / F.col("total")).alias("coverage"), passes.alias("passes"))
+
+
+@query(f"""{_PLAN_SQL}, sc AS (SELECT k, patch, floor(max(dist) * 1e6 + 0.5) / 1e6 AS scale FROM pl GROUP BY k, patch),
+oc AS (SELECT k, patch, count(*) AS w FROM ow GROUP BY k, patch), ev AS (SELECT s.k AS k, s.patch AS patch, scale, coalesce(w, 0) AS w FROM sc s LEFT JOIN oc ON s.k = oc.k AND s.patch = oc.patch),
+po AS (SELECT o.k AS k, s.scale AS scale FROM ow o JOIN sc s ON o.k = s.k AND o.patch = s.patch), q AS (SELECT k, quantile_disc(scale, 0.5) AS q50, quantile_disc(scale, 0.75) AS q75, quantile_disc(scale, 0.9) AS q90, count(*) AS owned FROM po GROUP BY k),
+m AS (SELECT po.k AS k, quantile_disc(floor(abs(scale - q50) * 1e6 + 0.5) / 1e6, 0.5) AS mad, sum(CASE WHEN scale >= CAST(CAST(0.2 AS FLOAT) AS DOUBLE) THEN 1 ELSE 0 END) AS top FROM po JOIN q ON po.k = q.k GROUP BY po.k),
+t AS (SELECT k, count(*) AS total FROM pts GROUP BY k), z AS (SELECT k, CAST(sum(CASE WHEN w = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zero_owner_patches FROM ev GROUP BY k)
+SELECT q.k AS k, q75 AS route_score, q50, q75, q90, mad, top / owned AS saturation, owned, zero_owner_patches, total - owned AS uncovered, owned / total AS coverage, 100 * owned >= 99 * total AS passes FROM q JOIN m ON q.k = m.k JOIN t ON q.k = t.k JOIN z ON q.k = z.k""")
+def noise_route_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _noisy(spark, sf_dir)
+    p = staged(plan(c), "plan")
+    scale = p.groupBy("k", "patch").agg(q6(F.max("dist")).alias("v"))
+    counts = owners(p).groupBy("k", "patch").agg(F.count(F.lit(1)).alias("w"))
+    return route_summary(scale, counts, c.groupBy("k").agg(F.count(F.lit(1)).alias("total")), 0.2)
 
 
 @query(f"{_PLAN_SQL}{_MOVE_SQL} SELECT f.k AS k, f.i AS i, floor((nx + 1.12 * (x - nx)) * 1e5 + 0.5) / 1e5 AS x FROM fu f JOIN pts p ON f.k = p.k AND f.i = p.i")
