@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..sources.views import cloud, points
+from ..sources.views import POINTS_SQL, cloud, points
 
 SAMPLE_ID = "([0-9]{8}/[0-9a-f]{28,32})"
 
@@ -88,11 +88,26 @@ def list_archive(files: DataFrame) -> DataFrame:
 def read_ledger(lines: DataFrame, schema: str) -> DataFrame:
     """Rows of JSON lines (line_no, line); a torn last line is dropped, any other bad line is an error."""
     parsed = lines.select("line_no", "line", F.from_json("line", schema).alias("r"), F.expr("try_parse_json(line) is null").alias("bad"))
-    last = lines.agg(F.max("line_no").alias("last"))
-    checked = parsed.join(F.broadcast(last), F.lit(True)).filter(~(F.col("bad") & (F.col("line_no") == F.col("last"))))
+    last = lines.agg(F.max("line_no")).first()[0]
+    checked = parsed.filter(~F.col("bad") | (F.col("line_no") != F.lit(last)))
     return checked.withColumn("r", F.when(F.col("bad"), F.raise_error(F.concat(F.lit("bad ledger line "), F.col("line_no").cast("string")))).otherwise(F.col("r"))).select("r.*")
 
 
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """id of each line of a text file that holds anything; an id that occurs twice is an error."""
+    ids = spark.read.text(path).select(F.trim("value").alias("id")).filter("id <> ''").groupBy("id").count()
+    return ids.select(F.when(F.col("count") > 1, F.raise_error(F.concat(F.lit("repeated id "), F.col("id"))).cast("string")).otherwise(F.col("id")).alias("id"))
+
+
+def scan_tree(spark: SparkSession, root: str, filename: str) -> DataFrame:
+    """sample_id, path, bytes of all files of that name below root, by the last two folders of their path; a sample that
+    occurs twice is an error. No file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", filename).load(root)
+    found = files.select(F.regexp_extract("path", SAMPLE_ID, 1).alias("sample_id"), "path", F.col("length").alias("bytes"))
+    twice = F.count(F.lit(1)).over(Window.partitionBy("sample_id")) > 1
+    return found.select(F.when(twice, F.raise_error(F.concat(F.lit("repeated sample "), F.col("sample_id"))).cast("string")).otherwise(F.col("sample_id")).alias("sample_id"), "path", "bytes")
+
+
 def repeated_keys(texts: DataFrame) -> DataFrame:
     """id, key of JSON objects (id, json) in which a key occurs twice: a parser keeps only one of them silently."""
 
@@ -133,18 +148,35 @@ def npy_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~same).alias("changed"))
 
 
-@query("SELECT lpad(CAST(label AS VARCHAR), 8, '0') || '/' || substr(sha256(CAST(label AS VARCHAR)), 1, 32) AS sample_id, count(*) AS vertices, count(*) - 2 AS faces FROM embeddings GROUP BY label")
+@query(f"""WITH {POINTS_SQL}, n AS (SELECT k, count(*) AS c FROM pts GROUP BY k), f AS (SELECT k, range AS f_idx, 0 AS i0, range + 1 AS i1, range + 2 AS i2 FROM n, range(0, 100000) WHERE range < c - 2 UNION ALL SELECT k, c - 2, c - 1, c - 2, c - 3 FROM n)
+SELECT f.k AS k, f_idx, i0, i1, i2, floor(CAST(CAST(a.cx AS FLOAT) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS x0, floor(CAST(CAST(c.cz AS FLOAT) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS z2 FROM f JOIN pts a ON a.k = f.k AND a.i = i0 JOIN pts c ON c.k = f.k AND c.i = i2""")
 def obj_parse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clouds written as OBJ lines with one polygon over all vertices, parsed into vertices and a fan."""
+    """Clouds written as OBJ lines, with a polygon over all vertices (v/vt/vn) and a triangle of the last three by negative
+    indices, parsed back: every face with its indices and coordinates."""
     clouds = _sampled(spark, sf_dir)
     v = clouds.select("sample_id", F.col("point_idx").alias("line_no"), F.format_string("v %s %s %s", "x", "y", "z").alias("line"))
-    f = clouds.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).select("sample_id", F.lit(1 << 20).alias("line_no"), F.concat(F.lit("f "), F.array_join(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.concat(i.cast("string"), F.lit("/1"))), " "), F.lit(" # all")).alias("line"))
+    polygon = F.concat(F.lit("f "), F.array_join(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.concat(i.cast("string"), F.lit("/1/2"))), " "), F.lit(" # all"))
+    lines = F.array(F.struct(F.lit(1 << 20).alias("line_no"), polygon.alias("line")), F.struct(F.lit(1 << 21).alias("line_no"), F.lit("f -1 -2/7 -3//9").alias("line")))
+    f = clouds.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).select("sample_id", F.explode(lines).alias("l")).select("sample_id", "l.*")
     vertices, faces = decode_obj(v.union(f))
-    n = vertices.groupBy("sample_id").agg(F.count(F.lit(1)).alias("vertices"))
-    return n.join(faces.groupBy("sample_id").agg(F.count(F.lit(1)).alias("faces")), "sample_id")
+    at = lambda c, axis, name: vertices.select("sample_id", F.col("v_idx").alias(c), F.col(axis).alias(name))
+    both = faces.join(at("i0", "x", "x0"), ["sample_id", "i0"]).join(at("i2", "z", "z2"), ["sample_id", "i2"])
+    return both.select(F.substring("sample_id", 1, 8).cast("int").alias("k"), "f_idx", "i0", "i1", "i2", *[(F.floor(F.col(c).cast("float").cast("double") * 1e6 + 0.5) / 1e6).alias(c) for c in ("x0", "z2")])
 
 
-@query("""SELECT event_id AS id, CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS BIGINT) AS k FROM events""")
+@query("""SELECT event_id AS id, CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS BIGINT) AS k FROM events WHERE event_id < (SELECT max(event_id) FROM events)""")
 def json_ledger_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON lines of which the last one is torn, read back."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    last = e.agg(F.max("event_id")).first()[0]
+    line = F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "p": '), F.col("props"), F.lit("}"))
+    lines = e.select(F.col("event_id").alias("line_no"), F.when(F.col("event_id") == last, F.substring(line, 1, 9)).otherwise(line).alias("line"))
+    return read_ledger(lines, "id long, p struct<k: long>").select("id", "p.k")
+
+
+@query("SELECT event_id AS id, 'k' AS key FROM events WHERE event_id % 10 = 3")
+def json_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events some of whose JSON was given its key twice."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select(F.col("event_id").alias("id"), F.from_json("props", "k long")["k"].alias("k"))
+    twice = F.concat(F.lit('{"k": 0, '), F.substring("props", 2, 1 << 20))
+    return repeated_keys(e.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 10 == 3, twice).otherwise(F.col("props")).alias("json")))

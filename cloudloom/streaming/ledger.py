@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..catalog import query
+from ..staging import shared_dir
 
 
 def rolling_summary(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -34,18 +34,36 @@ def moving_average(events: DataFrame, momentum: float = 0.99) -> DataFrame:
     return events.groupBy("event_type").applyInPandasWithState(update, "event_type string, steps long, average double", "steps long, average double", "update", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """What a stream gives once all its input is read (availableNow), as a table in memory; for checks and small ledgers."""
+def drained(stream: DataFrame, schema: str, mode: str = "append") -> DataFrame:
+    """What a stream gives once all its input is read (availableNow), from files in the shared folder.
+
+    append: rows that can't change any more, by the file sink; update: the rows of every batch."""
     spark = stream.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cloudloom-")
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder.rstrip('/')}/{name}").trigger(availableNow=True).start()
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        run = run.format("parquet").start(f"{folder}/rows")
+    else:
+        # a batch that is run again writes the same place, so no row is there twice
+        run = run.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")).start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(schema).parquet(f"{folder}/rows")
 
 
-@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(floor(value * 1e6 + 0.5) AS BIGINT)) AS BIGINT) AS micros FROM events GROUP BY date_trunc('hour', ts), event_type")
-def stream_rolling_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = spark.read.parquet(f"{sf_dir}/events.parquet")
-    stream = spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    summary = drained(rolling_summary(stream), f"rolling_{uuid.uuid4().hex[:8]}")
+    return spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(floor(value * 1e6 + 0.5) AS BIGINT)) AS BIGINT) AS micros FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY date_trunc('hour', ts), event_type")
+def stream_rolling_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that the watermark (two hours) has closed."""
+    summary = drained(rolling_summary(_stream(spark, sf_dir)), "start timestamp, event_type string, n long, micros long")
     return summary.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT event_type, CAST(1 AS BIGINT) AS steps, floor(avg(value) * 1e4 + 0.5) / 1e4 AS average FROM events GROUP BY event_type")
+def stream_moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after the one batch that the table is."""
+    out = drained(moving_average(_stream(spark, sf_dir)), "event_type string, steps long, average double", "update")
+    return out.select("event_type", "steps", (F.floor(F.col("average") * 1e4 + 0.5) / 1e4).alias("average"))

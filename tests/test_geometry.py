@@ -11,7 +11,11 @@ from cloudloom.functions.columns import score
 from cloudloom.operators import grid
 from cloudloom.operators.neighbors import chamfer, knn, nearest, normalized_chamfer, surface_distances
 from cloudloom.operators.patches import farthest_points, starts, weighted_quantiles
-from cloudloom.sources.files import list_archive, read_clouds, read_ledger, repeated_keys
+from cloudloom.plans.evaluation import score_rows, scored, write_scores, zero_filled
+from cloudloom.sources.files import list_archive, read_clouds, read_ids, read_ledger, repeated_keys, scan_tree
+from cloudloom.sources.views import cloud as cloud_of
+from cloudloom.sources.views import points
+from cloudloom.streaming.ledger import drained, rolling_summary
 
 
 def cloud(spark, xyz, k=0):
@@ -108,3 +112,48 @@ def test_ledger(spark):
         read_ledger(lines.withColumn("line_no", -F.col("line_no")), "step long").collect()
     twice = spark.createDataFrame([(1, '{"a": 1, "a": 2}'), (2, '{"a": 1}')], "id long, json string")
     assert [tuple(r) for r in repeated_keys(twice).collect()] == [(1, "a")]
+
+
+def test_id_lists_and_trees(spark, tmp_path):
+    (tmp_path / "ids.txt").write_text(" a \n\nb\n")
+    assert {r.id for r in read_ids(spark, str(tmp_path / "ids.txt")).collect()} == {"a", "b"}
+    (tmp_path / "ids.txt").write_text("a\na\n")
+    with pytest.raises(Exception, match="repeated id a"):
+        read_ids(spark, str(tmp_path / "ids.txt")).collect()
+    sample = "00000001/" + "a" * 30
+    for top in ("x", "y"):
+        os.makedirs(tmp_path / top / sample)
+        (tmp_path / top / sample / "clean.npy").write_bytes(b"12345")
+    assert [(r.sample_id, r.bytes) for r in scan_tree(spark, str(tmp_path / "x"), "clean.npy").collect()] == [(sample, 5)]
+    with pytest.raises(Exception, match="repeated sample"):
+        scan_tree(spark, str(tmp_path), "clean.npy").collect()
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    for n, hours in enumerate([(1, 2, 12), (13, 20), (1, 20, 30)]):
+        rows = [(f"2024-01-{1 + h // 24:02d} {h % 24:02d}:30:00", "e", 1.0) for h in hours]
+        spark.createDataFrame(rows, "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        files = sorted((tmp_path / "in").glob("part-*"), key=os.path.getmtime)
+        os.utime(files[-1], (1000 + n, 1000 + n))
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = drained(rolling_summary(stream), "start timestamp, event_type string, n long, micros long")
+    assert {(r.start.day, r.start.hour): r.n for r in got.collect()} == {(1, 1): 1, (1, 2): 1, (1, 12): 1, (1, 13): 1, (1, 20): 2}
+
+
+def test_scores_need_both_p2s_values(spark):
+    m = spark.createDataFrame([(1, 1.0, 2.0, 1.0, 4.0)], "k int, cd_pred double, cd_noisy double, p2s_pred double, p2s_noisy double")
+    r = score_rows(m, True).first()
+    assert (r.cd_score, r.p2s_score, r.total_score) == (50.0, 75.0, 62.5)
+    assert score_rows(m, False).first().total_score == 50.0
+    for require in (True, False):
+        with pytest.raises(Exception, match="P2S values are missing"):
+            score_rows(m.withColumn("p2s_pred", F.lit(None).cast("double")), require).collect()
+
+
+def test_score_table_is_csv_in_order(spark, tmp_path):
+    p = points(spark, "/root/testdata/sf0.001")
+    rows = zero_filled(p.select("k").distinct().withColumn("synset", F.lit("a")), scored(cloud_of(p, "p"), cloud_of(p, "n"), cloud_of(p, "c")))
+    write_scores(rows, str(tmp_path / "scores"))
+    text = "".join(f.read_text() for f in sorted((tmp_path / "scores").glob("part-*.csv"))).splitlines()
+    assert text[0] == "sample_id,synset,missing,cd_pred,cd_noisy,cd_score,p2s_pred,p2s_noisy,p2s_score,total_score"
+    assert [x.split(",")[0] for x in text[1:]] == [str(k) for k in range(10)]
