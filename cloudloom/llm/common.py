@@ -33,9 +33,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _SHIPPED: set[str] = set()
 
 
-def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """df.mapInArrow, after this package was sent to the executors (once an application; as spark-submit --py-files does)."""
-    context = df.sparkSession.sparkContext
+def shipped(spark: SparkSession) -> None:
+    """Sends this package to the executors (once an application; as spark-submit --py-files does)."""
+    context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         package = Path(__file__).parents[1]
         handle, name = tempfile.mkstemp(suffix=".zip", prefix=f"{package.name}-")
@@ -44,11 +44,22 @@ def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
                 z.write(x, x.relative_to(package.parent))
         context.addPyFile(name)
         _SHIPPED.add(context.applicationId)
+
+
+def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow with this package on the executors, and whole texts in batches of BATCH_ROWS at most."""
+    shipped(df.sparkSession)
     if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df.mapInArrow(run, schema)
 
 
+def grouped(df: DataFrame, key: str, run: Callable, schema: str) -> DataFrame:
+    """df.groupBy(key).applyInArrow with this package on the executors."""
+    shipped(df.sparkSession)
+    return df.groupBy(key).applyInArrow(run, schema)
+
+
 def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     """The rows of batch in order, cut so that the text column of each part has about SLICE_BYTES bytes."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
