@@ -151,31 +151,32 @@ def tridiagonal(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.diag(a).copy(), np.diag(a, 1).copy(), q
 
 
-def divide_and_conquer(d: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def divide_and_conquer(d: np.ndarray, e: np.ndarray, scale: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Eigenvalues, rising, and eigenvectors of the symmetric tridiagonal matrix of diagonal d and off-diagonal e.
 
     The matrix is torn into two halves and a correction of rank one; the halves are solved alike, and the secular
-    equation joins them."""
+    equation joins them. What is under the rounding of the largest entry of the whole matrix (scale) counts as nothing."""
     n = len(d)
+    scale = max(np.abs(d).max(), np.abs(e).max(initial=0)) if scale is None else scale
     if n == 1:
         return d.copy(), np.eye(1)
     m = n // 2
     rho, d = abs(e[m - 1]), d.copy()
     d[m - 1] -= rho
     d[m] -= rho
-    w1, q1 = divide_and_conquer(d[:m], e[: m - 1])
-    w2, q2 = divide_and_conquer(d[m:], e[m:])
+    w1, q1 = divide_and_conquer(d[:m], e[: m - 1], scale)
+    w2, q2 = divide_and_conquer(d[m:], e[m:], scale)
     q = np.zeros((n, n))
     q[:m, :m], q[m:, m:] = q1, q2
     z = np.concatenate([q1[-1], np.copysign(1.0, e[m - 1]) * q2[0]])
-    return _joined(np.concatenate([w1, w2]), z, rho, q)
+    return _joined(np.concatenate([w1, w2]), z, rho, q, scale)
 
 
-def _joined(d: np.ndarray, z: np.ndarray, rho: float, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _joined(d: np.ndarray, z: np.ndarray, rho: float, q: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
     """Eigenvalues and vectors of q (diag(d) + rho z z^T) q^T."""
     order = np.argsort(d, kind="stable")
     d, z, q = d[order], z[order].copy(), q[:, order].copy()
-    tolerance = 8 * np.finfo(float).eps * max(np.abs(d).max(), rho * (z @ z), np.finfo(float).tiny)
+    tolerance = 8 * np.finfo(float).eps * max(np.abs(d).max(), rho * (z @ z), scale)
     live: list[int] = []
     for j in range(len(d)):
         if rho * abs(z[j]) <= tolerance:
@@ -241,7 +242,6 @@ def eigen(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not size:
         return np.zeros(len(a)), np.eye(len(a))
     d, e, q = tridiagonal(a / size)
-    e[np.abs(e) <= np.finfo(float).eps * max(np.abs(d).max(), np.abs(e).max(initial=0))] = 0
     w, v = divide_and_conquer(d, e)
     return (w * size)[::-1], (q @ v)[:, ::-1]
 
