@@ -46,19 +46,19 @@ def two_sum(a: np.ndarray, b: np.ndarray) -> Pair:
     return s, (a - (s - t)) + (b - t)
 
 
-def two_product(a: np.ndarray, b: np.ndarray) -> Pair:
-    """a * b rounded, and the error: exact. Factors are split into halves of 26 bits."""
-    p = a * b
-    (ah, al), (bh, bl) = (_halves(x) for x in (a, b))
-    return p, ((ah * bh - p) + ah * bl + al * bh) + al * bl
-
-
-def _halves(a: np.ndarray) -> Pair:
+def halves(a: np.ndarray) -> Pair:
+    """a as the sum of two numbers of 26 bits each."""
     t = 134217729.0 * a  # 2^27 + 1
     high = t - (t - a)
     return high, a - high
 
 
+def two_product(a: np.ndarray, b: np.ndarray, split_a: Pair, split_b: Pair) -> Pair:
+    """a * b rounded, and the error: exact. split_a, split_b: their halves."""
+    p, (ah, al), (bh, bl) = a * b, split_a, split_b
+    return p, ((ah * bh - p) + ah * bl + al * bh) + al * bl
+
+
 def add(x: Pair, y: Pair) -> Pair:
     """The sum of two double-double numbers."""
     s, e = two_sum(x[0], y[0])
@@ -85,16 +85,23 @@ def quotient(a: int, b: int) -> tuple[float, float]:
 
 
 def outer_products(rows: Pair) -> Pair:
-    """The sum of the rows' outer products with themselves."""
-    high, low = rows
-    d = high.shape[1]
+    """The sum of the rows' outer products with themselves, added in as many lanes as a step has rows."""
+    d = rows[0].shape[1]
+    i, j = np.triu_indices(d)
+    step = min(max(STEP // len(i), 1), len(rows[0]))
+    high, low = np.zeros((step, len(i))), np.zeros((step, len(i)))
+    for a in range(0, len(rows[0]), step):
+        h, l = (x[a : a + step] for x in rows)
+        upper, lower = halves(h)
+        x, y = h[:, i], h[:, j]
+        p, e = two_product(x, y, (upper[:, i], lower[:, i]), (upper[:, j], lower[:, j]))
+        e += x * l[:, j] + l[:, i] * y
+        s, t = two_sum(high[: len(h)], p)
+        high[: len(h)] = s
+        low[: len(h)] += e + t
     out = np.zeros((d, d)), np.zeros((d, d))
-    step = max(STEP // (d * d), 1)
-    for a in range(0, len(high), step):
-        h, l = high[a : a + step], low[a : a + step]
-        p, e = two_product(h[:, :, None], h[:, None, :])
-        e = e + (h[:, :, None] * l[:, None, :] + l[:, :, None] * h[:, None, :])
-        out = add(out, total(two_sum(p, e)))
+    for m, v in zip(out, total(two_sum(high, low))):
+        m[i, j] = m[j, i] = v
     return out
 
 
@@ -139,12 +146,13 @@ def tridiagonal(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a, n = a.copy(), len(a)
     q = np.eye(n)
     for k in range(n - 2):
-        x = a[k + 1 :, k].copy()
-        x[0] += np.copysign(np.linalg.norm(x), x[0])
-        size = np.linalg.norm(x)
-        if size == 0:
+        x = a[k + 1 :, k]
+        most = np.abs(x).max()
+        if most == 0:
             continue
-        v = x / size
+        x = x / most  # so that squares of tiny entries count
+        x[0] += np.copysign(np.linalg.norm(x), x[0])
+        v = x / np.linalg.norm(x)
         a[k + 1 :, :] -= 2 * np.outer(v, v @ a[k + 1 :, :])
         a[:, k + 1 :] -= 2 * np.outer(a[:, k + 1 :] @ v, v)
         q[:, k + 1 :] -= 2 * np.outer(q[:, k + 1 :] @ v, v)
