@@ -15,17 +15,25 @@ def q6(c: str | Column) -> Column:
     return F.floor(col(c) * 1e6 + 0.5) / 1e6
 
 
-def units(c: str | Column) -> Column:
-    """Billionths as a whole number: sums of these don't depend on order."""
-    return F.floor(col(c) * 1e9 + 0.5)
+def exact(c: str | Column) -> Column:
+    """As a decimal of 24 digits after the point: sums of these don't depend on order, and are exact up to 10^14."""
+    return col(c).cast("decimal(38,24)")
+
+
+def exact_sum(c: str | Column) -> Column:
+    return F.sum(exact(c)).cast("double")
 
 
 def exact_mean(c: str | Column) -> Column:
-    return F.sum(units(c)) / F.count(F.lit(1)) / 1e9
+    return exact_sum(c) / F.count(col(c))
 
 
-def exact_sum(c: str | Column) -> Column:
-    return F.sum(units(c)) / 1e9
+def sum_sql(c: str) -> str:
+    return f"CAST(sum(CAST({c} AS DECIMAL(38, 24))) AS DOUBLE)"
+
+
+def mean_sql(c: str) -> str:
+    return f"{sum_sql(c)} / count({c})"
 
 
 def squared(p: str, q: str, axes: tuple[str, ...] = ("x", "y", "z")) -> Column:

@@ -1,19 +1,31 @@
-"""Exact nearest-neighbour search through cubes: candidates of points and of triangles, without all pairs of a cloud.
+"""Exact nearest-neighbour search through cubes that follow density: candidates of points and of triangles, without all
+pairs of a cloud.
 
-Each cloud has cubes of a finest side and of its doubles, up to one that holds all (levels 0 to depth). A point searches
-at the level above the finest one at which its own cube holds enough reference points: these lie within that cube's
-diagonal, which is less than the side one level up, so the 27 cubes there hold all neighbours that matter. The level
-follows the density about each point; no distance is guessed, and nothing is searched twice. Work is dealt by cloud,
-level and cube."""
+A large cloud's box is a cube that is halved LEVELS times along each axis (level 0: the finest cubes, LEVELS: the box).
+First each point looks into the smallest cube about it that holds as many reference points as it needs, which bounds the
+distance to them; then it looks into the cubes that this distance meets, at the level whose side is at least as long. So
+far points and dense spots only change the levels at which points search, and the result is exact. Cubes with enough
+points are found from coarse to fine, and only points in such cubes go on. A place where many reference points coincide
+counts with as many as are needed. Work is dealt by cloud, level and cube. Clouds of up to ONE_CUBE points are one cube."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import squared
+from ..staging import staged
+
 #: Clouds of up to so many points are one cube.
 ONE_CUBE = 512
+#: How often the box of a larger cloud is halved.
+LEVELS = 20
+#: Levels that are counted at once.
+_STEP = 7
 _AXES = "xyz"
+_KEY = ("k", "level", "cx", "cy", "cz")
 
 
 def _each(form: str) -> list[str]:
@@ -21,17 +33,19 @@ def _each(form: str) -> list[str]:
     return [form.format(a=a) for a in _AXES]
 
 
-def finite(points: DataFrame) -> DataFrame:
-    """Points whose coordinates are numbers; others have no neighbours and are none."""
-    return points.filter(" and ".join(_each("abs({a}) < 1e300")))
+def checked(points: DataFrame) -> DataFrame:
+    """points; one whose coordinates aren't numbers is an error when it is met, as it has no distance to anything."""
+    fine = " and ".join(_each("abs({a}) < 1e300"))
+    bad = "raise_error(concat('a point of ', cast(k as string), ' is not finite'))"
+    # each coordinate carries the check: a filter that skips nulls of one may run first
+    return points.withColumns({a: F.expr(f"if(coalesce({fine}, false), {a}, cast({bad} as double))") for a in _AXES})
 
 
 def cubes(queries: DataFrame, reference: DataFrame) -> DataFrame:
     """k, lx, ly, lz (the grid's corner), side (of the finest cubes), depth (levels above it) of each cloud."""
     both = queries.selectExpr("k", *_AXES, "0 as n").union(reference.selectExpr("k", *_AXES, "1 as n"))
-    box = both.groupBy("k").agg(*[F.expr(x) for x in (*_each("min({a}) as l{a}"), *_each("max({a}) as h{a}"), "sum(n) as n")])
-    # a surface of n points then has some five in a finest cube
-    box = box.selectExpr("k", "lx", "ly", "lz", f"if(n <= {ONE_CUBE}, 0, cast(ceil(log2(sqrt(n) / 4)) as int)) as depth", "greatest(hx - lx, hy - ly, hz - lz) as extent")
+    box = both.groupBy("k").agg(*[F.expr(x) for x in (*_each("min({a}) as l{a}"), *_each("max({a}) as h{a}"), "greatest(sum(n), sum(1 - n)) as n")])
+    box = box.selectExpr("k", "lx", "ly", "lz", f"if(n <= {ONE_CUBE}, 0, {LEVELS}) as depth", "greatest(hx - lx, hy - ly, hz - lz) as extent")
     return box.selectExpr("k", "lx", "ly", "lz", "depth", "if(extent > 0, extent * (1 + 1e-9D), 1.0D) / pow(2, depth) as side")
 
 
@@ -41,28 +55,81 @@ def _cube(value: str) -> str:
 
 
 _RAISED = _each("shiftright(o{a}, level) as c{a}")
-_KEY = ("k", "level", "cx", "cy", "cz")
+
+
+def _level_of(length: str) -> str:
+    """The level whose side is at least so long."""
+    return f"cast(least(ceil(log2(greatest({length}, side) * (1 + 1e-9D) / side)), depth) as int)"
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """df for each cube at its level from u to v (finest cubes) along each axis."""
+    for a in _AXES:
+        df = df.selectExpr("*", f"explode(sequence(shiftright(u{a}, level), shiftright(v{a}, level))) as c{a}")
+    return df
+
+
+def large(queries: DataFrame, reference: DataFrame) -> bool:
+    """Whether any cloud has more than ONE_CUBE points on either side (a job)."""
+    sizes = queries.select("k", F.lit(0).alias("side")).union(reference.select("k", F.lit(1).alias("side"))).groupBy("k", "side").count()
+    return not sizes.filter(F.col("count") > ONE_CUBE).isEmpty()
+
+
+def crowded(points: DataFrame, need: int) -> DataFrame:
+    """k, level, cx, cy, cz: the cubes that hold `need` points or more, of clouds with levels."""
+    rest, found = points.filter("depth > 0").select("k", "ox", "oy", "oz"), []
+    for top in range(LEVELS, -1, -_STEP):
+        low = max(top - _STEP + 1, 0)
+        cells = rest.selectExpr("k", f"explode(sequence({low}, {top})) as level", "ox", "oy", "oz").selectExpr("k", "level", *_RAISED)
+        found.append(cells.groupBy(*_KEY).count().filter(f"count >= {need}").select(*_KEY))
+        full = found[-1].filter(F.col("level") == low)
+        rest = rest.selectExpr("*", f"{low} as level").selectExpr("*", *_RAISED).join(full, list(_KEY), "left_semi").select("k", "ox", "oy", "oz")
+    return reduce(DataFrame.union, found)
+
+
+def at_levels(points: DataFrame, used: DataFrame, cut: str = "true") -> DataFrame:
+    """points for each of the levels that used (k, level) has of their cloud, where cut holds."""
+    levels = used.groupBy("k").agg(F.collect_set("level").alias("levels"))  # one set of up to LEVELS + 1 numbers a cloud
+    return points.join(levels, "k").selectExpr("*", "explode(levels) as level").drop("levels").filter(cut)
 
 
 def searches(queries: DataFrame, reference: DataFrame, need: int) -> tuple[DataFrame, DataFrame]:
     """(queries k, i, qx, qy, qz, bound; reference with rx, ry, rz) with level and cube cx, cy, cz, to be joined on these and k.
 
-    bound: no point further than this (squared) is among the `need` nearest. Further columns of reference stay."""
-    grid = cubes(queries, reference)
+    bound: no point further than this (squared) is among the `need` nearest. Further columns of reference stay; of those
+    at one place the `need` first in the order of these columns are enough, so the others are left out."""
     rest = [c for c in reference.columns if c not in ("k", *_AXES)]
-    q = queries.join(grid, "k").selectExpr("k", "i", *_each("{a} as q{a}"), "depth", "side", *_each(f"{_cube('{a}')} as o{{a}}"))
-    r = reference.join(grid, "k").selectExpr("k", *rest, *_each("{a} as r{a}"), "depth", *_each(f"{_cube('{a}')} as o{{a}}"))
-    held = r.selectExpr("k", "explode(sequence(0, depth)) as level", "ox", "oy", "oz").selectExpr("k", "level", *_RAISED).groupBy(*_KEY).count().filter(f"count >= {need}")
-    spots = q.select("k", "ox", "oy", "oz", "depth").distinct().selectExpr("k", "ox", "oy", "oz", "explode(sequence(0, depth)) as level").selectExpr("*", *_RAISED)
-    level = spots.join(held, list(_KEY)).groupBy("k", "ox", "oy", "oz").agg(F.min("level").alias("enough"))
-    bound = "if(enough is null, double('infinity'), 3 * pow(side * pow(2, enough), 2) * (1 + 1e-6D)) as bound"
-    q = q.join(level, ["k", "ox", "oy", "oz"], "left").selectExpr("k", "i", "qx", "qy", "qz", bound, "ox", "oy", "oz", "coalesce(enough, depth) + 1 as level", "depth")
-    for a in _AXES:
-        last = "shiftleft(1, greatest(depth - level, 0)) - 1"
-        around = f"explode(sequence(greatest(shiftright(o{a}, level) - 1, 0), least(shiftright(o{a}, level) + 1, {last}))) as c{a}"
-        q = q.selectExpr("*", around)
-    r = r.selectExpr("k", *rest, "rx", "ry", "rz", "ox", "oy", "oz", "explode(sequence(1, depth + 1)) as level").selectExpr("k", *rest, "rx", "ry", "rz", "level", *_RAISED)
-    return q.drop("ox", "oy", "oz", "depth"), r
+    if not large(queries, reference):
+        level = ["0 as level", *_each("0 as c{a}")]
+        return queries.selectExpr("k", "i", *_each("{a} as q{a}"), "double('infinity') as bound", *level), reference.selectExpr("k", *rest, *_each("{a} as r{a}"), *level)
+    if rest:
+        place = F.row_number().over(Window.partitionBy("k", *_AXES).orderBy(*rest))
+        reference = reference.withColumn("place", place).filter(F.col("place") <= need).drop("place")
+    else:
+        reference = reference.distinct()
+    grid = cubes(queries, reference)
+    q = staged(queries.join(grid, "k").selectExpr("k", "i", *_each("{a} as q{a}"), "depth", "side", *_each("l{a}"), *_each(f"{_cube('{a}')} as o{{a}}")), "queries")
+    r = staged(reference.join(grid, "k").selectExpr("k", *rest, *_each("{a} as r{a}"), "depth", *_each(f"{_cube('{a}')} as o{{a}}")), "reference")
+
+    held = staged(crowded(r, need), "crowded")
+    span = held.groupBy("k").agg(F.min("level").alias("lo"), F.max("level").alias("hi"))
+    spots = q.filter("depth > 0").select("k", "ox", "oy", "oz").distinct().join(span, "k").selectExpr("k", "ox", "oy", "oz", "explode(sequence(lo, hi)) as level").selectExpr("*", *_RAISED)
+    enough = spots.join(held, list(_KEY)).groupBy("k", "ox", "oy", "oz").agg(F.min("level").alias("level"))
+    own = staged(q.join(enough, ["k", "ox", "oy", "oz"]).selectExpr("k", "i", "qx", "qy", "qz", "level", *_RAISED), "own")
+    there = at_levels(r, own).selectExpr("k", "rx", "ry", "rz", "level", *_RAISED)
+    pairs = own.join(there, list(_KEY)).select("k", "i", squared("q", "r").alias("d2"))
+    if need == 1:
+        reach = pairs.groupBy("k", "i").agg(F.min("d2").alias("bound"))
+    else:
+        rank = F.row_number().over(Window.partitionBy("k", "i").orderBy("d2"))
+        reach = pairs.withColumn("rank", rank).filter(F.col("rank") <= need).filter(F.col("rank") == need).select("k", "i", F.col("d2").alias("bound"))
+
+    q = q.join(reach, ["k", "i"], "left").selectExpr("*", "sqrt(bound) * (1 + 1e-6D) + 1e-300D as far")
+    low, high = (_each(f"if(bound is null, {end}, {_cube('q{a} ' + sign + ' far')}) as {to}{{a}}") for end, sign, to in (("0", "-", "u"), ("shiftleft(1, depth) - 1", "+", "v")))
+    q = q.selectExpr("k", "i", "qx", "qy", "qz", "coalesce(bound, double('infinity')) as bound", *low, *high, f"if(bound is null, depth, {_level_of('far')}) as level")
+    q = staged(q, "searches")
+    there = at_levels(r, q).selectExpr("k", *rest, "rx", "ry", "rz", "level", *_RAISED)
+    return _spread(q).select("k", "i", "qx", "qy", "qz", "bound", *_KEY[1:]), there
 
 
 def corners(mesh: DataFrame) -> DataFrame:
@@ -70,28 +137,23 @@ def corners(mesh: DataFrame) -> DataFrame:
     return mesh.selectExpr("k", "inline(array(struct(ax as x, ay as y, az as z), struct(bx as x, by_ as y, bz as z), struct(gx as x, gy as y, gz as z)))")
 
 
-def triangle_searches(queries: DataFrame, mesh: DataFrame, reach: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(queries k, i, qx, qy, qz; mesh) with level and cube, to be joined on these and k where level = greatest(least, mine).
+def triangle_searches(queries: DataFrame, mesh: DataFrame, reach: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """Two pairs of (queries k, i, qx, qy, qz; mesh) with level and cube, each to be joined on these and k.
 
-    reach: k, i, reach, a distance within which each query has some triangle. A triangle is put into the cubes that its
-    box meets, at levels with a side of at least its extent; a query looks into those that its reach meets, at levels
-    with a side of at least the reach. A triangle within reach shares a cube with the query at the higher of both
-    levels, so each side has few cubes a level, however small or large the triangles are."""
+    reach: k, i, reach, a distance within which each query has some triangle. A triangle has the level whose side is at
+    least its extent, a query that whose side is at least its reach. What comes within reach shares a cube at the higher of
+    both levels. So queries at their own level meet the triangles of it and of the levels below, put into its cubes; and
+    triangles at their own level meet the queries of lower levels: each join makes only pairs that are compared."""
     grid = cubes(queries, corners(mesh))
-
-    def level_of(length: str) -> str:
-        return f"cast(least(ceil(log2(greatest({length}, side) * (1 + 1e-9D) / side)), depth) as int)"
-
-    def spread(df: DataFrame, first: str) -> DataFrame:
-        df = df.selectExpr("*", f"explode(sequence({first}, depth)) as level")
-        for a in _AXES:
-            df = df.selectExpr("*", f"explode(sequence(shiftright(u{a}, level), shiftright(v{a}, level))) as c{a}")
-        return df
-
     q = queries.join(reach, ["k", "i"]).join(grid, "k").selectExpr("*", "reach * (1 + 1e-6D) + 1e-12D as far")
-    q = q.selectExpr("k", "i", *_each("{a} as q{a}"), "depth", *_each(f"{_cube('{a} - far')} as u{{a}}"), *_each(f"{_cube('{a} + far')} as v{{a}}"), f"{level_of('far')} as mine")
+    q = staged(q.selectExpr("k", "i", *_each("{a} as q{a}"), *_each(f"{_cube('{a} - far')} as u{{a}}"), *_each(f"{_cube('{a} + far')} as v{{a}}"), f"{_level_of('far')} as mine"), "queries")
     corner = {"x": "ax, bx, gx", "y": "ay, by_, gy", "z": "az, bz, gz"}
     t = mesh.join(grid, "k").selectExpr("*", *[f"{f}({corner[a]}) as {n}{a}" for a in _AXES for n, f in (("p", "least"), ("q", "greatest"))])
-    t = t.selectExpr(*mesh.columns, "depth", *_each(f"{_cube('p{a}')} as u{{a}}"), *_each(f"{_cube('q{a}')} as v{{a}}"), f"{level_of('greatest(qx - px, qy - py, qz - pz)')} as least")
-    cell = _KEY[1:]
-    return spread(q, "mine").select("k", "i", "qx", "qy", "qz", "mine", *cell), spread(t, "least").select(*mesh.columns, "least", *cell)
+    t = staged(t.selectExpr(*mesh.columns, *_each(f"{_cube('p{a}')} as u{{a}}"), *_each(f"{_cube('q{a}')} as v{{a}}"), f"{_level_of('greatest(qx - px, qy - py, qz - pz)')} as mine"), "triangles")
+    own = lambda df: df.withColumn("level", F.col("mine"))
+    used = lambda df: df.selectExpr("k", "mine as level")
+    of_q, of_t = ("k", "i", "qx", "qy", "qz", *_KEY[1:]), (*mesh.columns, *_KEY[1:])
+    return [
+        (_spread(own(q)).select(*of_q), _spread(at_levels(t, used(q), "level >= mine")).select(*of_t)),
+        (_spread(at_levels(q, used(t), "level > mine")).select(*of_q), _spread(own(t)).select(*of_t)),
+    ]

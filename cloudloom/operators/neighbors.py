@@ -6,27 +6,29 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions.columns import exact_mean, exact_sum, q6, squared, units
+from ..functions.columns import exact, exact_mean, exact_sum, mean_sql, q6, squared, sum_sql
 from ..sources.views import LARGE_SQL, POINTS_SQL, TRIANGLES_SQL, cloud, features, large_clouds, points, triangles
-from .grid import corners, finite, searches, triangle_searches
+from ..staging import staged
+from .grid import checked, corners, searches, triangle_searches
 
 
 _CUBE = ["k", "level", "cx", "cy", "cz"]
 
 
 def knn(queries: DataFrame, reference: DataFrame, k: int) -> DataFrame:
-    """The k nearest reference points of each query point of the same cloud: k, i, j, d2, rank (from 0); ties to the lower index.
+    """The k nearest reference points of each query point of the same cloud: k, i, j, d2, rank (from 0); ties to the lower
+    index. A point that is not finite is an error.
 
     Candidates come from the cubes about a point; the window keeps k rows before it shuffles."""
-    q, r = searches(finite(queries.select("k", "i", *"xyz")), finite(reference.select("k", F.col("i").alias("j"), *"xyz")), k)
+    q, r = searches(checked(queries.select("k", "i", *"xyz")), checked(reference.select("k", F.col("i").alias("j"), *"xyz")), k)
     pairs = q.join(r, _CUBE).withColumn("d2", squared("q", "r")).filter(F.col("d2") <= F.col("bound"))
     rank = F.row_number().over(Window.partitionBy("k", "i").orderBy("d2", "j")) - 1
     return pairs.withColumn("rank", rank).filter(F.col("rank") < k).select("k", "i", "j", "d2", "rank")
 
 
 def nearest(queries: DataFrame, reference: DataFrame) -> DataFrame:
-    """k, i, d2 of the nearest reference point, from the cubes about each point."""
-    q, r = searches(finite(queries.select("k", "i", *"xyz")), finite(reference.select("k", *"xyz")), 1)
+    """k, i, d2 of the nearest reference point, from the cubes about each point. A point that is not finite is an error."""
+    q, r = searches(checked(queries.select("k", "i", *"xyz")), checked(reference.select("k", *"xyz")), 1)
     pairs = q.join(r, _CUBE).withColumn("d2", squared("q", "r")).filter(F.col("d2") <= F.col("bound"))
     return pairs.groupBy("k", "i").agg(F.min("d2").alias("d2"))
 
@@ -46,7 +48,7 @@ def both_ways(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def chamfer(a: DataFrame, b: DataFrame) -> DataFrame:
     """k, forward, backward, cd: both directed means of squared nearest distances, and their sum."""
-    mean = lambda side: F.sum(F.when(F.col("side") == side, units("d2"))) / F.count_if(F.col("side") == side) / 1e9
+    mean = lambda side: F.sum(F.when(F.col("side") == side, exact("d2"))).cast("double") / F.count_if(F.col("side") == side)
     means = both_ways(a, b).groupBy("k").agg(mean("a").alias("forward"), mean("b").alias("backward"))
     return means.filter("forward is not null and backward is not null").withColumn("cd", F.col("forward") + F.col("backward"))
 
@@ -95,18 +97,32 @@ def surface_distances(cloud_: DataFrame, mesh: DataFrame) -> DataFrame:
     """k, i, d2: the squared distance of each point to the nearest triangle of its mesh.
 
     The nearest corner bounds it; only triangles that come within that bound are compared, through the cubes they meet."""
-    points_ = finite(cloud_.select("k", "i", *"xyz"))
+    points_ = checked(cloud_.select("k", "i", *"xyz"))
     reach = nearest(points_, corners(mesh)).select("k", "i", F.sqrt("d2").alias("reach"))
-    q, t = triangle_searches(points_, mesh, reach)
-    pairs = q.join(t, _CUBE).filter(F.col("level") == F.greatest("mine", "least"))
-    return with_triangle_d2(pairs).groupBy("k", "i").agg(F.min("d2").alias("d2"))
+    above, below = (q.join(t, _CUBE) for q, t in triangle_searches(points_, mesh, reach))
+    return with_triangle_d2(above.unionByName(below)).groupBy("k", "i").agg(F.min("d2").alias("d2"))
 
 
 def point_to_surface(cloud_: DataFrame, mesh: DataFrame) -> DataFrame:
-    """k, p2s: the mean squared distance of a cloud's points to the nearest triangle of its mesh."""
+    """k, p2s: the mean squared distance of a cloud's points to the nearest triangle of its mesh, in doubles."""
     return surface_distances(cloud_, mesh).groupBy("k").agg(exact_mean("d2").alias("p2s"))
 
 
+def framed_mesh(mesh: DataFrame, frames: DataFrame) -> DataFrame:
+    """The corners of all triangles in the frame of their cloud."""
+    at = [(c, c[1]) for c in ("ax", "ay", "az", "bx", "by_", "bz", "gx", "gy", "gz")]
+    return mesh.join(frames, "k").select("k", "f", *[((F.col(c) - F.col("o" + a)) / F.col("scale")).alias(c) for c, a in at])
+
+
+def normalized_point_to_surface(cloud_: DataFrame, mesh: DataFrame, clean: DataFrame) -> DataFrame:
+    """k, p2s of the cloud to its mesh, both in the frame of the clean cloud; 0 where that has no extent."""
+    frames = staged(frame(clean), "frames")
+    solid = frames.filter("scale >= 1e-12")
+    p2s = point_to_surface(framed(cloud_, solid), framed_mesh(mesh, solid))
+    flat = cloud_.select("k").distinct().join(frames.filter("scale < 1e-12"), "k").select("k", F.lit(0.0).alias("p2s"))
+    return p2s.union(flat)
+
+
 _D2 = "(q.{p}x - r.{s}x) * (q.{p}x - r.{s}x) + (q.{p}y - r.{s}y) * (q.{p}y - r.{s}y) + (q.{p}z - r.{s}z) * (q.{p}z - r.{s}z)"
 
 
@@ -115,7 +131,7 @@ def _knn_sql(p: str, s: str, k: int) -> str:
 
 
 def _near_sql(name: str, p: str, s: str, table: str = "pts") -> str:
-    return f"{name} AS (SELECT k, CAST(sum(CAST(floor(d2 * 1e9 + 0.5) AS BIGINT)) AS BIGINT) / count(*) / 1e9 AS v FROM (SELECT q.k AS k, q.i AS i, min({_D2.format(p=p, s=s)}) AS d2 FROM {table} q JOIN {table} r ON q.k = r.k GROUP BY q.k, q.i) GROUP BY k)"
+    return f"{name} AS (SELECT k, {mean_sql('d2')} AS v FROM (SELECT q.k AS k, q.i AS i, min({_D2.format(p=p, s=s)}) AS d2 FROM {table} q JOIN {table} r ON q.k = r.k GROUP BY q.k, q.i) GROUP BY k)"
 
 
 @query(f"WITH {POINTS_SQL}, {_knn_sql('c', 'c', 3)} SELECT k, i, j, rank, floor(d2 * 1e6 + 0.5) / 1e6 AS d2 FROM knn")
@@ -212,7 +228,7 @@ e6 AS (SELECT k, i, apx - u * abx - w * acx AS rx, apy - u * aby - w * acy AS ry
 e7 AS (SELECT k, i, min(rx * rx + ry * ry + rz * rz) AS d2 FROM e6 GROUP BY k, i)"""
 
 
-@query(f"WITH {POINTS_SQL}, {TRIANGLES_SQL}, {_region_sql()} SELECT k, floor(CAST(sum(CAST(floor(d2 * 1e9 + 0.5) AS BIGINT)) AS BIGINT) / count(*) / 1e9 * 1e6 + 0.5) / 1e6 AS p2s FROM e7 GROUP BY k")
+@query(f"WITH {POINTS_SQL}, {TRIANGLES_SQL}, {_region_sql()} SELECT k, floor({mean_sql('d2')} * 1e6 + 0.5) / 1e6 AS p2s FROM e7 GROUP BY k")
 def p2s_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return point_to_surface(cloud(points(spark, sf_dir), "p"), triangles(spark, sf_dir)).select("k", q6("p2s").alias("p2s"))
 
@@ -290,16 +306,16 @@ def infocd_sqdist(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RES = "res AS (SELECT k, i, (px - cx) * (px - cx) + (py - cy) * (py - cy) + (pz - cz) * (pz - cz) AS r2 FROM pts)"
 
 
-@query(f"WITH {POINTS_SQL}, {_RES}, h AS (SELECT k, sqrt(greatest(r2, 1e-24)) AS r, r2 FROM res) SELECT k, floor(CAST(sum(CAST(floor(CASE WHEN r2 <= 0.005 * 0.005 THEN 0.5 * r * r / 0.005 ELSE r - 0.5 * 0.005 END * 1e9 + 0.5) AS BIGINT)) AS BIGINT) / count(*) / 1e9 * 1e6 + 0.5) / 1e6 AS huber FROM h GROUP BY k")
+@query(f"WITH {POINTS_SQL}, {_RES}, h AS (SELECT k, sqrt(greatest(r2, 1e-24)) AS r, r2 FROM res) SELECT k, floor({mean_sql('CASE WHEN r2 <= 0.005 * 0.005 THEN 0.5 * r * r / 0.005 ELSE r - 0.5 * 0.005 END')} * 1e6 + 0.5) / 1e6 AS huber FROM h GROUP BY k")
 def huber_correspondence(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = points(spark, sf_dir).withColumn("r2", squared("p", "c")).withColumn("r", F.sqrt(F.greatest("r2", F.lit(1e-24))))
     loss = F.when(F.col("r2") <= 0.005 * 0.005, 0.5 * F.col("r") * F.col("r") / 0.005).otherwise(F.col("r") - 0.5 * 0.005)
     return h.withColumn("loss", loss).groupBy("k").agg(q6(exact_mean("loss")).alias("huber"))
 
 
-@query(f"WITH {POINTS_SQL}, {_RES} SELECT k, CAST(sum(CAST(floor(r2 * 1e9 + 0.5) AS BIGINT)) AS BIGINT) / 1e9 AS total, count(*) AS n FROM res GROUP BY k")
+@query(f"WITH {POINTS_SQL}, {_RES} SELECT k, floor({sum_sql('r2')} * 1e6 + 0.5) / 1e6 AS total, count(*) AS n FROM res GROUP BY k")
 def point_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir).withColumn("r2", squared("p", "c")).groupBy("k").agg(exact_sum("r2").alias("total"), F.count(F.lit(1)).alias("n"))
+    return points(spark, sf_dir).withColumn("r2", squared("p", "c")).groupBy("k").agg(q6(exact_sum("r2")).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {POINTS_SQL}, {_RES} SELECT k, floor(quantile_disc(sqrt(r2), 0.95) * 1e6 + 0.5) / 1e6 AS p95, floor(max(sqrt(r2)) * 1e6 + 0.5) / 1e6 AS largest FROM res GROUP BY k")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions.columns import q6, squared
+from ..functions.columns import exact_mean, q6, squared
 from ..sources.views import POINTS_SQL, cloud, points
 from ..staging import staged
+from .farthest import farthest_points
 from .neighbors import _D2, knn
 
 #: Ways to choose the first of the sampled points.
@@ -19,39 +18,9 @@ PATCH, SEED_K = 16, 3
 TINY = 2.2250738585072014e-308
 
 
-def farthest_points(starts: DataFrame, clouds: DataFrame, count: int | None = None) -> DataFrame:
-    """plan, k, rank, i: the points that farthest-point sampling takes, from start point s of each plan and cloud: count, or
-    as many as the column n of starts says.
-
-    One cloud is a group of its own: each step needs the least distances after the step before. Ties go to the lower index."""
-
-    def sample(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        xyz, ids = pdf[["x", "y", "z"]].to_numpy(), pdf["i"].to_numpy()
-        n = min(int(pdf["n"].iloc[0]), len(ids))
-        least, taken = np.full(len(ids), np.inf), np.zeros(n, np.int64)
-        at = int(np.searchsorted(ids, pdf["s"].iloc[0]))
-        for r in range(n):
-            taken[r] = at
-            d = xyz - xyz[at]
-            least = np.minimum(least, d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])
-            least[taken[: r + 1]] = -1.0
-            at = int(least.argmax())
-        return pd.DataFrame({"plan": pdf["plan"].iloc[0], "k": pdf["k"].iloc[0], "rank": np.arange(n, dtype=np.int32), "i": ids[taken]})
-
-    starts = starts if count is None else starts.withColumn("n", F.lit(count))
-    kind = starts.schema["k"].dataType.simpleString()
-    if not kind.startswith("struct"):
-        return starts.join(clouds, "k").groupBy("plan", "k").applyInPandas(sample, f"plan string, k {kind}, rank int, i int")
-    # a key of several parts is carried as its JSON text through pandas
-    text = F.to_json("k").alias("k")
-    out = farthest_points(starts.select("plan", text, "s", "n"), clouds.select(text, "i", *"xyz"))
-    return out.withColumn("k", F.from_json("k", starts.schema["k"].dataType))
-
-
 def starts(clouds: DataFrame, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
     """plan, k, s: the start point of each strategy; the first index wins ties."""
-    middle = clouds.groupBy("k").agg(*[(F.sum(F.floor(F.col(a) * 1e9 + 0.5)) / F.count(F.lit(1)) / 1e9).alias("m" + a) for a in "xyz"])
+    middle = clouds.groupBy("k").agg(*[exact_mean(a).alias("m" + a) for a in "xyz"])
     d = clouds.join(middle, "k").withColumn("far", squared("", "m"))
     first = {
         "index0": F.min("i"),
@@ -84,9 +53,16 @@ def seed_count(clouds: DataFrame, seed_k: float = SEED_K, size: int = PATCH) ->
     return clouds.groupBy("k").agg(F.floor(F.lit(seed_k) * F.count(F.lit(1)) / size).cast("int").alias("seeds"))
 
 
+def too_small(clouds: DataFrame, size: int = PATCH) -> DataFrame:
+    """k, points of the clouds under one patch: they have no patches, and passes over patches leave them unmoved."""
+    return clouds.groupBy("k").agg(F.count(F.lit(1)).alias("points")).filter(F.col("points") < size)
+
+
 def plan(clouds: DataFrame, strategies: tuple[str, ...] = ("index0",), size: int = PATCH) -> DataFrame:
-    """Patches of every cloud: floor(seed_k n / size) seeds by farthest-point sampling, from each strategy's start."""
-    seeds = starts(clouds, strategies).join(seed_count(clouds, size=size).withColumnRenamed("seeds", "n"), "k").filter("n > 0")
+    """Patches of every cloud of `size` points or more (see too_small): floor(seed_k n / size) seeds by farthest-point
+    sampling, from each strategy's start."""
+    count = clouds.groupBy("k").agg(F.count(F.lit(1)).alias("points"), F.floor(F.lit(SEED_K) * F.count(F.lit(1)) / size).cast("int").alias("n"))
+    seeds = starts(clouds, strategies).join(count.filter(F.col("points") >= size).drop("points"), "k")
     return patches(clouds, farthest_points(seeds, clouds), size)
 
 
@@ -94,15 +70,16 @@ def shrunk(clouds: DataFrame, plan_: DataFrame, rate: float = 0.5) -> DataFrame:
     """The stand-in denoiser: each point of a patch moves towards the patch's mean by `rate` times its nearness.
     plan, k, patch, i, ex, ey, ez (moves)."""
     p = plan_.join(clouds, ["k", "i"])
-    mean = p.groupBy("plan", "k", "patch").agg(*[(F.sum(F.floor(F.col(a) * 1e9 + 0.5)) / F.count(F.lit(1)) / 1e9).alias("m" + a) for a in "xyz"])
+    mean = p.groupBy("plan", "k", "patch").agg(*[exact_mean(a).alias("m" + a) for a in "xyz"])
     move = {f"e{a}": (F.col("m" + a) - F.col(a)) * rate * (1 - F.col("nd2")) for a in "xyz"}
     return p.join(mean, ["plan", "k", "patch"]).withColumns(move).select("plan", "k", "patch", "i", "ex", "ey", "ez")
 
 
-def fuse(clouds: DataFrame, plan_: DataFrame, moves: DataFrame) -> DataFrame:
-    """plan, k, i, x, y, z: each point moved as its owner says; points without an owner stay."""
+def fuse(clouds: DataFrame, plan_: DataFrame, moves: DataFrame, strategies: tuple[str, ...] = ("index0",)) -> DataFrame:
+    """plan, k, i, x, y, z for each of the plans: each point moved as its owner says; points without an owner stay, and so
+    do clouds without patches."""
     own = owners(plan_).join(moves, ["plan", "k", "patch", "i"]).select("plan", "k", "i", "ex", "ey", "ez")
-    every = plan_.select("plan", "k").distinct().join(clouds, "k")
+    every = clouds.withColumn("plan", F.explode(F.array(*map(F.lit, strategies))))
     moved = [(F.col(a) + F.coalesce("e" + a, F.lit(0.0))).alias(a) for a in "xyz"]
     return every.join(own, ["plan", "k", "i"], "left").select("plan", "k", "i", *moved)
 
@@ -138,7 +115,7 @@ def fps_index0(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _START = "SELECT k, CAST(min(i) AS INTEGER) AS s FROM (SELECT p.k AS k, p.i AS i, rank() OVER (PARTITION BY p.k ORDER BY {0}) AS r FROM pts p JOIN md ON p.k = md.k) WHERE r = 1 GROUP BY k"
-_MIDDLE = "md AS (SELECT k, " + ", ".join(f"CAST(sum(CAST(floor(n{a} * 1e9 + 0.5) AS BIGINT)) AS BIGINT) / count(*) / 1e9 AS m{a}" for a in "xyz") + " FROM pts GROUP BY k)"
+_MIDDLE = "md AS (SELECT k, " + ", ".join(f"CAST(sum(CAST(n{a} AS DECIMAL(38, 24))) AS DOUBLE) / count(*) AS m{a}" for a in "xyz") + " FROM pts GROUP BY k)"
 _FAR = "(nx - mx) * (nx - mx) + (ny - my) * (ny - my) + (nz - mz) * (nz - mz) DESC"
 
 
@@ -173,7 +150,7 @@ def patch_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MOVE_SQL = """,
-mn AS (SELECT pl.k AS k, pl.patch AS patch, """ + ", ".join(f"CAST(sum(CAST(floor(n{a} * 1e9 + 0.5) AS BIGINT)) AS BIGINT) / count(*) / 1e9 AS m{a}" for a in "xyz") + """ FROM pl JOIN pts p ON pl.k = p.k AND pl.i = p.i GROUP BY pl.k, pl.patch),
+mn AS (SELECT pl.k AS k, pl.patch AS patch, """ + ", ".join(f"CAST(sum(CAST(n{a} AS DECIMAL(38, 24))) AS DOUBLE) / count(*) AS m{a}" for a in "xyz") + """ FROM pl JOIN pts p ON pl.k = p.k AND pl.i = p.i GROUP BY pl.k, pl.patch),
 fu AS (SELECT p.k AS k, p.i AS i, """ + ", ".join(f"n{a} + coalesce((m{a} - n{a}) * 0.5 * (1 - nd2), 0.0) AS {a}" for a in "xyz") + """ FROM pts p LEFT JOIN ow o ON p.k = o.k AND p.i = o.i LEFT JOIN mn ON mn.k = o.k AND mn.patch = o.patch)"""
 
 
@@ -210,14 +187,14 @@ def weighted_quantiles(rows: DataFrame, levels: tuple[float, ...]) -> DataFrame:
 def cascade_pass(clouds: DataFrame, rate: float, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
     """One refinement: the mean of the fused results of all plans, and x + rate (mean - x)."""
     p = staged(plan(clouds, strategies), "plan")  # read for moves and owners
-    fused = fuse(clouds, p, shrunk(clouds, p))
-    mean = fused.groupBy("k", "i").agg(*[(F.sum(F.floor(F.col(a) * 1e9 + 0.5)) / F.count(F.lit(1)) / 1e9).alias("r" + a) for a in "xyz"])
+    fused = fuse(clouds, p, shrunk(clouds, p), strategies)
+    mean = fused.groupBy("k", "i").agg(*[exact_mean(a).alias("r" + a) for a in "xyz"])
     return clouds.join(mean, ["k", "i"]).select("k", "i", *[(F.col(a) + rate * (F.col("r" + a) - F.col(a))).alias(a) for a in "xyz"])
 
 
 def _pass_sql(t: str, src: str, rate: str, strategies: tuple[str, ...]) -> str:
     """CTEs of a pass over the table src (k, i, nx, ny, nz); their result is the table {t}out."""
-    middle = f"{t}md AS (SELECT k, " + ", ".join(f"CAST(sum(CAST(floor(n{a} * 1e9 + 0.5) AS BIGINT)) AS BIGINT) / count(*) / 1e9 AS m{a}" for a in "xyz") + f" FROM {src} GROUP BY k)"
+    middle = f"{t}md AS (SELECT k, " + ", ".join(f"CAST(sum(CAST(n{a} AS DECIMAL(38, 24))) AS DOUBLE) / count(*) AS m{a}" for a in "xyz") + f" FROM {src} GROUP BY k)"
     order = {"index0": "i", "centroid_far": _FAR, "x_min": "nx", "x_max": "nx DESC"}
     parts, fused = [middle], []
     for n, s in enumerate(strategies):
@@ -231,9 +208,9 @@ def _pass_sql(t: str, src: str, rate: str, strategies: tuple[str, ...]) -> str:
 {u}pa AS (SELECT *, row_number() OVER (PARTITION BY k, patch ORDER BY dist, i) - 1 AS local FROM {u}pr),
 {u}pl AS MATERIALIZED (SELECT k, patch, local, i, dist * dist / greatest(max(dist * dist) OVER (PARTITION BY k, patch), {TINY}) AS nd2 FROM {u}pa WHERE local < 16),
 {u}ow AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, i ORDER BY nd2, patch) AS best FROM {u}pl) WHERE best = 1),
-{u}mn AS (SELECT l.k AS k, l.patch AS patch, """ + ", ".join(f"CAST(sum(CAST(floor(n{a} * 1e9 + 0.5) AS BIGINT)) AS BIGINT) / count(*) / 1e9 AS m{a}" for a in "xyz") + f""" FROM {u}pl l JOIN {src} p ON l.k = p.k AND l.i = p.i GROUP BY l.k, l.patch)""")
+{u}mn AS (SELECT l.k AS k, l.patch AS patch, """ + ", ".join(f"CAST(sum(CAST(n{a} AS DECIMAL(38, 24))) AS DOUBLE) / count(*) AS m{a}" for a in "xyz") + f""" FROM {u}pl l JOIN {src} p ON l.k = p.k AND l.i = p.i GROUP BY l.k, l.patch)""")
         fused.append("SELECT p.k AS k, p.i AS i, " + ", ".join(f"n{a} + coalesce((m{a} - n{a}) * 0.5 * (1 - nd2), 0.0) AS {a}" for a in "xyz") + f" FROM {src} p LEFT JOIN {u}ow o ON p.k = o.k AND p.i = o.i LEFT JOIN {u}mn mn ON mn.k = o.k AND mn.patch = o.patch")
-    mean = f"{t}mean AS (SELECT k, i, " + ", ".join(f"CAST(sum(CAST(floor({a} * 1e9 + 0.5) AS BIGINT)) AS BIGINT) / count(*) / 1e9 AS r{a}" for a in "xyz") + f" FROM ({' UNION ALL '.join(fused)}) GROUP BY k, i)"
+    mean = f"{t}mean AS (SELECT k, i, " + ", ".join(f"CAST(sum(CAST({a} AS DECIMAL(38, 24))) AS DOUBLE) / count(*) AS r{a}" for a in "xyz") + f" FROM ({' UNION ALL '.join(fused)}) GROUP BY k, i)"
     out = f"{t}out AS MATERIALIZED (SELECT p.k AS k, p.i AS i, " + ", ".join(f"n{a} + {rate} * (r{a} - n{a}) AS n{a}" for a in "xyz") + f" FROM {src} p JOIN {t}mean m ON p.k = m.k AND p.i = m.i)"
     return ", ".join([*parts, mean, out])
 
@@ -299,6 +276,20 @@ def noise_route_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route_summary(scale, counts, c.groupBy("k").agg(F.count(F.lit(1)).alias("total")), 0.2)
 
 
+_SMALL_SQL = POINTS_SQL.replace("pts AS (", "every AS (") + ", pts AS (SELECT * FROM every WHERE k % 3 <> 0 OR i < 4 + k)"
+
+
+@query(f"""{_PLAN_SQL.replace(POINTS_SQL, _SMALL_SQL).replace("FROM pts GROUP BY k),", "FROM pts GROUP BY k HAVING count(*) >= 16),", 1).replace("seeds FROM pts GROUP BY k)", "seeds FROM pts GROUP BY k HAVING count(*) >= 16)")}{_MOVE_SQL},
+c AS (SELECT k, count(*) AS points FROM pts GROUP BY k) SELECT fu.k AS k, fu.i AS i, """ + ", ".join(f"floor({a} * 1e5 + 0.5) / 1e5 AS {a}" for a in "xyz") + ", points < 16 AS too_small FROM fu JOIN c ON fu.k = c.k")
+def patch_fuse_small_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clouds of which every third has fewer points than a patch: these stay as they are, and are told apart."""
+    c = staged(_noisy(spark, sf_dir).filter("k % 3 <> 0 or i < 4 + k"), "clouds")
+    p = staged(plan(c), "plan")
+    small = too_small(c).select("k", F.lit(True).alias("too_small"))
+    moved = fuse(c, p, shrunk(c, p)).select("k", "i", *[(F.floor(F.col(a) * 1e5 + 0.5) / 1e5).alias(a) for a in "xyz"])
+    return moved.join(small, "k", "left").withColumn("too_small", F.coalesce("too_small", F.lit(False)))
+
+
 @query(f"{_PLAN_SQL}{_MOVE_SQL} SELECT f.k AS k, f.i AS i, floor((nx + 1.12 * (x - nx)) * 1e5 + 0.5) / 1e5 AS x FROM fu f JOIN pts p ON f.k = p.k AND f.i = p.i")
 def cascade_one_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cascade_pass(_noisy(spark, sf_dir), 1.12, ("index0",))

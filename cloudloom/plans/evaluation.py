@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions.columns import q6, score
-from ..operators.neighbors import FRAME_SQL, _near_sql, _region_sql, normalized_chamfer, point_to_surface, tagged
+from ..functions.columns import exact_mean, exact_sum, mean_sql, q6, score, sum_sql
+from ..operators.neighbors import FRAME_SQL, _near_sql, _region_sql, chamfer, frame, framed, framed_mesh, point_to_surface, tagged
 from ..sources.views import POINTS_SQL, TRIANGLES_SQL, cloud, points, triangles
+from ..staging import staged
 
 
 KINDS = ("pred", "noisy")
@@ -35,11 +36,26 @@ def score_rows(metrics: DataFrame, require_p2s: bool) -> DataFrame:
 
 def scored(predicted: DataFrame, noisy: DataFrame, clean: DataFrame, mesh: DataFrame | None = None) -> DataFrame:
     """k, cd_pred, cd_noisy, p2s_pred, p2s_noisy, cd_score, p2s_score, total_score of each predicted cloud. Both clouds go
-    through one search; P2S is measured, and required, where a mesh is given."""
+    through one search, in the frame of the clean cloud, and so does the mesh; metrics are 0 where that has no extent. P2S is
+    measured, and required, where a mesh is given. A prediction of another number of points than the noisy cloud is an error."""
+    frames = staged(frame(clean), "frames")
+    solid = frames.filter("scale >= 1e-12")
     both = tagged(predicted.select("k", "i", *"xyz"), "pred").union(tagged(noisy.select("k", "i", *"xyz"), "noisy"))
-    out = of_kinds(normalized_chamfer(both, tagged(clean, *KINDS)), "cd")
+    of_k = lambda df: df.withColumns({"tag": F.col("k.tag"), "k": F.col("k.k")})
+    every = of_k(both).union(clean.select("k", "i", *"xyz", F.lit("clean").alias("tag")))
+    inside = [((F.col(a) - F.col("o" + a)) / F.col("scale")).alias(a) for a in "xyz"]
+    inside = staged(every.join(solid, "k").select("k", "i", "tag", *inside), "framed")
+    both_in = inside.filter("tag <> 'clean'").select(F.struct("k", "tag").alias("k"), "i", *"xyz")
+    clean_in = inside.filter("tag = 'clean'").select("k", "i", *"xyz")
+    sizes = of_kinds(both.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "n")
+    flat = frames.filter("scale < 1e-12").select("k", *[F.lit(0.0).alias(f"cd_{t}") for t in KINDS])
+    out = of_kinds(chamfer(both_in, tagged(clean_in, *KINDS)), "cd").union(flat)
     if mesh is not None:
-        out = out.join(of_kinds(point_to_surface(both, tagged(mesh, *KINDS)), "p2s"), "k", "left")
+        flat = flat.select("k", *[F.lit(0.0).alias(f"p2s_{t}") for t in KINDS])
+        p2s = of_kinds(point_to_surface(both_in, tagged(framed_mesh(mesh, solid), *KINDS)), "p2s").union(flat)
+        out = out.join(p2s, "k", "left")
+    wrong = F.raise_error(F.concat(F.lit("another number of points than the noisy cloud has: "), F.col("k").cast("string"))).cast("double")
+    out = out.join(sizes, "k").withColumn("cd_pred", F.when(F.col("n_pred") == F.col("n_noisy"), F.col("cd_pred")).otherwise(wrong)).drop("n_pred", "n_noisy")
     return score_rows(out, mesh is not None)
 
 
@@ -53,17 +69,16 @@ def zero_filled(expected: DataFrame, scores: DataFrame) -> DataFrame:
 def rolled_up(rows: DataFrame) -> DataFrame:
     """By synset and in all (synset null): counts, means of the scores over all expected samples, and of the raw metrics
     over those present. P2S means are null where P2S was not scored; the total is then the CD mean."""
-    micro = lambda c: F.floor(F.col(c) * 1e6 + 0.5)
     has_p2s = F.count_if(~F.col("missing") & F.col("p2s_score").isNotNull()) > 0
-    mean = lambda c: F.sum(micro(c)) / F.count(F.lit(1)) / 1e6
-    raw = {c: F.floor(F.when(~F.col("missing"), F.col(c)) * 1e9 + 0.5) for c in ("cd_pred", "cd_noisy", "p2s_pred", "p2s_noisy")}
+    mean = lambda c: exact_sum(c) / F.count(F.lit(1))
+    raw = {c: F.when(~F.col("missing"), F.col(c)) for c in ("cd_pred", "cd_noisy", "p2s_pred", "p2s_noisy")}
     out = rows.rollup("synset").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(~F.col("missing")).alias("n_valid"),
         F.count_if("missing").alias("n_missing"),
         mean("cd_score").alias("mean_cd_score"),
         F.when(has_p2s, mean("p2s_score")).alias("mean_p2s_score"),
-        *[(F.sum(v) / F.count(v) / 1e9).alias(f"mean_{c}") for c, v in raw.items()],
+        *[exact_mean(v).alias(f"mean_{c}") for c, v in raw.items()],
     )
     total = F.when(F.col("mean_p2s_score").isNull(), F.col("mean_cd_score")).otherwise(0.5 * F.col("mean_cd_score") + 0.5 * F.col("mean_p2s_score"))
     return out.withColumn("total_score", total)
@@ -103,14 +118,19 @@ def eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir).select("k", q6("cd_pred").alias("cd_pred"), q6("cd_noisy").alias("cd_noisy"), (F.floor(F.col("cd_score") * 1e4 + 0.5) / 1e4).alias("cd_score"))
 
 
+# The triangles in the frame of the clean cloud.
+_FRAMED_SQL = f"{TRIANGLES_SQL}, trn AS (SELECT t.k AS k, f, " + ", ".join(f"({c} - o{c[1]}) / scale AS {c}" for c in ("ax", "ay", "az", "bx", "by_", "bz", "gx", "gy", "gz")) + " FROM tri t JOIN fr ON t.k = fr.k)"
+
+
 def _surface(s: str) -> str:
     sql = _region_sql().replace("px - ax", f"{s}x - ax").replace("py - ay", f"{s}y - ay").replace("pz - az", f"{s}z - az")
     for k in range(8):
         sql = sql.replace(f"e{k} ", f"{s}e{k} ").replace(f"FROM e{k})", f"FROM {s}e{k})")
-    return sql + f", {s}v AS (SELECT k, CAST(sum(CAST(floor(d2 * 1e9 + 0.5) AS BIGINT)) AS BIGINT) / count(*) / 1e9 AS v FROM {s}e7 GROUP BY k)"
+    sql = sql.replace("FROM pts p JOIN tri t", "FROM nrm p JOIN trn t")
+    return sql + f", {s}v AS (SELECT k, {mean_sql('d2')} AS v FROM {s}e7 GROUP BY k)"
 
 
-@query(f"{_EVAL_SQL}, {TRIANGLES_SQL}, {_surface('p')}, {_surface('n')}, ss AS (SELECT pv.k AS k, {_SCORE.format(p='pv.v', n='nv.v')} AS p2s_score FROM pv JOIN nv ON pv.k = nv.k) SELECT sc.k AS k, floor((0.5 * cd_score + 0.5 * p2s_score) * 1e3 + 0.5) / 1e3 AS total_score FROM sc JOIN ss ON sc.k = ss.k")
+@query(f"{_EVAL_SQL}, {_FRAMED_SQL}, {_surface('p')}, {_surface('n')}, ss AS (SELECT pv.k AS k, {_SCORE.format(p='pv.v', n='nv.v')} AS p2s_score FROM pv JOIN nv ON pv.k = nv.k) SELECT sc.k AS k, floor((0.5 * cd_score + 0.5 * p2s_score) * 1e3 + 0.5) / 1e3 AS total_score FROM sc JOIN ss ON sc.k = ss.k")
 def eval_total_with_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir, True).select("k", (F.floor(F.col("total_score") * 1e3 + 0.5) / 1e3).alias("total_score"))
 
@@ -126,27 +146,27 @@ def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("k").distinct().union(more).select("k", F.when(k % 3 == 0, "a").when(k % 3 == 1, "b").otherwise("c").alias("synset"))
 
 
-def _mean_sql(v: str, digits: str, alias: str, scale: str = "1e6", over: str = "count(*)") -> str:
-    return f"floor(CAST(sum(CAST(floor({v} * {scale} + 0.5) AS BIGINT)) AS BIGINT) / {over} / {scale} * {digits} + 0.5) / {digits} AS {alias}"
+def _mean_sql(v: str, digits: str, alias: str, over: str = "count(*)") -> str:
+    return f"floor({sum_sql(v)} / {over} * {digits} + 0.5) / {digits} AS {alias}"
 
 
 _Z = f"{_EXPECTED_SQL}, z AS (SELECT synset, sc.k IS NULL AS missing, coalesce(cd_score, 0.0) AS s, cd_pred, cd_noisy FROM ex LEFT JOIN sc ON ex.k = sc.k)"
 
 
-@query(f"{_EVAL_SQL}, {_Z} SELECT synset, count(*) AS n, CAST(sum(CASE WHEN missing THEN 1 ELSE 0 END) AS BIGINT) AS n_missing, {_mean_sql('s', '1e3', 'mean_score')}, {_mean_sql('cd_pred', '1e5', 'mean_cd', '1e9', 'count(cd_pred)')} FROM z GROUP BY ROLLUP (synset)")
+@query(f"{_EVAL_SQL}, {_Z} SELECT synset, count(*) AS n, CAST(sum(CASE WHEN missing THEN 1 ELSE 0 END) AS BIGINT) AS n_missing, {_mean_sql('s', '1e3', 'mean_score')}, {_mean_sql('cd_pred', '1e5', 'mean_cd', 'count(cd_pred)')} FROM z GROUP BY ROLLUP (synset)")
 def eval_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rolled_up(zero_filled(_expected(spark, sf_dir), _scores(spark, sf_dir)))
     return r.select("synset", "n", "n_missing", (F.floor(F.col("total_score") * 1e3 + 0.5) / 1e3).alias("mean_score"), (F.floor(F.col("mean_cd_pred") * 1e5 + 0.5) / 1e5).alias("mean_cd"))
 
 
-_SURFACE_SQL = f"{_EVAL_SQL}, {TRIANGLES_SQL}, {_surface('p')}, {_surface('n')}, ss AS (SELECT pv.k AS k, pv.v AS p2s_pred, nv.v AS p2s_noisy, {_SCORE.format(p='pv.v', n='nv.v')} AS p2s_score FROM pv JOIN nv ON pv.k = nv.k)"
+_SURFACE_SQL = f"{_EVAL_SQL}, {_FRAMED_SQL}, {_surface('p')}, {_surface('n')}, ss AS (SELECT pv.k AS k, pv.v AS p2s_pred, nv.v AS p2s_noisy, {_SCORE.format(p='pv.v', n='nv.v')} AS p2s_score FROM pv JOIN nv ON pv.k = nv.k)"
 _ROUNDED = {"mean_cd_score": "1e2", "mean_p2s_score": "1e2", "mean_cd_pred": "1e5", "mean_cd_noisy": "1e5", "mean_p2s_pred": "1e5", "mean_p2s_noisy": "1e5", "total_score": "1e2"}
 
 
 @query(f"""{_SURFACE_SQL}, {_EXPECTED_SQL}, z AS (SELECT synset, sc.k IS NULL AS missing, coalesce(cd_score, 0.0) AS cs, coalesce(p2s_score, 0.0) AS ps, cd_pred, cd_noisy, p2s_pred, p2s_noisy FROM ex LEFT JOIN sc ON ex.k = sc.k LEFT JOIN ss ON ex.k = ss.k),
 r AS (SELECT synset, count(*) AS n, CAST(sum(CASE WHEN missing THEN 0 ELSE 1 END) AS BIGINT) AS n_valid, CAST(sum(CASE WHEN missing THEN 1 ELSE 0 END) AS BIGINT) AS n_missing,
-  CAST(sum(CAST(floor(cs * 1e6 + 0.5) AS BIGINT)) AS BIGINT) / count(*) / 1e6 AS c, CASE WHEN sum(CASE WHEN missing THEN 0 ELSE 1 END) > 0 THEN CAST(sum(CAST(floor(ps * 1e6 + 0.5) AS BIGINT)) AS BIGINT) / count(*) / 1e6 END AS p,
-  {', '.join(_mean_sql(m, '1e5', 'mean_' + m, '1e9', f'count({m})') for m in ('cd_pred', 'cd_noisy', 'p2s_pred', 'p2s_noisy'))} FROM z GROUP BY ROLLUP (synset))
+  {sum_sql('cs')} / count(*) AS c, CASE WHEN sum(CASE WHEN missing THEN 0 ELSE 1 END) > 0 THEN {sum_sql('ps')} / count(*) END AS p,
+  {', '.join(_mean_sql(m, '1e5', 'mean_' + m, f'count({m})') for m in ('cd_pred', 'cd_noisy', 'p2s_pred', 'p2s_noisy'))} FROM z GROUP BY ROLLUP (synset))
 SELECT synset, n, n_valid, n_missing, floor(c * 1e2 + 0.5) / 1e2 AS mean_cd_score, floor(p * 1e2 + 0.5) / 1e2 AS mean_p2s_score, mean_cd_pred, mean_cd_noisy, mean_p2s_pred, mean_p2s_noisy, floor((CASE WHEN p IS NULL THEN c ELSE 0.5 * c + 0.5 * p END) * 1e2 + 0.5) / 1e2 AS total_score FROM r""")
 def eval_rollup_with_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole roll-up: both scores and the raw metrics, by category and in all."""

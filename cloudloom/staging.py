@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +31,20 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Sends this package to the executors (once an application; as spark-submit --py-files does), for functions that run
+    in their Python workers."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).parent
+        handle, name = tempfile.mkstemp(suffix=".zip", prefix=f"{package.name}-")
+        with os.fdopen(handle, "wb") as f, zipfile.ZipFile(f, "w") as z:
+            for x in sorted(package.rglob("*.py")):
+                z.write(x, x.relative_to(package.parent))
+        context.addPyFile(name)
+        _SHIPPED.add(context.applicationId)

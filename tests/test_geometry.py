@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from cloudloom.functions.columns import score
 from cloudloom.operators import grid
 from cloudloom.operators.neighbors import chamfer, knn, nearest, normalized_chamfer, surface_distances
-from cloudloom.operators.patches import farthest_points, starts, weighted_quantiles
+from cloudloom.operators.farthest import farthest_points
+from cloudloom.operators.patches import starts, weighted_quantiles
 from cloudloom.plans.evaluation import score_rows, scored, write_scores, zero_filled
 from cloudloom.sources.files import list_archive, read_clouds, read_ids, read_ledger, repeated_keys, scan_tree
 from cloudloom.sources.views import cloud as cloud_of
@@ -43,9 +44,106 @@ def test_search_through_cubes_is_exact(spark, monkeypatch, one_cube):
     assert len(got) == len(a) and np.allclose([got[i] for i in range(len(a))], d2.min(1))
 
 
-def test_points_that_are_no_numbers_have_no_neighbours(spark):
-    c = cloud(spark, [(0, 0, 0), (float("nan"), 0, 0), (1, 0, 0), (float("inf"), 1, 1)])
-    assert {(r.i, r.j) for r in knn(c, c, 4).collect()} == {(0, 0), (0, 2), (2, 0), (2, 2)}
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), None])
+def test_a_point_that_is_no_number_is_an_error(spark, bad):
+    c = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0), (0, 1, 1.0, 1.0, bad)], "k int, i int, x double, y double, z double")
+    for find in (lambda: knn(c, c, 1), lambda: nearest(c.filter("i = 0"), c), lambda: chamfer(c, c.filter("i = 0"))):
+        with pytest.raises(Exception, match="not finite"):
+            find().collect()
+
+
+def met(q, r):
+    """Pairs that a join of searches makes, per query, and the most under one key."""
+    keys = ["k", "level", "cx", "cy", "cz"]
+    pairs = q.groupBy(*keys).count().join(r.groupBy(*keys).agg(F.count(F.lit(1)).alias("there")), keys).select((F.col("count") * F.col("there")).alias("n"))
+    return pairs.agg(F.sum("n"), F.max("n")).first()
+
+
+@pytest.mark.parametrize("shape", ["far point", "dense spot", "volume", "coincident"])
+def test_cubes_follow_density(spark, shape):
+    g = np.random.default_rng(8)
+    n = 4000
+    xyz = g.uniform(size=(n, 3))
+    if shape == "far point":
+        xyz[0] = 5000
+    if shape == "dense spot":
+        xyz[: n // 2] *= 0.001
+    if shape == "coincident":
+        xyz[: n // 2] = 0.5
+    c = cloud(spark, xyz)
+    pairs, most = met(*grid.searches(c, c.select("k", F.col("i").alias("j"), *"xyz"), 4))
+    assert pairs < 200 * n and most < 100_000
+    i = np.arange(0, n, 97)
+    d2 = ((xyz[i][:, None] - xyz[None]) ** 2).sum(2)
+    got = {(r.i, r["rank"]): r.d2 for r in knn(c.filter("i % 97 = 0"), c, 4).collect()}
+    want = np.sort(d2, axis=1)[:, :4]
+    assert np.allclose([[got[a, b] for b in range(4)] for a in i.tolist()], want)
+
+
+def test_surface_search_meets_only_pairs_that_it_compares(spark):
+    g = np.random.default_rng(6)
+    base = g.normal(size=(1000, 3))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    tri = base[:, None] + g.normal(size=(1000, 3, 3)) * 0.02
+    mesh = spark.createDataFrame([(0, f, *map(float, t.reshape(-1))) for f, t in enumerate(tri)], "k int, f int, ax double, ay double, az double, bx double, by_ double, bz double, gx double, gy double, gz double")
+    pts = cloud(spark, base[g.integers(0, 1000, 2000)] + g.normal(size=(2000, 3)) * 0.02)
+    reach = nearest(pts, grid.corners(mesh)).select("k", "i", F.sqrt("d2").alias("reach"))
+    found = [met(q, t) for q, t in grid.triangle_searches(pts, mesh, reach)]
+    assert sum(p or 0 for p, _ in found) < 100 * 2000 and max(m or 0 for _, m in found) < 100_000
+
+
+def test_scores_of_small_distances(spark):
+    """Clouds whose distances are far under a billionth squared: 100 (1 - (1.8 / 2)^2) and 100 (1 - (2 / 3)^2)."""
+    clean = spark.createDataFrame([(k, i, float(i % 5), float(i // 5), 0.0) for k in (0, 1) for i in range(25)], "k int, i int, x double, y double, z double")
+    moved = lambda a, b: clean.withColumn("z", F.when(F.col("k") == 0, a).otherwise(b))
+    corner = clean.filter("i in (0, 4, 20)").groupBy("k").agg(*[F.max(F.when(F.col("i") == i, F.col(a))).alias(p + a + ("_" if p + a == "by" else "")) for p, i in (("a", 0), ("b", 4), ("g", 20)) for a in "xyz"])
+    other = clean.filter("i in (4, 20, 24)").groupBy("k").agg(*[F.max(F.when(F.col("i") == i, F.col(a))).alias(p + a + ("_" if p + a == "by" else "")) for p, i in (("a", 4), ("b", 20), ("g", 24)) for a in "xyz"])
+    mesh = corner.withColumn("f", F.lit(0)).unionByName(other.withColumn("f", F.lit(1)))
+    got = {r.k: r for r in scored(moved(1.8e-5, 2e-5), moved(2e-5, 3e-5), clean, mesh).collect()}
+    for k, want in ((0, 19.0), (1, 100 * 5 / 9)):
+        assert got[k].cd_score == pytest.approx(want) and got[k].p2s_score == pytest.approx(want)
+    scale2 = 8.0  # of the frame: half the diagonal, squared
+    assert got[0].p2s_noisy == pytest.approx(4e-10 / scale2) and got[0].cd_noisy == pytest.approx(8e-10 / scale2)
+
+
+def test_a_prediction_of_another_size_is_an_error(spark):
+    c = cloud(spark, [(0, 0, 0), (1, 0, 0), (0, 1, 0)])
+    with pytest.raises(Exception, match="another number of points"):
+        scored(c.filter("i < 2"), c, c).collect()
+
+
+def stepwise(xyz, start, count):
+    least, taken, at = np.full(len(xyz), np.inf), [], start
+    for _ in range(count):
+        taken.append(at)
+        d = xyz - xyz[at]
+        least = np.minimum(least, d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])
+        least[taken] = -1
+        at = int(least.argmax())
+    return taken
+
+
+@pytest.mark.parametrize("shape", ["sphere", "lattice", "far point", "coincident"])
+def test_farthest_points_over_blocks(spark, shape):
+    """A cloud in many blocks: the same points in the same order as step by step, with ties, outliers and equal points."""
+    g = np.random.default_rng(12)
+    n = 3000
+    xyz = g.normal(size=(n, 3))
+    if shape == "sphere":
+        xyz /= np.linalg.norm(xyz, axis=1, keepdims=True)
+    if shape == "lattice":
+        xyz = g.permutation(np.array([(a, b, c) for a in range(15) for b in range(15) for c in range(14)], float))[:n]
+    if shape == "far point":
+        xyz[5] = 1000
+    if shape == "coincident":
+        xyz[: n - 20] = 0.25
+    c = cloud(spark, xyz).union(cloud(spark, xyz[:40], 7))
+    s = spark.createDataFrame([("a", 0, 3), ("b", 0, 11), ("a", 7, 0)], "plan string, k int, s int")
+    got = {(r.plan, r.k, r["rank"]): r.i for r in farthest_points(s, c, 45, block=800).collect()}
+    for plan, k, start, pts in (("a", 0, 3, xyz), ("b", 0, 11, xyz), ("a", 7, 0, xyz[:40])):
+        m = min(45, len(pts))
+        assert [got[plan, k, r] for r in range(m)] == stepwise(pts, start, m)
+    assert len(got) == 45 + 45 + 40
 
 
 @pytest.mark.parametrize("one_cube", [8, 512])
