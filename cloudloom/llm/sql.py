@@ -7,7 +7,10 @@ import re
 from .chat import CONTROL, LEARNED_ROLE, RESERVED
 from .neardup import SHINGLE
 from .quality import BLOCK_RATE, MAX_DUP_LINE_PERCENT, MAX_REPEAT_PERCENT, MAX_SYMBOL_PERCENT, MIN_WORDS, WATCH_RATE
+from .resampling import BUCKETS, PERCENT, SEED
+from .resampling import MIN_WORDS as MIN_DRAWN_WORDS
 from .substring import WINDOW
+from .suffixes import WINDOW as BYTES
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -87,4 +90,53 @@ select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) |
 from t group by conv_id
 """
 
-ORACLES = {"op1_quality_rules": QUALITY, "op4_minhash_near_dedup": NEAR_DUPLICATES, "op5_substring_dedup": PASSAGES, "op7_chat_format": CHAT}
+BYTE_STRINGS = f"""
+with d as (select row_number() over () as r, doc_id, lower(hex(encode(coalesce(text, '')))) as h from documents),
+s as (select r, doc_id, h, length(h) // 2 as n from d),
+piece as (select r, doc_id, n, unnest(range(0, n - {BYTES - 1}, 256)) as a, h from s where n >= {BYTES} and doc_id is not null),
+part as (select r, doc_id, a, least(256, n - {BYTES - 1} - a) as m, substr(h, 2 * a + 1, 2 * (256 + {BYTES - 1})) as h from piece),
+win as (select r, doc_id, a, unnest(range(m)) as j, h from part),
+cut as (select r, doc_id, a + j as i, md5(substr(h, 2 * j + 1, {2 * BYTES})) as w from win),
+owner as (select w, min(doc_id) as lo from cut group by w),
+late as (select r, i from cut join owner on cut.w = owner.w where doc_id > lo),
+edge as (select r, i, i > lag(i) over p + {BYTES} or lag(i) over p is null as new from late window p as (partition by r order by i)),
+run as (select r, i, sum(new::int) over (partition by r order by i) as g from edge),
+span as (select r, min(i) as a, max(i) + {BYTES} as b from run group by r, g),
+gap as (select r, a, b, lead(a) over (partition by r order by a) as next, row_number() over (partition by r order by a) as k from span),
+kept as (
+  select s.r, sum(b - a)::bigint as n_removed, count(*)::bigint as n_spans,
+    max(case when k = 1 then substr(h, 1, 2 * a) end) || string_agg(substr(h, 2 * b + 1, 2 * (coalesce(next, n) - b)), '' order by a) as rest
+  from gap join s using (r) group by s.r)
+select doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(rest, h))) as kept_sha256
+from s left join kept using (r)
+"""
+
+RESAMPLING = rf"""
+with recursive crc(step, b, c) as (
+  select 0, b, b from (select unnest(range(256))::bigint as b)
+  union all select step + 1, b, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from crc where step < 8),
+crcs as (select list(c order by b) as t from crc where step = 8),
+texts as (
+  select 'd' as side, row_number() over () as r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+  union all select 'b', row_number() over (), null, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark),
+w as (select side, r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from texts),
+f as (
+  select side, r, unnest(ws) as g from w
+  union all select side, r, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) from w where len(ws) > 1),
+grams as (select distinct g from f),
+bytes as (select g, list_transform(range(octet_length(encode(g))), lambda i: ('0x' || substr(hex(encode(g)), 2 * i + 1, 2))::bigint) as bs from grams),
+bucketed as (select g, xor(list_reduce(list_prepend(4294967295, bs), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % {BUCKETS} as bucket from bytes, crcs),
+fb as (select side, r, bucket from f join bucketed using (g)),
+n as (select bucket, count(*) filter (where side = 'd') as s, count(*) filter (where side = 'b') as t from fb group by bucket),
+total as (select coalesce(sum(s), 0)::bigint as s, coalesce(sum(t), 0)::bigint as t from n),
+gain as (select bucket, floor(1000 * ln(((n.t + 1)::double * (total.s + {BUCKETS})::double) / ((n.s + 1)::double * (total.t + {BUCKETS})::double)))::bigint as gain from n, total),
+weighed as (select r, count(*) as n_features, floor(sum(gain)::double / count(*))::bigint as weight from fb join gain using (bucket) where side = 'd' group by r),
+scored as (
+  select w.r, doc_id, len(ws) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('{SEED}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5) / 4294967296.0)))::bigint as score
+  from w left join weighed using (r) where side = 'd'),
+placed as (select r, row_number() over (order by score desc, doc_id nulls last) as place, count(*) over () as able from scored where n_words >= {MIN_DRAWN_WORDS})
+select doc_id, n_features, weight, score, case when place <= {PERCENT} * able // 100 then place end as rank from scored left join placed using (r)
+"""
+
+ORACLES = {"op1_quality_rules": QUALITY, "op4_minhash_near_dedup": NEAR_DUPLICATES, "op5_substring_dedup": PASSAGES, "op7_chat_format": CHAT, "op11_suffix_dedup": BYTE_STRINGS, "op12_importance_resampling": RESAMPLING}
