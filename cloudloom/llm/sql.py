@@ -124,7 +124,7 @@ f as (
   select side, r, unnest(ws) as g from w
   union all select side, r, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) from w where len(ws) > 1),
 grams as (select distinct g from f),
-bytes as (select g, list_transform(range(octet_length(encode(g))), lambda i: ('0x' || substr(hex(encode(g)), 2 * i + 1, 2))::bigint) as bs from grams),
+bytes as (select g, list_transform(regexp_extract_all(hex(encode(g)), '..'), lambda x: ('0x' || x)::bigint) as bs from grams),
 bucketed as (select g, xor(list_reduce(list_prepend(4294967295, bs), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % {BUCKETS} as bucket from bytes, crcs),
 fb as (select side, r, bucket from f join bucketed using (g)),
 n as (select bucket, count(*) filter (where side = 'd') as s, count(*) filter (where side = 'b') as t from fb group by bucket),
