@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions.columns import q6
 from ..sources.views import LOG_SQL, POINTS_SQL, cloud, features, points, read, train_log
 from .neighbors import _FEATURE_SQL, _knn_sql, knn
 
-STEPS, PER_EPOCH = 2000, 100
+PER_EPOCH = 500
 BASE, FLOOR, START = 1e-3, 1e-5, 1e-4
 
 
@@ -28,33 +30,42 @@ def warmup_hold_cosine(step: Column, warm: int, hold: int, steps: int, start: fl
     return F.when(step <= warm, rise).when(step <= hold, base).otherwise(fall)
 
 
-def _steps(spark: SparkSession) -> DataFrame:
-    return spark.range(1, STEPS + 1).select(F.col("id").alias("step"))
+def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int, int]:
+    """The steps of a run's log, its last step, and where a tenth and half of it end."""
+    log = train_log(spark, sf_dir).select("step", "epoch")
+    last = log.agg(F.max("step")).first()[0] or 0
+    return log, last, max(last // 10, 1), last // 2
 
 
-@query(f"SELECT range AS step, CAST({BASE} AS DOUBLE) AS lr FROM range(1, {STEPS + 1})")
+_RUN_SQL = f"WITH {LOG_SQL}, t AS (SELECT max(step) AS n, greatest(max(step) // 10, 1) AS w, max(step) // 2 AS h FROM log)"
+
+
+@query(f"{_RUN_SQL} SELECT step, CAST({BASE} AS DOUBLE) AS lr FROM log")
 def lr_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _steps(spark).withColumn("lr", F.lit(BASE))
+    return _run(spark, sf_dir)[0].select("step", F.lit(BASE).alias("lr"))
 
 
 def _q9(sql: str) -> str:
     return f"floor(({sql}) * 1e9 + 0.5) / 1e9"
 
 
-@query(f"SELECT range AS step, {_q9(f'CASE WHEN range <= 200 THEN {BASE} * range / 200 ELSE {FLOOR} + ({BASE} - {FLOOR}) * 0.5 * (1 + cos(pi() * (range - 200) / 1800.0)) END')} AS lr FROM range(1, {STEPS + 1})")
+@query(f"{_RUN_SQL} SELECT step, {_q9(f'CASE WHEN step <= w THEN {BASE} * step / w ELSE {FLOOR} + ({BASE} - {FLOOR}) * 0.5 * (1 + cos(pi() * ((step - w) / CAST(n - w AS DOUBLE)))) END')} AS lr FROM log, t")
 def lr_warmup_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _steps(spark).withColumn("lr", F.floor(warmup_cosine(F.col("step"), 200, STEPS) * 1e9 + 0.5) / 1e9)
+    log, last, warm, _ = _run(spark, sf_dir)
+    return log.select("step", (F.floor(warmup_cosine(F.col("step"), warm, last) * 1e9 + 0.5) / 1e9).alias("lr"))
 
 
-@query(f"SELECT range AS step, {_q9(f'CASE WHEN range <= 200 THEN CASE WHEN range = 200 THEN {BASE} ELSE {START} + ({BASE} - {START}) * (range - 1) / 199.0 END WHEN range <= 1000 THEN {BASE} WHEN range = 2000 THEN {FLOOR} ELSE {FLOOR} + ({BASE} - {FLOOR}) * 0.5 * (1 + cos(pi() * (range - 1001) / 999.0)) END')} AS lr FROM range(1, {STEPS + 1})")
+@query(f"{_RUN_SQL} SELECT step, {_q9(f'CASE WHEN step <= w THEN CASE WHEN step = w THEN {BASE} ELSE {START} + ({BASE} - {START}) * (step - 1) / CAST(greatest(w - 1, 1) AS DOUBLE) END WHEN step <= h THEN {BASE} WHEN step = n THEN {FLOOR} ELSE {FLOOR} + ({BASE} - {FLOOR}) * 0.5 * (1 + cos(pi() * ((step - h - 1) / CAST(greatest(n - h - 1, 1) AS DOUBLE)))) END')} AS lr FROM log, t")
 def lr_warmup_hold_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _steps(spark).withColumn("lr", F.floor(warmup_hold_cosine(F.col("step"), 200, 1000, STEPS) * 1e9 + 0.5) / 1e9)
+    log, last, warm, hold = _run(spark, sf_dir)
+    return log.select("step", (F.floor(warmup_hold_cosine(F.col("step"), warm, hold, last) * 1e9 + 0.5) / 1e9).alias("lr"))
 
 
-@query(f"SELECT range AS step, (range - 1) // {PER_EPOCH} AS epoch, (range - 1) % {PER_EPOCH} AS batch, ((range - 1) // {PER_EPOCH}) * {PER_EPOCH} + (range - 1) % {PER_EPOCH} + 1 = range AS agrees FROM range(1, {STEPS + 1})")
+@query(f"WITH {LOG_SQL} SELECT step, (step - 1) // {PER_EPOCH} AS cursor_epoch, (step - 1) % {PER_EPOCH} AS batch, (step - 1) // {PER_EPOCH} = epoch AS agrees FROM log")
 def step_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _steps(spark).withColumns({"epoch": F.expr(f"(step - 1) div {PER_EPOCH}"), "batch": F.expr(f"(step - 1) % {PER_EPOCH}")})
-    return s.withColumn("agrees", F.col("epoch") * PER_EPOCH + F.col("batch") + 1 == F.col("step"))
+    """Where each step of a log stands in its epoch, and whether the log says the same epoch."""
+    s = _run(spark, sf_dir)[0].withColumns({"cursor_epoch": F.expr(f"(step - 1) div {PER_EPOCH}"), "batch": F.expr(f"(step - 1) % {PER_EPOCH}")})
+    return s.select("step", "cursor_epoch", "batch", (F.col("cursor_epoch") == F.col("epoch")).alias("agrees"))
 
 
 @query(f"WITH {LOG_SQL} SELECT epoch, count(*) AS n, floor(CAST(sum(CAST(floor(metric * weight * 1e6 + 0.5) AS BIGINT)) AS BIGINT) / CAST(sum(weight) AS BIGINT) / 1e6 * 1e5 + 0.5) / 1e5 AS weighted_mean, floor(quantile_cont(metric, 0.5) * 1e5 + 0.5) / 1e5 AS median, min(metric) AS least, max(metric) AS most FROM log GROUP BY epoch")
@@ -205,6 +216,57 @@ def vq_dead_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dead_codes_reset(codes, 1000, 600).select("c", "dead", "usage", "last_usage", "source")
 
 
+#: Of the noise of remade codes (fixed values of its formula).
+PHASE, FIRST_WAVE, SECOND_WAVE = (0.754877666, 0.569840296), (12.9898, 78.233, 43758.5453), (39.3467, 11.135, 24634.6345)
+
+
+def remade_codes(codes: DataFrame, vectors: DataFrame, step: int, seed: int, dead_steps: int = 5000, every: int = 1000) -> DataFrame:
+    """c, f: vectors (c, f) after the dead codes were made anew: each is its source plus a tenth of normal noise, normalised. Dead
+    codes go in order, and one may be the source of a later one: so one task goes through the codebook, whose size a model
+    bounds. The noise depends on seed, step, the dead code's rank and the dimension only; it is computed in doubles."""
+
+    def remake(t: pa.Table) -> pa.Table:
+        t = t.sort_by("c")
+        book = dict(zip(t.column("c").to_pylist(), np.array(t.column("f").to_pylist(), float)))
+        dead = [(c, s) for c, s, d in zip(*(t.column(x).to_pylist() for x in ("c", "source", "dead"))) if d]
+        for rank, (c, source) in enumerate(dead):
+            width = len(book[source])
+            phase = rank * width + np.arange(width) + seed * PHASE[0] + step * PHASE[1]
+            u, v = ((x := np.sin(phase * a + b) * m) - np.floor(x) for a, b, m in (FIRST_WAVE, SECOND_WAVE))
+            new = book[source] + 0.1 * np.sqrt(-2 * np.log(np.clip(u, 1e-7, 1 - 1e-7))) * np.cos(2 * np.pi * v)
+            book[c] = new / max(float(np.sqrt((new * new).sum())), 1e-12)
+        return pa.table({"c": t.column("c"), "f": pa.array([book[c].tolist() for c in t.column("c").to_pylist()], pa.list_(pa.float64()))})
+
+    told = dead_codes_reset(codes, step, dead_steps, every).select("c", "dead", F.col("source").cast("long").alias("source"))
+    return told.join(vectors, "c").select(F.col("c").cast("long").alias("c"), "dead", "source", F.col("f").cast("array<double>").alias("f")).withColumn("book", F.lit(0)).groupBy("book").applyInArrow(remake, "c long, f array<double>")
+
+
+def _wave_sql(phase: str, wave: tuple[float, float, float]) -> str:
+    x = f"(sin(({phase}) * {wave[0]}::DOUBLE + {wave[1]}::DOUBLE) * {wave[2]}::DOUBLE)"
+    return f"({x} - floor({x}))"
+
+
+_REMADE_PHASE = f"((nth - 1) * 8 + d - 1 + 7 * {PHASE[0]}::DOUBLE + 1000 * {PHASE[1]}::DOUBLE)"
+
+
+@query(f"""WITH RECURSIVE cb AS (SELECT vec_id AS c, [{", ".join(f"CAST(embedding[{9 + j}] AS DOUBLE)" for j in range(8))}] AS f, (vec_id * 29) % 64 AS usage, (vec_id * 37) % 64 * 20 AS last_usage FROM embeddings WHERE vec_id < 64),
+fl AS (SELECT *, 1000 - last_usage > 600 AS dead, row_number() OVER (ORDER BY usage DESC, c) AS r FROM cb), nn AS (SELECT *, row_number() OVER (PARTITION BY dead ORDER BY c) AS nth FROM fl),
+dd AS (SELECT n.c AS c, n.nth AS nth, o.c AS source FROM nn n JOIN nn o ON n.dead AND o.r = n.nth),
+no AS (SELECT nth, list(sqrt(-2 * ln(least(greatest({_wave_sql(_REMADE_PHASE, FIRST_WAVE)}, 1e-7), 1 - 1e-7))) * cos(2 * pi() * {_wave_sql(_REMADE_PHASE, SECOND_WAVE)}) ORDER BY d) AS z FROM dd, range(1, 9) g(d) GROUP BY nth),
+bk AS (SELECT CAST(0 AS BIGINT) AS step, (SELECT list(f ORDER BY c) FROM cb) AS book
+  UNION ALL SELECT step + 1, list_transform(book, lambda x, i: CASE WHEN i = dd.c + 1 THEN list_transform(list_zip(book[dd.source + 1], no.z), lambda p: (p[1] + 0.1 * p[2]) / greatest(sqrt(list_sum(list_transform(list_zip(book[dd.source + 1], no.z), lambda q: (q[1] + 0.1 * q[2]) * (q[1] + 0.1 * q[2])))), 1e-12)) ELSE x END)
+  FROM bk JOIN dd ON dd.nth = bk.step + 1 JOIN no ON no.nth = dd.nth),
+la AS (SELECT book FROM bk ORDER BY step DESC LIMIT 1), un AS (SELECT unnest(range(len(book))) AS c, unnest(book) AS f FROM la)
+SELECT c, CAST(d AS INTEGER) AS dim, floor(f[d + 1] * 1e5 + 0.5) / 1e5 AS value FROM un, range(0, 8) g(d)""")
+def vq_remade_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A codebook of which many codes are dead, some of them sources of others."""
+    f = features(spark, sf_dir, 8).filter("vec_id < 64")
+    c = F.col("vec_id")
+    codes = f.select(c.alias("c"), (c * 29 % 64).alias("usage"), (c * 37 % 64 * 20).alias("last_usage"))
+    out = remade_codes(codes, f.select(c.alias("c"), F.array(*[f"f{j}" for j in range(8)]).alias("f")), 1000, 7, 600)
+    return out.select("c", F.posexplode("f").alias("dim", "v")).select("c", "dim", (F.floor(F.col("v") * 1e5 + 0.5) / 1e5).alias("value"))
+
+
 @query("SELECT u AS code, uses FROM (SELECT user_id % 64 AS u, count(*) AS uses FROM events GROUP BY user_id % 64) ORDER BY uses DESC, u LIMIT 5")
 def vq_dead_reset_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most used codes, from which dead ones are reset."""
@@ -356,12 +418,14 @@ def pointwise_linear_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("k", "i", *[q6(f"h{r}").alias(f"h{r}") for r in range(4)])
 
 
-def shape_ledger(counts: DataFrame) -> DataFrame:
-    """points with counts, the points of each level of a net that keeps s of s + 1 points (s = 4, 3, 2, 1), and whether all are whole."""
+def shape_ledger(sizes: DataFrame) -> DataFrame:
+    """sizes (id, points) with counts, the points of each level of a net that keeps s of s + 1 points (s = 4, 3, 2, 1), and whether
+    all are whole."""
     step = F.aggregate(F.array(*[F.lit(s) for s in (4, 3, 2, 1)]), F.array(F.col("points")), lambda a, s: F.array_append(a, F.floor(F.element_at(a, -1) * s / (s + 1)).cast("long")))
-    return counts.select("points", step.alias("counts"), ((F.col("points") % 5 == 0) & (F.col("points") >= 45)).alias("valid"))
+    return sizes.select("id", "points", step.alias("counts"), ((F.col("points") % 5 == 0) & (F.col("points") >= 45)).alias("valid"))
 
 
-@query("SELECT range AS points, [range, range * 4 // 5, range * 4 // 5 * 3 // 4, range * 4 // 5 * 3 // 4 * 2 // 3, range * 4 // 5 * 3 // 4 * 2 // 3 // 2] AS counts, range % 5 = 0 AND range >= 45 AS valid FROM range(20, 1200)")
+@query("SELECT id, points, [points, points * 4 // 5, points * 4 // 5 * 3 // 4, points * 4 // 5 * 3 // 4 * 2 // 3, points * 4 // 5 * 3 // 4 * 2 // 3 // 2] AS counts, points % 5 = 0 AND points >= 45 AS valid FROM (SELECT l_suppkey AS id, count(*) AS points FROM lineitem GROUP BY l_suppkey)")
 def point_count_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shape_ledger(spark.range(20, 1200).withColumnRenamed("id", "points"))
+    """Clouds of order lines by supplier."""
+    return shape_ledger(read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.count(F.lit(1)).alias("points")))

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions.columns import q6, uniform
-from ..sources.views import POINTS_SQL, TRIANGLES_SQL, UNIVERSE_SQL, cloud, points, read, triangles, universe
+from ..functions.columns import exact_mean, mean_sql, q6, uniform
+from ..sources.views import POINTS_SQL, TRIANGLES_SQL, UNIVERSE_SQL, cloud, points, read, train_log, triangles, universe
 from .grid import corners
 from .neighbors import tagged
 from .patches import farthest_points, fps_sql
-from .sampling import _VAL_SQL, _u_sql, digest, split_problems, stratified_split, surface_samples
+from .sampling import _VAL_SQL, _u_sql, digest, samples_sql, split_problems, stratified_split, surface_samples
 
 
 def selection_problems(ids: DataFrame, requested: DataFrame) -> DataFrame:
@@ -94,9 +94,11 @@ def view_schedule(epochs: DataFrame, views: int, view_offset: int, center_offset
     return out.withColumn("center_rank", F.col("visit") + center_offset).withColumn("planned", F.col("center_rank") < centers)
 
 
-@query("SELECT range AS epoch, (range + 3) % 2 AS view, (range + 3) // 2 AS visit, (range + 3) // 2 + 4 AS center_rank, (range + 3) // 2 + 4 < 64 AS planned FROM range(0, 200)")
+@query("SELECT epoch, (epoch + 3) % 2 AS view, (epoch + 3) // 2 AS visit, (epoch + 3) // 2 + 4 AS center_rank, (epoch + 3) // 2 + 4 < 10 AS planned FROM (SELECT DISTINCT event_id // 500 AS epoch FROM events)")
 def view_center_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view_schedule(spark.range(200).withColumnRenamed("id", "epoch"), 2, 3, 4, 64)
+    """The epochs of the log, over two views and plans of ten centres."""
+    epochs = train_log(spark, sf_dir).select("epoch").distinct()
+    return view_schedule(epochs, 2, 3, 4, 10)
 
 
 def center_plan(views: DataFrame, centers: int) -> DataFrame:
@@ -181,21 +183,35 @@ def vertex_mix(mesh: DataFrame, count: int, vertices: int, seed: str, with_area:
 _VERTICES = """vx AS (SELECT DISTINCT k, x, y, z FROM (SELECT k, ax AS x, ay AS y, az AS z FROM tri UNION ALL SELECT k, bx, by_, bz FROM tri UNION ALL SELECT k, gx, gy, gz FROM tri))"""
 
 
-@query(f"WITH {POINTS_SQL}, {TRIANGLES_SQL}, {_VERTICES} SELECT k, count(*) AS n, floor(CAST(sum(CAST(floor(x * 1e9 + 0.5) AS BIGINT)) AS BIGINT) / count(*) / 1e9 * 1e6 + 0.5) / 1e6 AS mean_x FROM vx GROUP BY k")
+def _with_flat(mesh: DataFrame) -> DataFrame:
+    """The mesh with every third triangle made flat: its last corner is where its second one is."""
+    flat = F.col("f") % 9 == 0
+    return mesh.withColumns({f"g{a}": F.when(flat, F.col("by_" if a == "y" else f"b{a}")).otherwise(F.col(f"g{a}")) for a in "xyz"})
+
+
+@query(f"""WITH {POINTS_SQL}, {TRIANGLES_SQL}, fl AS (SELECT k, f, ax, ay, az, bx, by_, bz, {', '.join(f"CASE WHEN f % 9 = 0 THEN {'by_' if a == 'y' else 'b' + a} ELSE g{a} END AS g{a}" for a in 'xyz')} FROM tri),
+{_VERTICES.replace('FROM tri', 'FROM fl WHERE f % 9 <> 0')} SELECT k, count(*) AS n, floor({mean_sql('x')} * 1e6 + 0.5) / 1e6 AS mean_x FROM vx GROUP BY k""")
 def positive_area_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = mesh_vertices(triangles(spark, sf_dir), True)
-    return v.groupBy("k").agg(F.count(F.lit(1)).alias("n"), q6(F.sum(F.floor(F.col("x") * 1e9 + 0.5)) / F.count(F.lit(1)) / 1e9).alias("mean_x"))
+    """Corners of triangles that have an area, of meshes with flat ones."""
+    v = mesh_vertices(_with_flat(triangles(spark, sf_dir)), True)
+    return v.groupBy("k").agg(F.count(F.lit(1)).alias("n"), q6(exact_mean("x")).alias("mean_x"))
+
+
+_MIX_SQL = f"""WITH {POINTS_SQL}, {TRIANGLES_SQL}, {_VERTICES}, {samples_sql('m', 40)},
+ch AS (SELECT k, x, y, z, row_number() OVER (PARTITION BY k ORDER BY sha256('mv:' || CAST(k AS VARCHAR) || ':' || printf('%.9f', x) || ':' || printf('%.9f', y) || ':' || printf('%.9f', z)), x, y, z) - 1 AS r FROM vx),
+h AS (SELECT k, least(count(*), 8) AS have FROM vx GROUP BY k)"""
+_XYZ = ", ".join(f"floor({a} * 1e6 + 0.5) / 1e6 AS {a}" for a in "xyz")
 
 
-@query(f"WITH {POINTS_SQL}, {TRIANGLES_SQL}, {_VERTICES}, h AS (SELECT k, least(count(*), 8) AS have FROM vx GROUP BY k) SELECT k, CAST(range AS INTEGER) AS n, range < have AS is_vertex FROM h, range(0, 40)")
+@query(f"{_MIX_SQL} SELECT k, n, is_vertex, {_XYZ} FROM (SELECT k, CAST(r AS INTEGER) AS n, true AS is_vertex, x, y, z FROM ch WHERE r < 8 UNION ALL SELECT sm.k, CAST(n + have AS INTEGER), false, x, y, z FROM sm JOIN h ON sm.k = h.k WHERE n < 40 - have)")
 def vertex_mix_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vertex_mix(triangles(spark, sf_dir), 40, 8, "m").select("k", "n", "is_vertex")
+    return vertex_mix(triangles(spark, sf_dir), 40, 8, "m").select("k", "n", "is_vertex", *[q6(a).alias(a) for a in "xyz"])
 
 
-@query(f"""WITH {POINTS_SQL}, {TRIANGLES_SQL}, {_VERTICES}, h AS (SELECT k, least(count(*), 8) AS have FROM vx GROUP BY k),
-p AS (SELECT k, CAST(range AS INTEGER) AS n, have, row_number() OVER (PARTITION BY k ORDER BY sha256('mp:' || CAST(k AS VARCHAR) || ':' || CAST(range AS VARCHAR)), range) - 1 AS place FROM h, range(0, 40)) SELECT k, n, place < have AS is_vertex FROM p""")
+@query(f"""{_MIX_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY sha256('mp:' || CAST(k AS VARCHAR) || ':' || CAST(n AS VARCHAR)), n) - 1 AS place FROM sm)
+SELECT k, n, is_vertex, {_XYZ} FROM (SELECT p.k AS k, n, ch.k IS NOT NULL AS is_vertex, {', '.join(f'coalesce(ch.{a}, p.{a}) AS {a}' for a in 'xyz')} FROM p LEFT JOIN ch ON p.k = ch.k AND p.place = ch.r AND ch.r < 8)""")
 def paired_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vertex_mix(triangles(spark, sf_dir), 40, 8, "m", paired=True).select("k", "n", "is_vertex")
+    return vertex_mix(triangles(spark, sf_dir), 40, 8, "m", paired=True).select("k", "n", "is_vertex", *[q6(a).alias(a) for a in "xyz"])
 
 
 def euler(angles: list[Column]) -> list[list[Column]]:

@@ -9,6 +9,7 @@ from ..catalog import query
 from ..functions.columns import q6, uniform
 from ..sources.views import POINTS_SQL, TRIANGLES_SQL, UNIVERSE_SQL, cloud, points, read, triangles, universe
 from ..staging import staged
+from .digests import of_text, ordered_digest
 
 
 def digest(*parts: Column) -> Column:
@@ -175,8 +176,8 @@ def derived_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {UNIVERSE_SQL} SELECT synset, sha256(string_agg(CAST(id AS VARCHAR), chr(10) ORDER BY id) || chr(10)) AS digest FROM uni GROUP BY synset")
 def ids_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of each category's sorted ids, a line each."""
-    lines = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), "\n"), F.lit("\n"))
-    return universe(spark, sf_dir).groupBy("synset").agg(F.sha2(lines, 256).alias("digest"))
+    rows = universe(spark, sf_dir).withColumn("line", F.concat(F.col("id").cast("string"), F.lit("\n")))
+    return ordered_digest(rows, "synset", ["id"], of_text("line")).select("synset", F.col("sha256").alias("digest"))
 
 
 @query(f"WITH {UNIVERSE_SQL} SELECT id, 'b' || lpad(lower(to_hex(id)), 31, '0') AS mapped, regexp_matches('b' || lpad(lower(to_hex(id)), 31, '0'), '^b[0-9a-f]{{31}}$') AS valid FROM uni")
@@ -209,16 +210,18 @@ def gaussian_hash_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def surface_samples(mesh: DataFrame, count: int, seed: str) -> DataFrame:
     """k, n, f, x, y, z: points on the mesh's faces, chosen by area with hashed uniforms and square-root weights.
 
-    A face takes the uniforms in its stretch of cumulative area: both are put into 64 equal cells of [0, 1), an equi-join."""
+    A face takes the uniforms in its stretch of cumulative area: both are put into equal cells of [0, 1), as many as the mesh has
+    faces, so a cell meets a face or two of even size, and the join is an equi-join."""
     b, g = ({c: F.col({"by": "by_"}.get(p + c, p + c)) - F.col("a" + c) for c in "xyz"} for p in "bg")
     nx, ny, nz = (b[u] * g[v] - b[v] * g[u] for u, v in (("y", "z"), ("z", "x"), ("x", "y")))
     area = F.floor(0.5 * F.sqrt(nx * nx + ny * ny + nz * nz) * 1e9 + 0.5)
     own = Window.partitionBy("k")
     faces = mesh.withColumn("area", area).filter("area > 0").withColumn("upto", F.sum("area").over(own.orderBy("f"))).withColumn("total", F.sum("area").over(own))
     faces = faces.withColumns({"lo": (F.col("upto") - F.col("area")) / F.col("total"), "hi": F.col("upto") / F.col("total")})
-    faces = faces.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * 64), F.floor(F.col("hi") * 64))))
-    n = mesh.select("k").distinct().withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    draws = n.withColumns({c: uniform(seed + c, F.col("k"), F.col("n")) for c in "fuv"}).withColumnRenamed("f", "pick").withColumn("cell", F.floor(F.col("pick") * 64))
+    faces = faces.withColumn("cells", F.count(F.lit(1)).over(own))
+    faces = faces.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * F.col("cells")), F.floor(F.col("hi") * F.col("cells"))))).drop("cells")
+    n = mesh.filter(area > 0).groupBy("k").agg(F.count(F.lit(1)).alias("cells")).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    draws = n.withColumns({c: uniform(seed + c, F.col("k"), F.col("n")) for c in "fuv"}).withColumnRenamed("f", "pick").withColumn("cell", F.floor(F.col("pick") * F.col("cells"))).drop("cells")
     hit = draws.join(faces, ["k", "cell"]).filter("pick >= lo and pick < hi")
     r = F.sqrt("u")
     w = {"a": 1 - r, "b": r * (1 - F.col("v")), "g": r * F.col("v")}
@@ -226,14 +229,19 @@ def surface_samples(mesh: DataFrame, count: int, seed: str) -> DataFrame:
     return hit.select("k", "n", "f", *[(w["a"] * corner("a", c) + w["b"] * corner("b", c) + w["g"] * corner("g", c)).alias(c) for c in "xyz"])
 
 
-@query(f"""WITH {POINTS_SQL}, {TRIANGLES_SQL},
-n AS (SELECT *, (by_ - ay) * (gz - az) - (bz - az) * (gy - ay) AS nx, (bz - az) * (gx - ax) - (bx - ax) * (gz - az) AS ny, (bx - ax) * (gy - ay) - (by_ - ay) * (gx - ax) AS nz FROM tri),
-ar AS (SELECT k, f, CAST(floor(0.5 * sqrt(nx * nx + ny * ny + nz * nz) * 1e9 + 0.5) AS BIGINT) AS area FROM n),
-cu AS (SELECT k, f, area, CAST(sum(area) OVER (PARTITION BY k ORDER BY f) AS BIGINT) AS upto, CAST(sum(area) OVER (PARTITION BY k) AS BIGINT) AS total FROM ar WHERE area > 0),
-dr AS (SELECT k, CAST(range AS INTEGER) AS n, {_u_sql("'sf'", 'CAST(k AS VARCHAR)', 'CAST(range AS VARCHAR)')} AS pick FROM (SELECT DISTINCT k FROM tri) t, range(0, 40))
-SELECT dr.k AS k, n, f FROM dr JOIN cu ON dr.k = cu.k AND pick >= (upto - area) / total AND pick < upto / total""")
+def samples_sql(seed: str, count: int) -> str:
+    """CTEs over tri that end in sm (k, n, f, x, y, z): surface samples."""
+    return f"""
+sn AS (SELECT *, (by_ - ay) * (gz - az) - (bz - az) * (gy - ay) AS nx, (bz - az) * (gx - ax) - (bx - ax) * (gz - az) AS ny, (bx - ax) * (gy - ay) - (by_ - ay) * (gx - ax) AS nz FROM tri),
+sa AS (SELECT *, CAST(floor(0.5 * sqrt(nx * nx + ny * ny + nz * nz) * 1e9 + 0.5) AS BIGINT) AS area FROM sn),
+su AS (SELECT *, CAST(sum(area) OVER (PARTITION BY k ORDER BY f) AS BIGINT) AS upto, CAST(sum(area) OVER (PARTITION BY k) AS BIGINT) AS total FROM sa WHERE area > 0),
+sd AS (SELECT k, CAST(range AS INTEGER) AS n, {', '.join(_u_sql(f"'{seed}{c}'", 'CAST(k AS VARCHAR)', 'CAST(range AS VARCHAR)') + f' AS d{c}' for c in 'fuv')} FROM (SELECT DISTINCT k FROM tri) t, range(0, {count})),
+sm AS (SELECT sd.k AS k, n, f, {', '.join(f"(1 - sqrt(du)) * a{a} + sqrt(du) * (1 - dv) * {'by_' if a == 'y' else 'b' + a} + sqrt(du) * dv * g{a} AS {a}" for a in 'xyz')} FROM sd JOIN su ON sd.k = su.k AND df >= (upto - area) / total AND df < upto / total)"""
+
+
+@query(f"WITH {POINTS_SQL}, {TRIANGLES_SQL}, {samples_sql('s', 40)} SELECT k, n, f, " + ", ".join(f"floor({a} * 1e6 + 0.5) / 1e6 AS {a}" for a in "xyz") + " FROM sm")
 def surface_sample_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surface_samples(triangles(spark, sf_dir), 40, "s").select("k", "n", "f")
+    return surface_samples(triangles(spark, sf_dir), 40, "s").select("k", "n", "f", *[q6(a).alias(a) for a in "xyz"])
 
 
 @query(f"WITH {UNIVERSE_SQL}, r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS p FROM uni) SELECT id, CAST(p % 8 AS BIGINT) AS bin, CAST(0.005 AS DOUBLE) + (p % 8 + CAST(0.5 AS DOUBLE)) * ((CAST(0.02 AS DOUBLE) - CAST(0.005 AS DOUBLE)) / 8) AS scale FROM r")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
@@ -184,12 +184,60 @@ def eval_missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing_ids(zero_filled(_expected(spark, sf_dir), _scores(spark, sf_dir)))
 
 
-@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'both' WHEN o_orderkey % 4 = 1 THEN 'none' ELSE 'one' END AS p2s FROM orders")
+def rollup_problems(expected: DataFrame, scores: DataFrame) -> DataFrame:
+    """k, problem of what a roll-up can't take: ids that were scored twice or aren't expected or are null, scores out of 0 to 100,
+    metrics that are negative or no numbers, and one P2S value without the other."""
+    fine = lambda c: F.col(c).isNull() | (~F.isnan(c) & (F.col(c) >= 0) & (F.col(c) < float("inf")))
+    rows = scores.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("k"))).join(expected.select("k", F.lit(True).alias("wanted")), "k", "left")
+    percent = lambda c: F.col(c).isNull() | F.col(c).between(0, 100)
+    tests = {
+        "no id": F.col("k").isNull(),
+        "repeated": F.col("k").isNotNull() & (F.col("times") > 1),
+        "unexpected": F.col("k").isNotNull() & F.col("wanted").isNull(),
+        "score": ~(percent("cd_score") & percent("p2s_score") & percent("total_score")),
+        "metric": ~(fine("cd_pred") & fine("cd_noisy") & fine("p2s_pred") & fine("p2s_noisy")) | F.col("cd_pred").isNull() | F.col("cd_noisy").isNull(),
+        "one P2S value": F.col("p2s_pred").isNull() != F.col("p2s_noisy").isNull(),
+    }
+    found = F.filter(F.array(*[F.when(t, F.lit(p)) for p, t in tests.items()]), lambda x: x.isNotNull())
+    return rows.select("k", F.explode(found).alias("problem")).distinct()
+
+
+@query("""WITH s AS (SELECT CASE WHEN o_orderkey % 97 = 3 THEN NULL WHEN o_orderkey % 89 = 4 THEN -o_orderkey ELSE o_orderkey END AS k, o_orderkey % 83 = 5 AS high, o_orderkey % 79 = 6 AS bad, o_orderkey % 73 = 7 AS one, o_orderkey % 71 = 8 AS twice FROM orders),
+t AS (SELECT * FROM s UNION ALL SELECT * FROM s WHERE twice)
+SELECT DISTINCT k, problem FROM (SELECT k, 'no id' AS problem FROM t WHERE k IS NULL UNION ALL SELECT k, 'repeated' FROM t WHERE twice AND k IS NOT NULL UNION ALL SELECT k, 'unexpected' FROM t WHERE k < 0
+UNION ALL SELECT k, 'score' FROM t WHERE high UNION ALL SELECT k, 'metric' FROM t WHERE bad UNION ALL SELECT k, 'one P2S value' FROM t WHERE one)""")
+def eval_rollup_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score table with an error of each kind planted."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    i = F.col("o_orderkey")
+    k = F.when(i % 97 == 3, None).when(i % 89 == 4, -i).otherwise(i)
+    row = o.select(
+        k.alias("k"), (i % 71 == 8).alias("twice"), F.when(i % 79 == 6, float("nan")).otherwise(0.25).alias("cd_pred"), F.lit(1.0).alias("cd_noisy"), F.when(i % 73 == 7, None).otherwise(0.5).alias("p2s_pred"), F.lit(1.0).alias("p2s_noisy"),
+        F.when(i % 83 == 5, 100.5).otherwise(75.0).alias("cd_score"), F.lit(50.0).alias("p2s_score"), F.lit(62.5).alias("total_score"),
+    )
+    return rollup_problems(o.select(i.alias("k")), row.union(row.filter("twice")).drop("twice"))
+
+
+@query(f"{_EVAL_SQL} SELECT count(*) AS n, floor({mean_sql('cd_pred')} * 1e6 + 0.5) / 1e6 AS mean_cd FROM sc")
+def chamfer_batch_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean Chamfer distance of all clouds, each in its clean frame."""
+    return _scores(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), q6(exact_mean("cd_pred")).alias("mean_cd"))
+
+
+_OPTIONAL_SQL = "o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 IN (0, 2) THEN 1.0 + o_orderkey % 7 END AS p, CASE WHEN o_orderkey % 4 IN (0, 3) THEN 4.0 + o_orderkey % 5 END AS q FROM orders)"
+
+
+@query(f"WITH {_OPTIONAL_SQL} SELECT k, CASE WHEN p IS NULL THEN NULL ELSE floor({_SCORE.format(p='p', n='q')} * 1e6 + 0.5) / 1e6 END AS p2s_score, CASE WHEN p IS NULL THEN 'none' ELSE 'both' END AS p2s FROM o WHERE (p IS NULL) = (q IS NULL) UNION ALL SELECT k, NULL, 'one' FROM o WHERE (p IS NULL) <> (q IS NULL)")
 def p2s_both_or_none(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether both, none or one of two optional values of a score row are there; one alone is an error of score_rows."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).alias("p2s_pred"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_totalprice")).when(F.col("o_orderkey") % 4 == 3, F.col("o_totalprice")).alias("p2s_noisy"))
-    n = F.col("p2s_pred").isNotNull().cast("int") + F.col("p2s_noisy").isNotNull().cast("int")
-    return o.select("k", F.when(n == 2, "both").when(n == 0, "none").otherwise("one").alias("p2s"))
+    """Score rows with both, none or one of two optional values: those with both through the scores that require them, those
+    with none through the scores that don't, and those with one as the error that they are."""
+    k = F.col("o_orderkey")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("k"), F.lit(1.0).alias("cd_pred"), F.lit(2.0).alias("cd_noisy"), F.when(k % 4 % 2 == 0, 1.0 + k % 7).alias("p2s_pred"), F.when((k % 4).isin(0, 3), 4.0 + k % 5).alias("p2s_noisy"))
+    bad = rollup_problems(o.select("k"), o.withColumns({c: F.lit(None).cast("double") for c in ("cd_score", "p2s_score", "total_score")})).filter("problem = 'one P2S value'")
+    good = o.join(bad, "k", "left_anti")
+    both = score_rows(good.filter("p2s_pred is not null"), True).select("k", q6("p2s_score").alias("p2s_score"), F.lit("both").alias("p2s"))
+    none = score_rows(good.filter("p2s_pred is null"), False).select("k", "p2s_score", F.lit("none").alias("p2s"))
+    return both.union(none).union(bad.select("k", F.lit(None).cast("double"), F.lit("one")))
 
 
 @query(f"WITH m AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 0.0 ELSE o_totalprice / 1000 END AS n, CASE WHEN o_orderkey % 10 = 0 THEN 0.0 ELSE o_custkey / 10.0 END AS p FROM orders) SELECT id, floor({_SCORE.format(p='p', n='n')} * 1e6 + 0.5) / 1e6 AS score FROM m")

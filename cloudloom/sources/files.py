@@ -49,17 +49,40 @@ def encode_clouds(clouds: DataFrame) -> DataFrame:
     return clouds.groupBy("sample_id").applyInPandas(encode, "sample_id string, content binary")
 
 
+def _obj_rows(lines: DataFrame) -> DataFrame:
+    """sample_id, line_no, p (fields), seen (vertices so far), ix (of a face: indices of its corners from 0), problem."""
+    parts = F.split(F.trim(F.regexp_replace("line", "#.*", "")), r"\s+")
+    rows = lines.select("sample_id", "line_no", parts.alias("p")).filter("p[0] in ('v', 'f')")
+    seen = F.sum((F.col("p")[0] == "v").cast("long")).over(Window.partitionBy("sample_id").orderBy("line_no"))
+    rows = rows.withColumns({"seen": seen, "raw": F.expr("transform(slice(p, 2, greatest(size(p) - 1, 0)), t -> try_cast(split(t, '/')[0] as long))")})
+    rows = rows.withColumn("ix", F.expr("transform(raw, i -> if(i < 0, seen + i, i - 1))"))
+    number = "try_cast(p[{0}] as double)"
+    vertex = " and ".join(f"coalesce(abs({number.format(j)}) < double('infinity'), false)" for j in (1, 2, 3))
+    tests = {
+        "vertex needs three coordinates": "p[0] = 'v' and size(p) < 4",
+        "vertex is not finite": f"p[0] = 'v' and size(p) >= 4 and not ({vertex})",
+        "face needs three corners": "p[0] = 'f' and size(p) < 4",
+        "index is no number": "p[0] = 'f' and size(p) >= 4 and exists(raw, i -> i is null)",
+        "index is zero": "p[0] = 'f' and size(p) >= 4 and exists(raw, i -> i = 0)",
+        "index out of range": "p[0] = 'f' and size(p) >= 4 and exists(ix, i -> i < 0 or i >= seen) and not exists(raw, i -> i = 0)",
+    }
+    problem = F.expr("case " + " ".join(f"when {t} then '{p}'" for p, t in tests.items()) + " end")
+    return rows.withColumn("problem", problem).drop("raw")
+
+
+def obj_problems(lines: DataFrame) -> DataFrame:
+    """sample_id, line_no, problem of OBJ text lines that make no vertex or face."""
+    return _obj_rows(lines).filter("problem is not null").select("sample_id", "line_no", "problem")
+
+
 def decode_obj(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(vertices: sample_id, v_idx, x, y, z; faces: sample_id, f_idx, i0, i1, i2) of OBJ text lines (sample_id, line_no, line).
 
-    Polygons become fans; an index under 0 counts back from the vertices read so far; the rest of v/vt/vn is ignored."""
-    parts = F.split(F.trim(F.regexp_replace("line", "#.*", "")), r"\s+")
-    rows = lines.select("sample_id", "line_no", parts.alias("p"))
-    seen = F.sum((F.get("p", 0) == "v").cast("long")).over(Window.partitionBy("sample_id").orderBy("line_no"))
-    rows = rows.withColumn("seen", seen)
-    vertices = rows.filter(F.get("p", 0) == "v").select("sample_id", (F.col("seen") - 1).alias("v_idx"), *[F.get("p", j + 1).cast("double").alias(a) for j, a in enumerate("xyz")])
-    index = F.transform(F.slice("p", 2, 1 << 20), lambda t: F.split(t, "/")[0].cast("long"))
-    faces = rows.filter(F.get("p", 0) == "f").withColumn("ix", index).withColumn("ix", F.transform("ix", lambda i: F.when(i < 0, F.col("seen") + i).otherwise(i - 1)))
+    Polygons become fans; an index under 0 counts back from the vertices read so far; the rest of v/vt/vn is ignored. Lines
+    with a problem (see obj_problems) keep their number but make no vertex that can be used and no face."""
+    rows = _obj_rows(lines)
+    vertices = rows.filter("p[0] = 'v'").select("sample_id", (F.col("seen") - 1).alias("v_idx"), *[F.when(F.col("problem").isNull(), F.expr(f"try_cast(get(p, {j}) as double)")).alias(a) for j, a in enumerate("xyz", 1)])
+    faces = rows.filter("p[0] = 'f' and problem is null")
     fan = faces.select("sample_id", "line_no", "ix", F.explode(F.sequence(F.lit(1), F.size("ix") - 2)).alias("t"))
     number = F.row_number().over(Window.partitionBy("sample_id").orderBy("line_no", "t")) - 1
     return vertices, fan.select("sample_id", number.alias("f_idx"), F.get("ix", 0).alias("i0"), F.get("ix", F.col("t")).alias("i1"), F.get("ix", F.col("t") + 1).alias("i2"))
@@ -148,7 +171,7 @@ def npy_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~same).alias("changed"))
 
 
-@query(f"""WITH {POINTS_SQL}, n AS (SELECT k, count(*) AS c FROM pts GROUP BY k), f AS (SELECT k, range AS f_idx, 0 AS i0, range + 1 AS i1, range + 2 AS i2 FROM n, range(0, 100000) WHERE range < c - 2 UNION ALL SELECT k, c - 2, c - 1, c - 2, c - 3 FROM n)
+@query(f"""WITH {POINTS_SQL}, n AS (SELECT k, count(*) AS c FROM pts GROUP BY k), f AS (SELECT k, t AS f_idx, 0 AS i0, t + 1 AS i1, t + 2 AS i2 FROM (SELECT k, unnest(range(c - 2)) AS t FROM n) UNION ALL SELECT k, c - 2, c - 1, c - 2, c - 3 FROM n)
 SELECT f.k AS k, f_idx, i0, i1, i2, floor(CAST(CAST(a.cx AS FLOAT) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS x0, floor(CAST(CAST(c.cz AS FLOAT) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS z2 FROM f JOIN pts a ON a.k = f.k AND a.i = i0 JOIN pts c ON c.k = f.k AND c.i = i2""")
 def obj_parse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clouds written as OBJ lines, with a polygon over all vertices (v/vt/vn) and a triangle of the last three by negative
@@ -156,7 +179,7 @@ def obj_parse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     clouds = _sampled(spark, sf_dir)
     v = clouds.select("sample_id", F.col("point_idx").alias("line_no"), F.format_string("v %s %s %s", "x", "y", "z").alias("line"))
     polygon = F.concat(F.lit("f "), F.array_join(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.concat(i.cast("string"), F.lit("/1/2"))), " "), F.lit(" # all"))
-    lines = F.array(F.struct(F.lit(1 << 20).alias("line_no"), polygon.alias("line")), F.struct(F.lit(1 << 21).alias("line_no"), F.lit("f -1 -2/7 -3//9").alias("line")))
+    lines = F.array(F.struct(F.col("n").alias("line_no"), polygon.alias("line")), F.struct((F.col("n") + 1).alias("line_no"), F.lit("f -1 -2/7 -3//9").alias("line")))
     f = clouds.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).select("sample_id", F.explode(lines).alias("l")).select("sample_id", "l.*")
     vertices, faces = decode_obj(v.union(f))
     at = lambda c, axis, name: vertices.select("sample_id", F.col("v_idx").alias(c), F.col(axis).alias(name))
@@ -178,5 +201,20 @@ def json_ledger_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events some of whose JSON was given its key twice."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    twice = F.concat(F.lit('{"k": 0, '), F.substring("props", 2, 1 << 20))
+    twice = F.concat(F.lit('{"k": 0, '), F.expr("substring(props, 2)"))
     return repeated_keys(e.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 10 == 3, twice).otherwise(F.col("props")).alias("json")))
+
+
+@query("""WITH n AS (SELECT label AS k, count(*) AS c FROM embeddings GROUP BY label), w AS (SELECT * FROM (VALUES (0, 'face needs three corners'), (1, 'index out of range'), (2, 'index is zero'), (3, 'index is no number'), (4, 'vertex is not finite'), (5, 'vertex needs three coordinates'), (6, 'index out of range')) t(j, problem))
+SELECT k, c + j AS line_no, problem FROM n, w WHERE (k + j) % 3 <> 0""")
+def obj_line_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OBJ lines of each cloud with bad ones after them: of which lines nothing is made, and why."""
+    clouds = _sampled(spark, sf_dir)
+    v = clouds.select("sample_id", F.col("point_idx").cast("long").alias("line_no"), F.format_string("v %s %s %s", "x", "y", "z").alias("line"))
+    bad = ["f 1 2", "f 1 2 9999999", "f 1 0 2", "f 1 x/2 3", "v 1 2 nan", "v 1 2", "f -1 -2 -9999999"]
+    good = ["f 1 2 3", "f 3/1/1 2//2 1 # back", "f -1 -2 -3 -4", "f 2 3 4", "v 1 2 3", "v 1 2 3 0.5", "f 1 2 3"]
+    k = F.substring("sample_id", 1, 8).cast("int")
+    n = clouds.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
+    more = n.select("sample_id", F.posexplode(F.array(*[F.when((k + j) % 3 != 0, b).otherwise(g) for j, (b, g) in enumerate(zip(bad, good))])).alias("j", "line"), "n")
+    more = more.select("sample_id", (F.col("n") + F.col("j")).alias("line_no"), "line")
+    return obj_problems(v.union(more)).select(k.alias("k"), "line_no", "problem")

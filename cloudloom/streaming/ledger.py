@@ -67,3 +67,41 @@ def stream_moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state after the one batch that the table is."""
     out = drained(moving_average(_stream(spark, sf_dir)), "event_type string, steps long, average double", "update")
     return out.select("event_type", "steps", (F.floor(F.col("average") * 1e4 + 0.5) / 1e4).alias("average"))
+
+
+def carried_average(events: DataFrame, momentum: float = 0.99) -> DataFrame:
+    """event_type, last, steps, average of a stream of ledger rows (step, event_type, value) that comes in order of step from file
+    to file: the moving average in step order, carried from batch to batch. A row whose step was seen is a repeat and dropped."""
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, steps, average = state.get if state.exists else (-1, 0, 0.0)
+        rows = pd.concat(list(frames)).drop_duplicates("step").sort_values("step")
+        rows = rows[rows["step"] > last]
+        for step, value in zip(rows["step"], rows["value"]):
+            average = float(value) if steps == 0 else momentum * average + (1 - momentum) * float(value)
+            last, steps = int(step), steps + 1
+        state.update((last, steps, average))
+        yield pd.DataFrame({"event_type": [key[0]], "last": [last], "steps": [steps], "average": [average]})
+
+    return events.groupBy("event_type").applyInPandasWithState(update, "event_type string, last long, steps long, average double", "last long, steps long, average double", "update", GroupStateTimeout.NoTimeout)
+
+
+#: Files of the query's ledger.
+FILES = 5
+
+
+@query("""WITH r AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS p, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, max(event_id) AS last, any_value(n) AS steps, floor(sum(value * CASE WHEN p = 1 THEN pow(CAST(0.99 AS DOUBLE), n - 1) ELSE CAST(0.01 AS DOUBLE) * pow(CAST(0.99 AS DOUBLE), n - p) END) * 1e4 + 0.5) / 1e4 AS average FROM r GROUP BY event_type""")
+def stream_carried_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger in several files, a batch each, in which every tenth row of a file is repeated in the next one."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("step"), "event_type", "value")
+    top = e.agg(F.max("step")).first()[0] or 0
+    part = F.expr(f"step * {FILES} div {top + 1}")
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/ledger-{uuid.uuid4().hex}"
+    for n in range(FILES):
+        own = e.filter(part == n).union(e.filter((part == n - 1) & (F.col("step") % 10 == 3)))
+        own.coalesce(1).write.mode("append").parquet(folder)  # a file each, later ones with later times
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    rows = drained(carried_average(stream), "event_type string, last long, steps long, average double", "update")
+    newest = F.max_by(F.struct("last", "steps", "average"), "steps").alias("r")
+    return rows.groupBy("event_type").agg(newest).select("event_type", "r.last", "r.steps", (F.floor(F.col("r.average") * 1e4 + 0.5) / 1e4).alias("average"))

@@ -127,23 +127,23 @@ def stepwise(xyz, start, count):
 def test_farthest_points_over_blocks(spark, shape):
     """A cloud in many blocks: the same points in the same order as step by step, with ties, outliers and equal points."""
     g = np.random.default_rng(12)
-    n = 3000
+    n = 1500
     xyz = g.normal(size=(n, 3))
     if shape == "sphere":
         xyz /= np.linalg.norm(xyz, axis=1, keepdims=True)
     if shape == "lattice":
-        xyz = g.permutation(np.array([(a, b, c) for a in range(15) for b in range(15) for c in range(14)], float))[:n]
+        xyz = g.permutation(np.array([(a, b, c) for a in range(12) for b in range(12) for c in range(11)], float))[:n]
     if shape == "far point":
         xyz[5] = 1000
     if shape == "coincident":
         xyz[: n - 20] = 0.25
     c = cloud(spark, xyz).union(cloud(spark, xyz[:40], 7))
     s = spark.createDataFrame([("a", 0, 3), ("b", 0, 11), ("a", 7, 0)], "plan string, k int, s int")
-    got = {(r.plan, r.k, r["rank"]): r.i for r in farthest_points(s, c, 45, block=800).collect()}
+    got = {(r.plan, r.k, r["rank"]): r.i for r in farthest_points(s, c, 16, block=400).collect()}
     for plan, k, start, pts in (("a", 0, 3, xyz), ("b", 0, 11, xyz), ("a", 7, 0, xyz[:40])):
-        m = min(45, len(pts))
+        m = min(16, len(pts))
         assert [got[plan, k, r] for r in range(m)] == stepwise(pts, start, m)
-    assert len(got) == 45 + 45 + 40
+    assert len(got) == 3 * 16
 
 
 @pytest.mark.parametrize("one_cube", [8, 512])
