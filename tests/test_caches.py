@@ -101,9 +101,9 @@ def test_archives_of_each_kind(spark, tmp_path):
         bad = [(r.member, r.problem) for r in rows[n] if r.problem]
         assert bad == [("../out.txt", "unsafe path"), (data[3][0], "duplicate"), *([("link", "not a file")] if n != "c.zip" else [])]
     assert [r.problem.split(":")[0] for r in rows["d.bin"]] == ["not an archive"]
-    cut = rows["cut.tar"]
-    assert 10 < len(cut) < 40 and (cut[-1].problem.startswith("broken archive") or cut[-1].problem == "truncated")
-    assert all((r.member, bytes(r.content)) == d for r, d in zip(cut[:-1], data))
+    good = [(r.member, bytes(r.content)) for r in rows["cut.tar"] if r.problem == ""]
+    bad = [r.problem.split(":")[0] for r in rows["cut.tar"][len(good) :]]
+    assert 10 < len(good) < 40 and good == data[: len(good)] and bad and set(bad) <= {"truncated", "broken archive"}
     assert any(r.problem.startswith("broken member") for r in rows["e.zip"]) and sum(r.problem == "" for r in rows["e.zip"]) > 50
     assert all(r.content is None for r in read_archives(spark, [str(tmp_path / "a.tar")], content=False).collect())
 
