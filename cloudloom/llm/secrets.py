@@ -2,8 +2,8 @@
 
 Candidates are all runs of credential characters of the least length, less the spans of the patterns. The network sees the characters of a candidate
 (in pieces, so whole) and of its context, marked as inside or outside; it is trained on labelled findings, its scores
-are calibrated on held-out ones (Platt), and the threshold is the highest that keeps the recall asked for there, over
-what a scan of their texts finds: a finding that no candidate covers has score 0. The spans of the patterns stay as they are; the network's spans (kind `model`) are added where they don't overlap them.
+are calibrated on held-out ones (Platt), and the threshold is the highest that keeps the recall asked for there (high, as
+forms that were not written are met less surely), over what a scan of their texts finds: a finding that no candidate covers has score 0. The spans of the patterns stay as they are; the network's spans (kind `model`) are added where they don't overlap them.
 
 Labelled findings: a DataFrame (text, start, stop, is_secret), of which at most MAX_FINDINGS rows are fitted, or, by
 default, findings written by a seeded generator. Null or empty texts have no spans; null doc_ids stay null; spans count code points; very long
@@ -32,7 +32,7 @@ KINDS = ("assign", "access", "hex", "model")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=~-])[A-Za-z0-9+/_=~.-]{16,}")
 LEAST = 16
 MAX_FINDINGS = 20_000
-RECALL = 0.98
+RECALL = 0.993
 
 _LEFT, _CORE, _RIGHT, _TAPS, _FILTERS = 20, 40, 8, 5, 24
 _WIDTH = _LEFT + _CORE + _RIGHT
@@ -97,12 +97,13 @@ class CharNet:
         pooled = np.concatenate([np.take_along_axis(a, top[:, None], 1)[:, 0], a.mean(1)], 1)
         return pooled @ self.p["out"] + self.p["off"], (z, top, pooled, n)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 4e-3, seed: int = 11) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 16, batch: int = 128, rate: float = 4e-3, seed: int = 11) -> None:
+        """Adam, the rate falling to a tenth."""
         g = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         step = 0
-        for _ in range(epochs):
+        for epoch in range(epochs):
             order = g.permutation(len(x))
             for at in range(0, len(x), batch):
                 i = order[at : at + batch]
@@ -116,13 +117,16 @@ class CharNet:
                 grad["bias"] = dz.sum((0, 1))
                 taps = np.zeros_like(self.p["taps"])
                 for k in range(_TAPS):
-                    np.add.at(taps[k], x[i][:, k : k + n].reshape(-1), dz.reshape(-1, _FILTERS))
+                    code = x[i][:, k : k + n].reshape(-1)
+                    by_code = np.argsort(code, kind="stable")
+                    first = np.flatnonzero(np.diff(code[by_code], prepend=-1))
+                    taps[k, code[by_code[first]]] = np.add.reduceat(dz.reshape(-1, _FILTERS)[by_code], first)
                 grad["taps"] = taps
                 step += 1
                 for k, gk in grad.items():
                     m[k] = 0.9 * m[k] + 0.1 * gk
                     v2[k] = 0.99 * v2[k] + 0.01 * gk * gk
-                    self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.99**step)) + 1e-8)
+                    self.p[k] = self.p[k] - rate * (1 - 0.9 * epoch / epochs) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.99**step)) + 1e-8)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         """Platt scaling."""
@@ -148,11 +152,13 @@ class CharNet:
         return 1 / (1 + np.exp(-(self.scale * self.forward(x)[0] + self.shift)))
 
 
-_ONSETS = "b c ch d f fr g gr h j k l m n p pr qu r s sch st t tr v w z th pl".split()
+_ONSETS = "b bl br c ch cl d dr f fl fr g gl gr h j k kn kr l m n p pf pl pr qu r s sch schl sh sp st str t th tr v w wh z zw".split()
 _RIMES = "a e i o u an en in on un er ar or al el ation ing ung ent est os ie ei au ou ea is us at it em ik eur ment".split()
+_CODAS = "ch ck ct ft ld lf lk ll lt mm mp nd ng nk nn ns nt pf pp pt rb rd rg rk rl rm rn rs rt sch ss st tt tz x".split()
+_ENDS = "able ble ed est heit ing isch keit lich ly ment ness schaft tion ung zione".split()
 
 
-def written_findings(n: int = 6000, seed: int = 5, forms: Callable[[int], bool] = lambda k: True) -> list[tuple[str, int, int, int]]:
+def written_findings(n: int = 15_000, seed: int = 5, forms: Callable[[int], bool] = lambda k: True) -> list[tuple[str, int, int, int]]:
     """Findings (text, start, stop, is_secret) in the forms that credentials and harmless strings usually have; of the
     secret forms only those of the wanted numbers."""
     g = np.random.default_rng(seed)
@@ -165,8 +171,14 @@ def written_findings(n: int = 6000, seed: int = 5, forms: Callable[[int], bool]
         return " ".join(draw(low, int(g.integers(2, 9))) for _ in range(k))
 
     def term(k: int) -> str:
-        """A long word as languages have them, of k syllables."""
-        return "".join(str(g.choice(_ONSETS)) + str(g.choice(_RIMES)) for _ in range(k))
+        """A long word as languages have them, of k syllables; in some, consonants and endings pile up."""
+        heavy = g.random() * 0.7
+        parts = [str(g.choice(_ONSETS)) + str(g.choice(_RIMES)) + (str(g.choice(_CODAS)) if g.random() < heavy else "") for _ in range(k)]
+        return "".join(str(g.choice(_ENDS)) if i and g.random() < heavy / 2 else x for i, x in enumerate(parts))
+
+    def some(letters: str) -> str:
+        """Part of an alphabet, with digits: keys of any make, beside those of the forms that are known."""
+        return "".join(g.permutation(list(letters))[: size(8, 30)]) + "".join(g.permutation(list(dig))[: size(4, 11)])
 
     def terms(a: int, b: int) -> list[str]:
         return [term(size(2, 4)) for _ in range(size(a, b))]
@@ -178,6 +190,10 @@ def written_findings(n: int = 6000, seed: int = 5, forms: Callable[[int], bool]
         lambda: draw(b62, size(20, 48)), lambda: draw(b64, size(30, 44)) + "=", lambda: "eyJ" + draw(b62, 20) + "." + draw(b62, 40) + "." + draw(b62 + "_-", 30),
         lambda: draw(hexa, size(20, 31)), lambda: "AIza" + draw(b62 + "_-", 35), lambda: draw(low + dig, size(18, 30)),
         lambda: draw(b62, size(16, 24)), lambda: draw(low + up, size(16, 40)), lambda: draw(b64, 40), lambda: draw(up + dig, size(20, 40)),
+        lambda: draw(some(low), size(16, 48)), lambda: draw(some(up), size(16, 48)), lambda: draw(some(low + up), size(16, 48)),
+        lambda: draw(low, size(2, 6)) + str(g.choice(list("-_."))) + draw((hexa, low + dig, b62)[size(0, 3)], size(16, 40)),
+        lambda: str(g.choice(list("-_."))).join([draw((dig, low, b62)[size(0, 3)], size(4, 14)) for _ in range(size(1, 4))] + [draw((hexa, low + dig, b62)[size(0, 3)], size(16, 32))]),
+        lambda: draw((b62, b64)[size(0, 2)], size(14, 28)) + (term(size(2, 4)), term(size(2, 4)).upper())[size(0, 2)] + draw(b62, size(0, 6)),
     ]
     secret = [f for k, f in enumerate(secret) if forms(k)]
     harmless = [
@@ -185,7 +201,7 @@ def written_findings(n: int = 6000, seed: int = 5, forms: Callable[[int], bool]
         lambda: "www." + draw(low, 8) + ".com/" + draw(low, 6) + "/" + draw(dig, 4), lambda: draw(up, 2) + draw(dig, size(14, 22)), lambda: draw(low, 8) + "." + draw(low, 7) + draw(dig, 2) + ".example.com",
         lambda: draw(low, 7) + "_" + draw(low, 6) + "_v" + draw(dig, 2) + ".tar.gz", lambda: draw(dig, 4) + "-" + draw(dig, 4) + "-" + draw(dig, 4) + "-" + draw(dig, 3) + draw(low, 1), lambda: "/".join(draw(low, size(3, 8)) for _ in range(4)) + "/" + draw(dig, 2),
         lambda: term(size(7, 14)), lambda: term(size(7, 14)).capitalize(), lambda: "_".join(terms(3, 6)), lambda: "-".join(terms(3, 6)), lambda: "/".join(terms(3, 7)),
-        lambda: term(2) + "".join(x.capitalize() for x in terms(3, 6)), lambda: "_".join(terms(3, 6)).upper(), lambda: ".".join(terms(3, 6)), lambda: term(size(7, 12)).upper(), lambda: str(g.choice(list("-=_.~+/"))) * size(16, 60),
+        lambda: term(2) + "".join(x.capitalize() for x in terms(3, 6)), lambda: "_".join(terms(3, 6)).upper(), lambda: ".".join(terms(3, 6)), lambda: term(size(7, 12)).upper(), lambda: term(size(7, 10)), lambda: draw(dig, size(16, 24)), lambda: term(size(6, 10)) + draw(dig, size(1, 5)), lambda: str(g.choice(list("-=_.~+/"))) * size(16, 60),
     ]
     before = ["", "key: ", "export KEY=", 'auth = "', "Authorization: Bearer ", "use ", "", ""]
     out = []

@@ -5,12 +5,15 @@ import subprocess
 import sys
 import zlib
 from collections import Counter, defaultdict
+from concurrent.futures import ProcessPoolExecutor
+from multiprocessing import get_context
 from pathlib import Path
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -110,14 +113,21 @@ def test_net_on_held_out_findings():
 
 
 def test_net_on_held_out_forms():
-    """Forms of secrets that the net was not trained on: most are found, by their characters alone."""
-    caught = []
-    for part in range(3):
-        net = secrets.train(secrets.written_findings(3000, forms=lambda k: k % 3 != part))
-        rows = [r for r in secrets.written_findings(900, seed=98, forms=lambda k: k % 3 == part) if r[3]]
-        p = [net.scores(np.array(secrets.features(t, a, b))).max() for t, a, b, _ in rows]
-        caught.append(np.mean(np.array(p) >= net.threshold))
-    assert min(caught) >= 0.6 and np.mean(caught) >= 0.8, caught
+    """Three forms of secrets at a time that the net was not trained on: scans of whole texts find nine tenths of each
+    (of keys that hold a word, form 18, six sevenths)."""
+    with ProcessPoolExecutor(6, get_context("spawn")) as pool:
+        caught = dict(sum(pool.map(brute.held_out_recall, range(6)), []))
+    assert len(caught) == 19 and caught.pop(18) >= 0.85 and min(caught.values()) >= 0.9, caught
+
+
+def test_net_takes_no_prose():
+    """None of the long words and numbers of the given documents is added."""
+    net = secrets.default_net()
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    base = [secrets.base_spans(t) for t in texts]
+    assert sum(len(secrets.candidates(t, b)) for t, b in zip(texts, base)) > 50
+    found = [t[a:b] for t, spans in zip(texts, secrets.model_spans(texts, base, net)) for a, b, _ in spans]
+    assert found == [], found
 
 
 def test_model_spans_against_a_plain_version():
