@@ -37,14 +37,16 @@ _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’„…—–¿
 
 def canonical(text: Column) -> Column:
     """Words in lower case without punctuation; a placeholder word is \\x01kind\\x02value."""
-    text = _unmarked(text)
+
+    def marked(text: Column) -> Column:
+        # a capitalised word after a lower-case one
+        named = F.regexp_replace(text, r"(\p{Lu}(?<=\p{Ll}[,;]? \p{Lu})[\p{L}'-]+)", "\x01name\x02$1")
+        counted = lambda x: F.regexp_replace(F.regexp_replace(x, rf"(?i)(?<=\d)( ?)({_UNITS})\b", "$1\x01unit\x02$2"), r"(\d+(?:[.,:/]\d+)*)", "\x01num\x02$1")
+        return _let(named, lambda x: F.when(text.rlike(r"\d"), counted(x)).otherwise(x))
+
     # a line break is a blank to the look-behind
-    text = F.when(text.rlike(rf"[{_BLANKS}]|  "), F.regexp_replace(text, rf"[ {_BLANKS}]+", " ")).otherwise(text)
-    # a capitalised word after a lower-case one
-    named = F.regexp_replace(text, r"(\p{Lu}(?<=\p{Ll}[,;]? \p{Lu})[\p{L}'-]+)", "\x01name\x02$1")
-    counted = F.regexp_replace(F.regexp_replace(named, rf"(?i)(?<=\d)( ?)({_UNITS})\b", "$1\x01unit\x02$2"), r"(\d+(?:[.,:/]\d+)*)", "\x01num\x02$1")
-    marked = F.when(text.rlike(r"\d"), counted).otherwise(named)
-    return _split(marked)
+    blank = lambda x: F.when(x.rlike(rf"[{_BLANKS}]|  "), F.regexp_replace(x, rf"[ {_BLANKS}]+", " ")).otherwise(x)
+    return _split(_let(_let(_unmarked(text), blank), marked))
 
 
 def plain(text: Column) -> Column:
@@ -52,13 +54,17 @@ def plain(text: Column) -> Column:
     return _split(_unmarked(text))
 
 
+def unmarked_words(words: Column) -> Column:
+    """plain(text) from canonical(text): each word without its marks."""
+    return F.transform(words, lambda x: F.when(F.contains(x, F.lit("\x02")), F.regexp_replace(x, "\x01[a-z]+\x02", "")).otherwise(x))
+
+
 def _unmarked(text: Column) -> Column:
     return F.when(text.contains("\x01") | text.contains("\x02"), F.translate(text, "\x01\x02", "  ")).otherwise(text)
 
 
 def _split(text: Column) -> Column:
-    bare = F.trim(F.lower(F.translate(text, _BLANKS + _PUNCTUATION, " " * len(_BLANKS))))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, " +"))
+    return F.array_remove(F.split(F.lower(F.translate(text, _BLANKS + _PUNCTUATION, " " * len(_BLANKS))), " +"), "")
 
 
 def _kind(word: Column) -> Column:
@@ -112,7 +118,8 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text")
     index, sizes = template_index(benchmark)
     small = index.count() <= BROADCAST_WINDOWS
     texts = docs.filter(F.col("doc_id").isNotNull() & F.col(text).isNotNull()).select("doc_id", F.col(text).alias("text"))
-    runs = texts.select("doc_id", F.explode(F.array_union(*[_runs(f(F.col("text")), sizes) for f in (canonical, plain)])).alias("run"))
+    words = texts.select("doc_id", canonical(F.col("text")).alias("w")).withColumn("v", unmarked_words(F.col("w")))
+    runs = words.select("doc_id", F.explode(F.array_union(_runs(F.col("w"), sizes), _runs(F.col("v"), sizes))).alias("run"))
     known = None
     for size in sizes or [WINDOW]:
         n = min(size, ANCHOR)
@@ -123,12 +130,13 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text")
     met = staged(runs.join(F.broadcast(known) if small else known, "run", "left_semi").select("doc_id").distinct(), "met")
     met = F.broadcast(met) if met.count() <= BROADCAST_IDS else met
     index = F.broadcast(index) if small else index
-    canon = texts.join(met, "doc_id", "left_semi").select("doc_id", canonical(F.col("text")).alias("w"), plain(F.col("text")).alias("v"))
+    canon = texts.join(met, "doc_id", "left_semi").select("doc_id", canonical(F.col("text")).alias("w")).withColumn("v", unmarked_words(F.col("w")))
+    both = F.array(*[F.struct(F.lit(size).alias("size"), F.lit(words == "v").alias("plain"), F.col(words).alias("k")) for size in sizes or [WINDOW] for words in ("w", "v")])
+    canon = canon.select("doc_id", F.inline(both))
     hits = None
     for size in sizes or [WINDOW]:
-        for words in ("w", "v"):
-            mine = canon.select("doc_id", F.lit(words == "v").alias("plain"), F.inline(_windows(F.col(words), size))).withColumn("size", F.lit(size))
-            hits = mine if hits is None else hits.union(mine)
+        mine = canon.filter(F.col("size") == size).select("doc_id", "plain", F.inline(_windows(F.col("k"), size))).withColumn("size", F.lit(size))
+        hits = mine if hits is None else hits.union(mine)
     same = F.transform("words", _kind) == F.transform("item_words", _kind)
     slots = F.filter(F.zip_with("item_words", "words", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: F.contains(p["a"], F.lit("\x02")))
     hits = hits.join(index, ["h", "size", "plain"]).filter(same)
