@@ -255,3 +255,26 @@ def test_score_table_is_csv_in_order(spark, tmp_path):
     text = "".join(f.read_text() for f in sorted((tmp_path / "scores").glob("part-*.csv"))).splitlines()
     assert text[0] == "sample_id,synset,missing,cd_pred,cd_noisy,cd_score,p2s_pred,p2s_noisy,p2s_score,total_score"
     assert [x.split(",")[0] for x in text[1:]] == [str(k) for k in range(10)]
+
+
+def test_a_place_is_searched_for_once(spark, monkeypatch):
+    """Forty points at each of 600 places, and a cloud whose points share none."""
+    from cloudloom.operators import neighbors
+
+    g = np.random.default_rng(4)
+    xyz = np.repeat(g.uniform(size=(600, 3)), 40, axis=0)
+    alone = g.uniform(size=(700, 3))
+    c = cloud(spark, xyz).union(cloud(spark, alone, 1)).localCheckpoint()
+    asked = []
+    monkeypatch.setattr(neighbors, "searches", lambda q, r, need: asked.append(q.count()) or grid.searches(q, r, need))
+    got = {(r.k, r.i): r.d2 for r in nearest(c, cloud(spark, alone, 0).union(cloud(spark, alone, 1))).collect()}
+    assert asked == [600 + 700] and len(got) == 40 * 600 + 700
+    want = ((xyz[::40][:, None] - alone[None]) ** 2).sum(2).min(1)
+    assert np.allclose([got[0, 40 * p + 39] for p in range(600)], want) and not any(got[1, i] for i in range(700))
+
+
+def test_cubes_end_where_points_are_few(spark):
+    g = np.random.default_rng(4)
+    c = cloud(spark, g.uniform(size=(2000, 3)))
+    r = c.join(grid.cubes(c, c), "k").selectExpr("k", "depth", *grid._each(f"{grid._cube('{a}')} as o{{a}}"))
+    assert 0 < grid.crowded(r, grid.FULL).count() < 2000 // 4
