@@ -115,7 +115,7 @@ def extracted(files: DataFrame) -> DataFrame:
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
-                seen = set()
+                seen = set()  # of one archive
                 for member, plain, data in members(content):
                     if not plain or member in seen or member.startswith("/") or ".." in member.split("/"):
                         raise ValueError(f"{path}: can't extract {member}")
@@ -125,13 +125,27 @@ def extracted(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(extract, "path string, member string, bytes long, content binary")
 
 
+#: Bytes of members in a volume, about; a member counts with 1 KB more for its entry.
+VOLUME = 16 << 20
+
+
+def in_volumes(members: DataFrame, most: int = VOLUME) -> DataFrame:
+    """members with a struct of path and volume as JSON text for the path: members of one path are dealt by the hash of their
+    names into volumes of about `most` bytes, so that the archive that a task packs or extracts stays small, and equal names
+    meet in one volume."""
+    cost = F.sum(F.length("content") + F.lit(1024))
+    sizes = members.groupBy("path").agg(F.ceil(cost / most).alias("volumes"))
+    volume = F.expr("pmod(xxhash64(member), greatest(volumes, 1))").alias("volume")
+    return members.join(sizes, "path").select(F.to_json(F.struct("path", volume)).alias("path"), "member", "content")
+
+
 @query("SELECT CAST(c_nationkey AS VARCHAR) AS path, printf('btest_%06d', c_custkey) || '.txt' AS member, CAST(strlen(c_name) AS BIGINT) AS bytes, sha256(c_name) AS sha FROM customer")
 def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files packed by nation and extracted again."""
+    """Files packed by nation, in volumes, and extracted again."""
     c = read(spark, sf_dir, "customer")
     member = F.format_string("btest_%06d.txt", "c_custkey")
-    files = packed(c.select(F.col("c_nationkey").cast("string").alias("path"), member.alias("member"), F.col("c_name").cast("binary").alias("content")))
-    return extracted(files).select("path", "member", "bytes", F.sha2("content", 256).alias("sha"))
+    files = packed(in_volumes(c.select(F.col("c_nationkey").cast("string").alias("path"), member.alias("member"), F.col("c_name").cast("binary").alias("content"))))
+    return extracted(files).select(F.get_json_object("path", "$.path").alias("path"), "member", "bytes", F.sha2("content", 256).alias("sha"))
 
 
 def shortest_17(column: str) -> Column:

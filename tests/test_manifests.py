@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from cloudloom.operators.manifests import cache_views, coloured, extracted, packed, route_file_problems, run_problems, run_states, shortest_17, view_problems, write_route_scores
+from cloudloom.operators.manifests import cache_views, coloured, extracted, in_volumes, packed, route_file_problems, run_problems, run_states, shortest_17, view_problems, write_route_scores
 
 
 def test_packed_bytes_are_always_the_same(spark):
@@ -65,3 +65,15 @@ def test_runs(spark):
     assert {tuple(r) for r in run_states(log).collect()} == {(1, 1, None, "running"), (2, 1, 5, "failed"), (3, None, None, "running")}
     assert {tuple(r) for r in run_problems(log).collect()} == {("ended again", 2), ("no start", 3)}
     assert run_states(log.limit(0)).isEmpty()
+
+
+def test_volumes_of_an_archive_are_small(spark):
+    """A path of 3,000 members in volumes of some 100, which come back whole; equal names are still an error."""
+    rows = spark.range(3000).select(F.lit("a").alias("path"), F.format_string("%05d.txt", "id").alias("member"), F.col("id").cast("string").cast("binary").alias("content"))
+    files = packed(in_volumes(rows, 100 << 10)).localCheckpoint()
+    sizes = [len(zipfile.ZipFile(io.BytesIO(bytes(r.content))).namelist()) for r in files.collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 200
+    back = extracted(files).select(F.get_json_object("path", "$.path").alias("path"), "member", "content")
+    assert back.exceptAll(rows).isEmpty() and back.count() == 3000
+    with pytest.raises(Exception, match="can't extract"):
+        extracted(packed(in_volumes(rows.union(rows.limit(1)), 100 << 10))).collect()
