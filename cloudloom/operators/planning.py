@@ -142,16 +142,30 @@ def center_plan_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return center_plan_problems(plan, c, 6).select("problem", "k.k")
 
 
+#: Visits that one task takes, about.
+VISITS = 250_000
+
+
+def visited(visits: DataFrame, each: int = VISITS) -> DataFrame:
+    """stream, batch, covered of visits (stream, batch, item). They are dealt by stream into as many tasks as their number asks
+    for, so that what a task holds doesn't grow with it; counts, joins and sums stay where their stream is."""
+    spark = visits.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-visits.count() // each))
+    mine = visits.repartition(parts, "stream")
+    # a batch's first visits and its own row come from one pass
+    first = mine.groupBy("stream", "item").agg(F.min("batch").alias("batch")).select("stream", "batch", F.lit(1).alias("fresh"))
+    rows = first.unionByName(mine.select("stream", "batch", F.lit(0).alias("fresh"))).repartition(parts, "stream")
+    sums = rows.groupBy("stream", "batch").agg(F.sum("fresh").alias("fresh"))
+    return sums.select("stream", "batch", F.sum("fresh").over(Window.partitionBy("stream").orderBy("batch")).alias("covered"))
+
+
 @query("""WITH v AS (SELECT l_suppkey AS stream, l_partkey AS item, min(l_orderkey // 100) AS batch FROM lineitem GROUP BY l_suppkey, l_partkey),
 b AS (SELECT DISTINCT l_suppkey AS stream, l_orderkey // 100 AS batch FROM lineitem), n AS (SELECT stream, batch, count(*) AS fresh FROM v GROUP BY stream, batch)
 SELECT b.stream AS stream, b.batch AS batch, CAST(sum(coalesce(fresh, 0)) OVER (PARTITION BY b.stream ORDER BY b.batch) AS BIGINT) AS covered FROM b LEFT JOIN n ON b.stream = n.stream AND b.batch = n.batch""")
 def prefix_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Different items that each stream has seen up to each of its batches: running counts of first visits."""
     line = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("stream"), F.expr("l_orderkey div 100").alias("batch"), F.col("l_partkey").alias("item"))
-    fresh = line.groupBy("stream", "item").agg(F.min("batch").alias("batch")).groupBy("stream", "batch").agg(F.count(F.lit(1)).alias("fresh"))
-    batches = line.select("stream", "batch").distinct().join(fresh, ["stream", "batch"], "left")
-    run = F.sum(F.coalesce("fresh", F.lit(0))).over(Window.partitionBy("stream").orderBy("batch"))
-    return batches.select("stream", "batch", run.alias("covered"))
+    return visited(line)
 
 
 def mesh_vertices(mesh: DataFrame, with_area: bool) -> DataFrame:
