@@ -278,3 +278,12 @@ def test_cubes_end_where_points_are_few(spark):
     c = cloud(spark, g.uniform(size=(2000, 3)))
     r = c.join(grid.cubes(c, c), "k").selectExpr("k", "depth", *grid._each(f"{grid._cube('{a}')} as o{{a}}"))
     assert 0 < grid.crowded(r, grid.FULL).count() < 2000 // 4
+
+
+def test_large_triangles_are_not_compared_with_all_points(spark):
+    g = np.random.default_rng(6)
+    tri = g.normal(size=(600, 3, 3))
+    mesh = spark.createDataFrame([(0, f, *map(float, t.reshape(-1))) for f, t in enumerate(tri)], "k int, f int, ax double, ay double, az double, bx double, by_ double, bz double, gx double, gy double, gz double")
+    pts = cloud(spark, tri.reshape(-1, 3))
+    reach = pts.select("k", "i", F.lit(0.05).alias("reach"))
+    assert sum(met(q, t)[0] or 0 for q, t in grid.triangle_searches(pts, mesh, reach)) < 600 * 1800 // 2
