@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from cloudloom.operators import farthest
 from cloudloom.operators.farthest import farthest_points
 from cloudloom.operators.patches import plan, starts
 
@@ -18,7 +19,14 @@ def test_sampling_is_dealt_by_points(spark):
     out = farthest_points(starts(c, ("index0", "x_max")), c, 3, block=400)
     tasks = out.select("plan", "k", F.spark_partition_id().alias("task")).distinct().groupBy("task").count().collect()
     assert sum(r["count"] for r in tasks) == 96
-    assert len(tasks) > 8 and max(r["count"] for r in tasks) <= 16  # of 100 points each, in 24 tasks
+    assert len(tasks) > 8 and max(r["count"] for r in tasks) <= 16  # of 100 points each, in 96 tasks
+
+
+def test_a_cloud_of_some_size_needs_no_rounds(spark, monkeypatch):
+    """A cloud as large as those of six times the largest tables is sampled by a task, not in hundreds of rounds of jobs."""
+    monkeypatch.setattr(farthest, "_in_rounds", None)
+    c = spark.range(70_000).selectExpr("0 as k", "cast(id as int) as i", "double(id) as x", "0D as y", "0D as z")
+    assert [r.i for r in farthest_points(starts(c, ("index0",)), c, 3).orderBy("rank").collect()] == [0, 69_999, 34_999]
 
 
 def test_plan_samples_once(spark, monkeypatch):
