@@ -78,7 +78,7 @@ def test_only_results_stay(spark):
 def test_a_search_of_large_clouds_leaves_its_result(spark):
     from __spark_entry__ import queries
 
-    for name in ("chamfer_large_clouds",):
+    for name in ("knn_large_clouds", "chamfer_large_clouds"):
         tables, shuffled = kept(spark)
         df = queries()[name](spark, SF)
         after, files = settled(spark, shuffled)
